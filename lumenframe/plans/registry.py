@@ -75,11 +75,11 @@ AGAIN = "(" + ", ".join(f"'{t}'" for t in TERMS) + ")"
 
 
 @query(f"""WITH {BM25}, q AS (SELECT frame_id, bm25, len(matched) / 3e0 AS coverage, CASE WHEN contains(' ' || array_to_string({CONTENT}, ' ') || ' ', ' {' '.join(TERMS)} ') THEN 1e0 ELSE 0e0 END AS phrase FROM hits JOIN ft USING (frame_id)),
-  r AS (SELECT frame_id, round(coverage, 6) AS coverage, phrase, round(bm25, 6) AS bm25, round(least(1e0, greatest(0e0, 5e-1 * round(bm25 / (bm25 + 1e0), 6) + 4e-1 * coverage + 1e-1 * phrase)), 6) AS quality FROM q)
+  r AS (SELECT frame_id, round(coverage, 6) AS coverage, phrase, round(bm25, 6) AS bm25, round(least(1e0, greatest(0e0, 5e-1 * round(bm25 / (bm25 + 1e0), 6) + 4e-1 * coverage + 1e-1 * phrase)), 4) AS quality FROM q)
   SELECT * FROM r ORDER BY quality DESC, bm25 DESC, frame_id DESC LIMIT 20""")
 def lexical_quality_topk(spark, sf):
     docs = text_frames(spark, sf)
-    rows = L.with_quality(L.search(docs, TERMS), docs, TERMS).select("frame_id", F.round("coverage", 6).alias("coverage"), "phrase", F.round("bm25", 6).alias("bm25"), "quality")
+    rows = L.with_quality(L.search(docs, TERMS), docs, TERMS).select("frame_id", F.round("coverage", 6).alias("coverage"), "phrase", F.round("bm25", 6).alias("bm25"), F.round("quality", 4).alias("quality"))
     return rows.orderBy(F.desc("quality"), F.desc("bm25"), F.desc("frame_id")).limit(20)
 
 
