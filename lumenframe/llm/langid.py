@@ -4,7 +4,7 @@ Subwords are byte n-grams of two to four bytes of the lower-cased text in which
 they are hashed into BUCKETS rows of an embedding table. A text is the mean of its subwords' embeddings; a linear layer
 and softmax over it give probabilities. As the layer is linear, prediction uses the table times the layer.
 
-Training uses a bounded sample: the MAX_DOCS labelled rows of smallest hash (TrainConfig.max_docs), each as its
+Training uses a bounded sample: the different labelled texts of smallest hash (at most TrainConfig.max_docs), each as its
 subword counts in the buckets, so the driver gets at most max_docs times BUCKETS numbers. A fifth of the sample sets the
 temperature (by likelihood) and the rejection threshold: the largest probability that rejects at most REJECT of it.
 
@@ -86,7 +86,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def _sampled(rows: DataFrame, config: TrainConfig) -> list:
     """Subword counts of the sampled rows, made on the executors."""
-    some = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("text", "lang").alias("h")).orderBy("h").limit(config.max_docs)
+    labelled = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("text", "lang").alias("h"))
+    last = labelled.select("h").distinct().orderBy("h").limit(config.max_docs).agg(F.max("h")).first()[0]
+    some = labelled.where(F.col("h") <= last).dropDuplicates(["h"]) if last is not None else labelled.limit(0)
     schema = "lang string, bucket array<int>, n array<float>"
 
     def count(batches):
