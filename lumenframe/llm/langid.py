@@ -89,7 +89,7 @@ def _sampled(rows: DataFrame, config: TrainConfig) -> list:
     labelled = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("text", "lang").alias("h"))
     last = labelled.select("h").distinct().orderBy("h").limit(config.max_docs).agg(F.max("h")).first()[0]
     some = labelled.where(F.col("h") <= last).dropDuplicates(["h"]) if last is not None else labelled.limit(0)
-    schema = "lang string, bucket array<int>, n array<float>"
+    schema = "lang string, bucket binary, n binary"
 
     def count(batches):
         for batch in batches:
@@ -98,11 +98,11 @@ def _sampled(rows: DataFrame, config: TrainConfig) -> list:
                 if len(got := grams(text)):
                     bucket, n = np.unique(got, return_counts=True)
                     out["lang"].append(lang)
-                    out["bucket"].append(bucket.astype(np.int32))
-                    out["n"].append((n / n.sum()).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["bucket"], pa.list_(pa.int32())), pa.array(out["n"], pa.list_(pa.float32()))], names=list(out))
+                    out["bucket"].append(bucket.astype("<i4").tobytes())
+                    out["n"].append((n / n.sum()).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["bucket"], pa.binary()), pa.array(out["n"], pa.binary())], names=list(out))
 
-    return sorted(some.select("text", "lang").mapInArrow(count, schema).collect(), key=lambda r: (r.lang, len(r.bucket), list(r.bucket[:50]), list(r.n[:50])))
+    return sorted(some.select("text", "lang").mapInArrow(count, schema).collect(), key=lambda r: (r.lang, bytes(r.bucket), bytes(r.n)))
 
 
 def train(rows: DataFrame, config: TrainConfig = TrainConfig()) -> Model:
@@ -116,8 +116,8 @@ def train(rows: DataFrame, config: TrainConfig = TrainConfig()) -> Model:
     order = rng.permutation(len(data))
     held = order[: len(data) // 5]
     fit = order[len(data) // 5 :]
-    buckets = [np.asarray(r.bucket, np.int64) for r in data]
-    shares = [np.asarray(r.n) for r in data]
+    buckets = [np.frombuffer(r.bucket, "<i4") for r in data]
+    shares = [np.frombuffer(r.n, "<f4") for r in data]
     label = np.array([at[r.lang] for r in data])
     emb = rng.uniform(-1, 1, (BUCKETS, config.dim)) / config.dim
     layer, bias = np.zeros((config.dim, len(langs))), np.zeros(len(langs))
