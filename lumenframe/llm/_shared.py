@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Group-level tables of at most this many rows are broadcast; larger ones go through a salted join.
 BROADCAST_ROWS = 20_000
 SALTS = 64
+#: Tables of one row per group are checkpointed in at most this many files.
+GROUP_FILES = 16
 #: Words are runs of anything but the six ASCII white-space characters.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -36,6 +38,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_groups(df: DataFrame) -> DataFrame:
+    """As checkpoint(), for tables of one row per group: a few files instead of one for each shuffle partition."""
+    return checkpoint(df.coalesce(GROUP_FILES))
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage of a large table: write it once as Parquet in the shared folder and read it from there."""
     spark = df.sparkSession

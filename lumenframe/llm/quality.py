@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm._shared import checkpoint, join_groups, let, words_of
+from lumenframe.llm._shared import checkpoint_groups, join_groups, let, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -130,7 +130,7 @@ def _moments(rows: DataFrame, scale: float) -> DataFrame:
     n = F.col("_n").cast("double")
     mean = [F.col(f"_s{k}").cast("double") / n / SCALE for k in range(d)]
     cov = F.array(*[(F.col(f"_p{r}{c}").cast("double") / n / SCALE**2 - mean[r] * mean[c]) * scale + (FLOOR[r] ** 2 if r == c else 0.0) for r, c in PAIRS])
-    return checkpoint(sums.select("_g", F.array(*mean).alias("_m"), _inverse(cov).alias("_i")))
+    return checkpoint_groups(sums.select("_g", F.array(*mean).alias("_m"), _inverse(cov).alias("_i")))
 
 
 def _bin_of_distance(d: Column) -> Column:
@@ -143,25 +143,25 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     usable = stats.where(~base_failed()).select(F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source"), *[v.alias(k) for k, v in features().items()])
     counts = usable.groupBy("_lang", "_source").count()
     small = F.col("count") < MIN_GROUP
-    pool = checkpoint(counts.where(small).groupBy("_lang").agg(F.sum("count").alias("_pool")))
-    named = join_groups(checkpoint(counts), pool, ["_lang"], "left")
+    pool = checkpoint_groups(counts.where(small).groupBy("_lang").agg(F.sum("count").alias("_pool")))
+    named = join_groups(checkpoint_groups(counts), pool, ["_lang"], "left")
     name = F.when(~small, F.concat(F.lit("s:"), F.to_json(F.struct("_lang", "_source")))).when(F.col("_pool") >= MIN_GROUP, F.concat(F.lit("l:"), "_lang")).otherwise("*")
     named = named.withColumn("_g", name)
     total = Window.partitionBy("_g")
-    groups = checkpoint(named.withColumn("_all", F.sum("count").over(total)).where(F.col("_all") >= MIN_GROUP).select("_lang", "_source", "_g"))
+    groups = checkpoint_groups(named.withColumn("_all", F.sum("count").over(total)).where(F.col("_all") >= MIN_GROUP).select("_lang", "_source", "_g"))
     rows = join_groups(usable, groups, ["_lang", "_source"]).select("_g", *FEATURES)
     # start: medians and median absolute deviations
     long = rows.select("_g", F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.col(f).alias("_v")) for k, f in enumerate(FEATURES)])).alias("x")).select("_g", "x._k", "x._v")
-    medians = checkpoint(_coordinates(_bin_quantile(long.withColumn("_b", F.floor(F.col("_v") / MEDIAN_BIN).cast("long")), ["_g", "_k"], "_b", 0.5), "_md"))
+    medians = checkpoint_groups(_coordinates(_bin_quantile(long.withColumn("_b", F.floor(F.col("_v") / MEDIAN_BIN).cast("long")), ["_g", "_k"], "_b", 0.5), "_md"))
     middle = lambda b: (F.col(b) * MEDIAN_BIN + MEDIAN_BIN // 2).cast("long")
     away = join_groups(rows, medians, ["_g"]).select("_g", F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.floor(F.abs(F.col(f) - middle(f"_md{k}")) / MEDIAN_BIN).cast("long").alias("_b")) for k, f in enumerate(FEATURES)])).alias("x")).select("_g", "x._k", "x._b")
     spread = _coordinates(_bin_quantile(away, ["_g", "_k"], "_b", 0.5), "_ad")
     sd2 = [(1.4826 * middle(f"_ad{k}") / SCALE) ** 2 + FLOOR[k] ** 2 for k in range(len(FEATURES))]
     start = medians.join(spread, "_g").select("_g", F.array(*[middle(f"_md{k}") / SCALE for k in range(len(FEATURES))]).alias("_m"), F.array(*[1 / sd2[r] if r == c else F.lit(0.0) for r, c in PAIRS]).alias("_i"))
-    params = checkpoint(start)
+    params = checkpoint_groups(start)
     for _ in range(STEPS):  # concentration: the core's moments, then the core nearest to them
         at = join_groups(rows, params, ["_g"]).select("_g", *FEATURES, _bin_of_distance(_distance()).alias("_b"))
-        core = checkpoint(_bin_quantile(at.select("_g", "_b"), ["_g"], "_b", CORE).withColumnRenamed("_b", "_most"))
+        core = checkpoint_groups(_bin_quantile(at.select("_g", "_b"), ["_g"], "_b", CORE).withColumnRenamed("_b", "_most"))
         params = _moments(join_groups(at, core, ["_g"]).where("_b <= _most"), CONSISTENT)
     near = join_groups(rows, params, ["_g"]).where(_distance() <= CHI_REWEIGHT)
     return groups, _moments(near.select("_g", *FEATURES), 1.0)
@@ -170,7 +170,7 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
 def with_verdict(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Append base_failed, distance2 (null where there is no estimate) and kept. stats: as for fit(); all columns stay."""
     groups, params = fit(stats)
-    both = checkpoint(groups.join(params, "_g").drop("_g"))
+    both = checkpoint_groups(groups.join(params, "_g").drop("_g"))
     rows = stats.withColumns({"_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit("")), **features()})
     rows = join_groups(rows, both, ["_lang", "_source"], "left").withColumns({"base_failed": base_failed(), "distance2": F.when(F.col("n_words") > 0, _distance())})
     kept = ~F.col("base_failed") & (F.col("distance2").isNull() | (F.col("distance2") <= cutoff))
