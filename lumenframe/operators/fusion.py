@@ -71,7 +71,7 @@ def hybrid_score(visual: Column, others: dict[str, tuple[Column, float]], confid
 def max_top_mean(scores: Column, ratio: float, k: int) -> Column:
     """ratio * max + (1 - ratio) * mean of the k largest."""
     best = F.slice(F.sort_array(scores, False), 1, k)
-    return ratio * F.element_at(best, 1) + (1 - ratio) * F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(best)
+    return ratio * F.element_at(best, 1) + (1 - ratio) * (F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(best))
 
 
 def consensus(hits: DataFrame, step: float = 0.03, key: str = "frame_id") -> DataFrame:

@@ -34,7 +34,7 @@ def search(docs: DataFrame, terms: list[str], key: str = "frame_id", text: str =
     return scored.groupBy(key).agg(F.sum(score).alias("bm25"), F.sort_array(F.collect_set("stem")).alias("matched"))
 
 
-def with_quality(hits: DataFrame, docs: DataFrame, terms: list[str], key: str = "frame_id", text: str = "caption") -> DataFrame:
+def with_quality(hits: DataFrame, docs: DataFrame, terms: list[str], key: str = "frame_id", text: str = "caption", digits: int = 6) -> DataFrame:
     """Append coverage, phrase and quality: half the squashed BM25, .4 weighted coverage, .1 contiguous phrase."""
     again = lambda c: F.transform(c, X._stem_column)
     weigh = lambda a: F.aggregate(F.transform(a, lambda t: F.when(t.isin(X.GENERIC_SUBJECTS), X.SUBJECT_WEIGHT).when(t.isin(X.PARTICLES), X.PARTICLE_WEIGHT).otherwise(1.0)), F.lit(0.0), lambda s, x: s + x)
@@ -44,7 +44,7 @@ def with_quality(hits: DataFrame, docs: DataFrame, terms: list[str], key: str =
     phrase = F.when(F.contains(content, F.lit(f" {' '.join(terms)} ")), 1.0).otherwise(0.0) if len(terms) > 1 else F.lit(0.0)
     rows = hits.join(docs.select(key, text), key).withColumns({"coverage": coverage, "phrase": phrase})
     quality = 0.5 * F.round(F.col("bm25") / (F.col("bm25") + 1.0), 6) + 0.4 * F.col("coverage") + 0.1 * F.col("phrase")
-    return rows.withColumn("quality", F.round(X.unit(quality), 6)).drop(text)
+    return rows.withColumn("quality", F.round(X.unit(quality), digits)).drop(text)
 
 
 def top(rows: DataFrame, k: int, *order) -> DataFrame:

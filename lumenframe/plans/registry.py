@@ -75,11 +75,11 @@ AGAIN = "(" + ", ".join(f"'{t}'" for t in TERMS) + ")"
 
 
 @query(f"""WITH {BM25}, q AS (SELECT frame_id, bm25, len(matched) / 3e0 AS coverage, CASE WHEN contains(' ' || array_to_string({CONTENT}, ' ') || ' ', ' {' '.join(TERMS)} ') THEN 1e0 ELSE 0e0 END AS phrase FROM hits JOIN ft USING (frame_id)),
-  r AS (SELECT frame_id, round(coverage, 6) AS coverage, phrase, round(bm25, 6) AS bm25, round(least(1e0, greatest(0e0, 5e-1 * round(bm25 / (bm25 + 1e0), 6) + 4e-1 * coverage + 1e-1 * phrase)), 4) AS quality FROM q)
+  r AS (SELECT frame_id, round(coverage, 6) AS coverage, phrase, round(bm25, 6) AS bm25, round(least(1e0, greatest(0e0, 5e-1 * round(bm25 / (bm25 + 1e0), 6) + 4e-1 * coverage + 1e-1 * phrase)), 10) AS quality FROM q)
   SELECT * FROM r ORDER BY quality DESC, bm25 DESC, frame_id DESC LIMIT 20""")
 def lexical_quality_topk(spark, sf):
     docs = text_frames(spark, sf)
-    rows = L.with_quality(L.search(docs, TERMS), docs, TERMS).select("frame_id", F.round("coverage", 6).alias("coverage"), "phrase", F.round("bm25", 6).alias("bm25"), F.round("quality", 4).alias("quality"))
+    rows = L.with_quality(L.search(docs, TERMS), docs, TERMS, digits=10).select("frame_id", F.round("coverage", 6).alias("coverage"), "phrase", F.round("bm25", 6).alias("bm25"), "quality")
     return rows.orderBy(F.desc("quality"), F.desc("bm25"), F.desc("frame_id")).limit(20)
 
 
@@ -264,9 +264,9 @@ def conflicting_shots(spark, sf):
     return text_frames(spark, sf).groupBy("shot_id").agg(F.countDistinct(F.struct(F.left("caption", F.lit(20)), "object")).alias("signatures")).where("signatures > 1")
 
 
-@query(f"WITH {HITS}, s AS (SELECT frame_id, list_reverse_sort(list(score)) AS a FROM h GROUP BY frame_id) SELECT frame_id, round(7e-1 * a[1] + 3e-1 * list_sum(a[1:2]) / len(a[1:2]), 6) AS score FROM s")
+@query(f"WITH {HITS}, s AS (SELECT frame_id, list_reverse_sort(list(score)) AS a FROM h GROUP BY frame_id) SELECT frame_id, round(7e-1 * a[1] + (1 - 7e-1) * (list_sum(a[1:2]) / len(a[1:2])), 10) AS score FROM s")
 def max_top_mean(spark, sf):
-    return _hits(spark, sf).groupBy("frame_id").agg(F.collect_list("score").alias("a")).select("frame_id", F.round(U.max_top_mean(F.col("a"), 0.7, 2), 6).alias("score"))
+    return _hits(spark, sf).groupBy("frame_id").agg(F.collect_list("score").alias("a")).select("frame_id", F.round(U.max_top_mean(F.col("a"), 0.7, 2), 10).alias("score"))
 
 
 # --- timeline -------------------------------------------------------------------------------------------------------
@@ -424,7 +424,7 @@ def event_diversify(spark, sf):
 
 
 @query(f"""WITH {EVENTS}, b AS (SELECT video_id, event, max(CASE WHEN quality >= 15e-2 THEN quality END) AS best FROM ev GROUP BY ALL), p AS (SELECT video_id, round(count(best) / 3e0, 6) AS coverage, round(sum(coalesce(best, 0e0)) / 3e0, 6) AS support FROM b GROUP BY video_id)
-  SELECT *, round((45e-2 * coverage + 45e-2 * support) / 9e-1, 6) AS total FROM p ORDER BY coverage DESC, total DESC, support DESC, video_id LIMIT 30""")
+  SELECT *, round((45e-2 * coverage + 45e-2 * support) / 9e-1, 8) AS total FROM p ORDER BY coverage DESC, total DESC, support DESC, video_id LIMIT 30""")
 def video_gating(spark, sf):
     return S.gated(_event_rows(spark, sf), 3)
 
