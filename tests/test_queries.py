@@ -5,7 +5,7 @@ from pathlib import Path
 import compare
 import pytest
 
-from lumenframe.plans import extended, registry  # noqa: F401
+from lumenframe.plans import extended, registry, searching  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -19,6 +19,11 @@ def test_matches_sql(spark, name):
     assert compare.rows(df.columns, df.collect()) == compare.rows(columns, data)
 
 
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
+def test_runs(spark, name):
+    assert registry.QUERIES[name](spark, SF).count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
