@@ -235,6 +235,8 @@ def test_simhash(spark, tables, docs):
     assert Counter((r.doc_id, int(r.fingerprint, 16), r.component_id) for r in got) == naive_components([p for p in prints if p[0] is not None])
     stay = simhash.dedup(docs)
     assert stay.columns == docs.columns and stay.count() == len({r.component_id for r in got} | {None})
+    extra = spark.createDataFrame([(1, "a b", "x", "p"), (1, "a b", "x", "p"), (2, "a b", "y", "q"), (None, "c d e f", "z", "r"), (None, "c d e f", "z", "r"), (3, "", None, None)], "doc_id long, text string, _fp string, _key string")
+    assert Counter(tuple(r) for r in simhash.dedup(extra).collect()) == Counter([(1, "a b", "x", "p"), (None, "c d e f", "z", "r"), (3, "", None, None)])
 
 
 def test_imatch(spark, tables, docs):
