@@ -144,15 +144,19 @@ def classes(docs: DataFrame, limit: int = POSTING_LIMIT) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """Documents without near-duplicates: of each component the row of the smallest doc_id stays (of repeated ids one)."""
+def dedup(docs: DataFrame, digest=with_fingerprint, linked=None) -> DataFrame:
+    """Documents without near-duplicates: of each component the row of the smallest doc_id stays (of repeated ids one).
+
+    digest: appends the long that stands for a text. linked: links of a table (fp, text) with repeated rows; without it
+    the fingerprints' own links are taken.
+    """
     # names that no column of the documents has
     fp, key = (max([n, *(c + "_" for c in docs.columns if c.lower().startswith(n))], key=len) for n in ("_fp", "_key"))
     # the id as text, null as a word: one key for join and distinct, so that texts are shuffled once
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
-    mine = written(with_fingerprint(docs, out=fp).withColumn(key, name("doc_id")))
+    mine = written(digest(docs, out=fp).withColumn(key, name("doc_id")))
     distinct = checkpoint(mine.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct.select("fp")))
+    roots = components(linked(mine.select(F.col(fp).alias("fp"), "text")) if linked else links(distinct.select("fp")))
     grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("k"))
     stay = mine.join(best.select(F.col("k.fp").alias(fp), name("k.first_id").alias(key)), [fp, key], "left_semi")

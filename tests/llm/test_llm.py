@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumenframe.llm import bpe, chat, html, imatch, langid, linededup, packing, quality, queries, sharding, simhash
+from lumenframe.llm import bpe, chat, html, imatch, langid, linededup, nearsets, packing, quality, queries, sharding, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TEXTS = [None, "", "   \n\t ", "one", "two words", "Hello  World\n\nhello world ß é 😀 <|endoftext|> it's", "a b c a b c a b c d", "x\n x\nx\n\ny\r\ny\r", "#*$%&|<> | |", "word " * 3000, "z" * 5000]
@@ -239,6 +239,43 @@ def test_simhash(spark, tables, docs):
     assert Counter(tuple(r) for r in simhash.dedup(extra).collect()) == Counter([(1, "a b", "x", "p"), (None, "c d e f", "z", "r"), (3, "", None, None)])
 
 
+def test_near_dedup_stage(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    shared, texts = fresh(30), []
+    for k in range(40):
+        w = fresh(rng.randint(60, 300)) + shared * (k % 3 > 0)
+        texts.append(w)
+        # from one changed word to far under the limit, and chains of copies of copies
+        for _ in range(5):
+            w = list(w)
+            for _ in range(rng.randint(1, 6)):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(3000)}"
+            texts.append(w)
+    base = fresh(150)
+    for _ in range(60):  # one large group: copies of one text
+        w = list(base)
+        for at in rng.sample(range(150), 3):
+            w[at] = f"w{rng.randrange(3000)}"
+        texts.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(1000, "a b c d"), (1001, "A b  c d"), (1002, "a b c e"), (1003, None), (1004, " ")]
+    sets = {i: {tuple(x[j : j + 5]) for j in range(max(1, len(x) - 4))} for i, t in rows for x in [words((t or "").lower())]}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    want = {r for r in root.values()}
+    assert len(want) < len(rows) - 60
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").select("doc_id").collect()]
+    assert sorted(got) == sorted(want)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_imatch(spark, tables, docs):
     got = queries.op7_imatch(spark, tables["full"]).collect()
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.text or ""))
