@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -209,11 +210,11 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-NODES = T.StructType([T.StructField("host", T.StringType()), *(T.StructField(n, T.LongType(), False) for n in ("page", "path", "shape", "content"))])
+NODES = T.StructType([T.StructField("host", T.StringType()), *(T.StructField(n, T.LongType(), False) for n in ("page", "path", "shape", "content", "n"))])
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """(host, page digest, path, shape, content) of (host, html), one row for each element."""
+    """(host, page digest, path, shape, content, n) of (host, html): n is how many equal elements the page has."""
 
     def run(batches):
         names = NODES.fieldNames()
@@ -223,9 +224,10 @@ def nodes(pages: DataFrame) -> DataFrame:
                 for host, page in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
                     some = style_nodes(page)
                     digest = _hash(*[c for _, _, c in some])
-                    hosts += [host] * len(some)
-                    rows += [(digest, *x) for x in some]
-                cols = np.array(rows, np.int64).reshape(-1, 4).T
+                    counts = Counter(some)
+                    hosts += [host] * len(counts)
+                    rows += [(digest, *x, n) for x, n in counts.items()]
+                cols = np.array(rows, np.int64).reshape(-1, 5).T
                 yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=names)
 
     return pages.select("host", "html").mapInArrow(run, NODES)
@@ -233,7 +235,8 @@ def nodes(pages: DataFrame) -> DataFrame:
 
 def unimportant(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
     """(host, path) of style nodes below the importance limit, of (host, html)."""
-    seen = nodes(pages).groupBy("host", "path", "page", "shape", "content").agg(F.count(F.lit(1)).alias("n"))
+    # copies of a page have equal counts, of which one is taken
+    seen = nodes(pages).groupBy("host", "path", "page", "shape", "content").agg(F.max("n").alias("n"))
     pages_with = seen.groupBy("host", "path", "page").agg(F.count(F.lit(1)).alias("k")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
 
     def entropy(kind: str) -> DataFrame:

@@ -180,6 +180,14 @@ def test_html(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("different", [5, 20])
+def test_html_copies_count_once(spark, different):
+    page = "<body><div><span>Menu of the site</span></div><article><p>Own text number {0} {1}</p></article></body>"
+    rows = [(i, "https://a.example/", page.format(i, i * 7)) for i in [*range(different), *[0] * 1000]]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert Counter((r.page_id, r.text) for r in got) == Counter((i, f"Own text number {i} {i * 7}") for i, _, _ in rows)
+
+
 def naive_components(prints):
     ids = {}
     for d, f in prints:
