@@ -146,7 +146,7 @@ def sequence_nms(spark, sf):
 
 @query()
 def caption_near_dedupe(spark, sf):
-    return P.captions_without_near_repeats(text_frames(spark, sf).withColumn("caption", F.regexp_extract(F.coalesce("caption", F.lit("")), r"^[^\n]*", 0)))
+    return P.captions_without_near_repeats(text_frames(spark, sf).withColumn("caption", F.coalesce("caption", F.lit(""))))
 
 
 @query()

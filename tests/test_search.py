@@ -72,6 +72,26 @@ def test_near_repeats_of_captions(spark):
     assert (got["t"].caption, got["t"].kept, got["t"].seen) == ("", 0, 0)
 
 
+def test_near_repeats_take_whole_captions(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from lumenframe.plans import searching
+    from lumenframe.sources.corpus import text_frames
+
+    long = "the rain falls on the old stone house beside the river all night long"
+    texts = [f"Title\n{long}", "Title\nsomething else entirely: green hills", f"Titles\n{long}", f"Head\n{long}", "Title"]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    want = {}
+    for r in text_frames(spark, f"file://{tmp_path}").orderBy("ts", "frame_id").collect():
+        kept = want.setdefault((r.video_id, str(r.shot_id)), [])
+        clean = lambda t: " ".join(t.casefold().split())
+        if all(SequenceMatcher(None, clean(k), clean(r.caption)).ratio() < 0.92 for k in kept):
+            kept.append(r.caption)
+    got = searching.caption_near_dedupe(spark, f"file://{tmp_path}").collect()
+    assert {(r.video_id, r.shot_id): r.caption for r in got} == {k: " ".join(v) for k, v in want.items()}
+
+
 def test_sequences_equal_greedy_passes(spark):
     rng = random.Random(7)
     rows = [(v := f"v{rng.randint(0, 2)}", f"{v}p{rng.randint(0, 3)}", [rng.randint(-1, 6), rng.randint(0, 6)], rng.randint(0, 9) / 10) for _ in range(300)]
