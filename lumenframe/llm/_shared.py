@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one in local
+    mode (driver and executor are one process there), else an error: executors wouldn't see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='lumenframe-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -64,6 +67,33 @@ def join_groups(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "i
     return spread.join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A name that begins like ``name`` and that no column has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of just this name, also where it holds dots or backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(columns: list[str], name: str = "_row") -> Column:
+    """All columns as one struct, so that helpers' names can't clash with theirs; unpacked() gives them back."""
+    return F.struct(*[quoted(c).alias(f"c{k}") for k, c in enumerate(columns)]).alias(name)
+
+
+def unpacked(columns: list[str], name: str = "_row") -> list[Column]:
+    return [F.col(f"{name}.c{k}").alias(c) for k, c in enumerate(columns)]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns under plain names, in order: mapInArrow() can't read names with dots, and its functions go by place."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and bind it to a lambda variable (else each lambda call evaluates it again)."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lumenframe.llm._shared import numbered, quoted
+
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_S}\p{{L}}\p{{N}}]+")
 SPACES = regex.compile(rf"[{_S}]+")
@@ -215,7 +217,7 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 def _mapped(df: DataFrame, made: list[T.StructField], column: str, values) -> DataFrame:
     """Append columns that ``values(codec-independent column array)`` gives for each batch."""
     kept = [f for f in df.schema.fields if f.name not in {m.name for m in made}]
-    schema, source = T.StructType([*kept, *made]), df.select([f"`{f.name}`" for f in kept] + [df[column].alias("_in")])
+    schema, source = T.StructType([*kept, *made]), df.select([quoted(f.name) for f in kept] + [quoted(column).alias("_in")])
     names = [f.name for f in schema.fields]
 
     def run(batches):
@@ -223,7 +225,7 @@ def _mapped(df: DataFrame, made: list[T.StructField], column: str, values) -> Da
             got = values(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *got], names=names)
 
-    return source.mapInArrow(run, schema)
+    return numbered(source).mapInArrow(run, schema)
 
 
 class BpeOperator:

@@ -78,13 +78,76 @@ def test_mcd_rejects_planted_outliers_alone(spark):
 def test_mcd_moments_equal_numpy(spark):
     rng = np.random.default_rng(4)
     x = rng.integers(-3000, 9000, (500, 4))
-    df = spark.createDataFrame([("g", *map(int, r)) for r in x], "_g string, _f0 long, _f1 long, _f2 long, _f3 long")
+    df = spark.createDataFrame([("g", 0, *map(int, r)) for r in x], "_g string, _s int, _f0 long, _f1 long, _f2 long, _f3 long")
     row = quality._moments(df, 1.0).first()
     cov = np.cov((x / quality.SCALE).T, bias=True) + np.diag(np.square(quality.FLOOR))
     full = np.zeros((4, 4))
     for (r, c), v in zip(quality.PAIRS, row["_i"], strict=True):
         full[r, c] = full[c, r] = v
-    assert np.allclose(full @ cov, np.eye(4), atol=1e-6) and np.allclose(row["_m"], x.mean(0) / quality.SCALE)
+    assert np.allclose(full @ cov, np.eye(4), atol=1e-6) and np.allclose(row["_m"], x.mean(0) / quality.SCALE) and np.isclose(row["_d"], np.linalg.slogdet(cov)[1])
+
+
+def test_mcd_finds_the_smaller_determinant(spark):
+    """A third of the rows far off in one place: the kept core has a determinant no larger than any other start's."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 0.5, (500, 4)), rng.normal(6, 0.1, (160, 4))]) * quality.SCALE
+    df = spark.createDataFrame([("g", *map(int, r)) for r in x], "_g string, _f0 long, _f1 long, _f2 long, _f3 long")
+    start = lambda m, s: quality.checkpoint_groups(spark.createDataFrame([("g", s, m, [1.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], float("inf"))], "_g string, _s int, _m array<double>, _i array<double>, _d double"))
+    near, far = start([0.0] * 4, 0), start([6.0] * 4, 1)
+    both = near.unionByName(far)
+    for _ in range(4):
+        before = {r._s: r._d for r in both.collect()}
+        both = quality._concentrated(df, both)
+        assert all(r._d <= before[r._s] + 0.05 for r in both.collect())
+    got = {r._s: r._d for r in both.collect()}
+    core = x[np.argsort((x**2).sum(1))[: int(0.75 * len(x))]] / quality.SCALE
+    assert abs(got[0] - np.linalg.slogdet(np.cov(core.T, bias=True) * quality.CONSISTENT + np.diag(np.square(quality.FLOOR)))[1]) < 0.2
+    assert got[0] <= got[1] + 1e-9
+
+
+def test_each_statistic_can_reject_alone():
+    for top, floor in zip((None, None, np.log(6), np.arcsin(np.sqrt(0.5))), quality.FLOOR, strict=True):
+        assert top is None or (top / floor) ** 2 > quality.CUTOFF
+
+
+def test_internal_names_do_not_clash(spark):
+    """Input columns of the helpers' own names, and names with dots, come through unchanged."""
+    rng = random.Random(1)
+    names = ["_lang", "_source", "_f0", "_w", "_l", "_host", "_stay", "_new", "_lines", "_low", "_row", "_text", "_g", "_any", "a.b"]
+    rows = [(i, "same line\n" + prose(rng, 80), "en", f"s{i % 2}", f"https://h{i % 2}.example/", f"<p>page {i}</p>", *[f"{n}{i}" for n in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "url", "html", *names])
+    ids = {r[0]: r[6:] for r in rows}
+    for out in (quality.with_verdict(quality.with_text_stats(df)), linededup.drop_boilerplate(df), html.extract(df), langid.predict(df, langid.train(df)), bpe.BpeOperator(spark, queries.WORD_VOCABULARY).round_trip(df)):
+        got = out.collect()
+        assert {r.doc_id: tuple(r[n] for n in names) for r in got} == ids and len(got) == 12
+
+
+def test_salted_joins_equal_broadcast_ones(spark, docs, monkeypatch):
+    from lumenframe.llm import _shared
+
+    before = Counter(map(tuple, linededup.drop_boilerplate(docs, min_pages=2).collect()))
+    stats = _shared.written(quality.with_text_stats(docs).drop("text"))
+    verdicts = Counter(map(tuple, quality.with_verdict(stats).collect()))
+    monkeypatch.setattr(_shared, "BROADCAST_ROWS", 0)
+    assert Counter(map(tuple, linededup.drop_boilerplate(docs, min_pages=2).collect())) == before
+    assert Counter(map(tuple, quality.with_verdict(stats).collect())) == verdicts
+
+
+def test_lexicon_without_broadcast(spark, docs, monkeypatch):
+    rows = lambda: Counter((r.doc_id, r.n_chars, tuple(r.parts), tuple(r.edited_parts), tuple(r.next_parts)) for r in imatch.fingerprints(docs.select("doc_id", "text"), low=0.01, high=0.9).collect())
+    before = rows()
+    monkeypatch.setattr(imatch, "LEXICON_ROWS", -1)
+    assert rows() == before
+
+
+def test_shared_folder_is_asked_for_off_local_masters():
+    from types import SimpleNamespace
+
+    from lumenframe.llm._shared import shared_dir
+
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://a:7077"):
+        with pytest.raises(RuntimeError):
+            shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master=master)))
 
 
 def test_bpe_equals_tokenizers(spark, docs):
@@ -115,23 +178,39 @@ def test_shards(spark, tables, docs):
     assert all(sorted(s) == list(range(len(s))) for s in by.values()) and all(0 <= s < 40 for s in by)
 
 
-def test_shard_map_is_greedy_and_grows(spark, tmp_path):
+def test_shard_map_versions(spark, tmp_path):
     rng = random.Random(2)
     size = {i: rng.randint(0, 10_000) for i in range(64)}
     sizes = spark.createDataFrame(list(size.items()), "vslot int, bytes long")
     loads, want = [0] * 5, {}
     for v in sorted(size, key=lambda v: (-size[v], v)):
-        s = loads.index(min(loads))
+        s = v % 5 if (loads[v % 5] + size[v]) * 5 <= sum(size.values()) else loads.index(min(loads))
         want[v], loads[s] = s, loads[s] + size[v]
-    first = sharding.build_map(sizes, 5)
-    assert {r.vslot: r.shard for r in first.collect()} == want
-    grown = sharding.grow_map(first, sizes, 5)
+    folder = f"file://{tmp_path}/map"
+    sharding.write_map(sharding.first_map(spark, 5, 64), folder)
+    sharding.write_map(sharding.rebalanced(sharding.read_map(spark, folder), sizes, 5), folder)
+    second = sharding.read_map(spark, folder)
+    assert {r.vslot: r.shard for r in second.collect()} == want and second.first().version == 2
+    assert max(loads) - min(loads) < 0.1 * sum(loads) / 5 and sum(want[v] == v % 5 for v in want) > 40
+    grown = sharding.grow_map(second, sizes, 5)
     moved = {r.vslot: r.shard for r in grown.collect()}
     assert all(moved[v] in (want[v], 5) for v in want) and 0 < sum(size[v] for v in moved if moved[v] == 5) <= sum(size.values()) / 6
-    sharding.write_map(first, f"file://{tmp_path}/map")
-    sharding.write_map(grown, f"file://{tmp_path}/map")
-    assert {r.vslot: r.shard for r in sharding.read_map(spark, f"file://{tmp_path}/map").collect()} == moved
-    assert {r.vslot: r.shard for r in sharding.read_map(spark, f"file://{tmp_path}/map", 1).collect()} == want
+    sharding.write_map(grown, folder)
+    assert {r.vslot: r.shard for r in sharding.read_map(spark, folder).collect()} == moved
+    assert {r.vslot: r.shard for r in sharding.read_map(spark, folder, 1).collect()} == {v: v % 5 for v in range(64)}
+
+
+def test_shards_follow_a_stored_map(spark, docs, tmp_path):
+    folder = f"file://{tmp_path}/map"
+    sharding.write_map(sharding.first_map(spark, 4, 32), folder)
+    got = sharding.shard_records(docs.select("doc_id", "text"), 4, 32, folder).collect()
+    stored = {r.vslot: r.shard for r in sharding.read_map(spark, folder).collect()}
+    assert sharding.read_map(spark, folder).first().version == 2 and len(got) == docs.count()
+    from hashlib import md5
+
+    for r in got:
+        v = int(md5(str(r.doc_id if r.doc_id is not None else "").encode()).hexdigest()[:8], 16) % 32
+        assert (r.vslot, r.shard) == (v, stored[v])
 
 
 def test_packing(spark, docs):
@@ -188,6 +267,96 @@ def test_html_copies_count_once(spark, different):
     assert Counter((r.page_id, r.text) for r in got) == Counter((i, f"Own text number {i} {i * 7}") for i, _, _ in rows)
 
 
+def test_html_deep_pages():
+    deep = "<div>" * 3000 + "<p>own text</p><nav>MENU</nav><form>FORM</form>" + "</div>" * 3000 + "<p>after</p>"
+    assert html.main_text(deep) == "own text after"
+    assert html.main_text("<article>" + "<div>" * 1500 + "in</article>out<p>more</div></article><p>x") == "in"
+
+
+def brute_importance(pages, min_pages, support):
+    """Style tree of one host from its pages, straight from the definition."""
+    from lumenframe.llm.html import DECAY, INLINE, OWN, RAW, VOID, Node, parse
+
+    def fold(n, path):
+        """(style children, own text) of a block; children are (style, path, subtree)."""
+        kids, text = [], []
+
+        def walk(m):
+            for c in m.children:
+                if isinstance(c, str):
+                    text.append(c)
+                elif c.tag in RAW:
+                    continue
+                elif c.tag in INLINE or c.tag in VOID or c.tag in ("html", "body", "head"):
+                    walk(c)
+                else:
+                    sub = fold(c, (*path, c.path))
+                    if sub[0] or sub[1]:
+                        kids.append((c.style, c.path, sub))
+
+        walk(n)
+        own = " ".join(" ".join(text).split())
+        if kids and own:
+            kids.append((OWN, ("own", path[-1]), ([], own)))
+        return kids, own if not kids else ""
+
+    found = {}
+
+    def gather(page, path, sub):
+        styles = tuple(k[0] for k in sub[0])
+        found.setdefault(path, []).append((page, styles, repr(sub), [k[1] for k in sub[0]]))
+        for _, p, s in sub[0]:
+            gather(page, p, s)
+
+    distinct = {repr(t): t for t in (fold(parse(p), (0,)) for p in pages)}
+    for k, t in enumerate(distinct.values()):
+        gather(k, 0, t)
+    held = {p: x for p, x in found.items() if len({y[0] for y in x}) >= max(min_pages, support * len(distinct))}
+
+    def entropy(values):
+        counts, n = Counter(values), len(values)
+        return 1.0 if n == 1 else -sum(c / n * np.log(c / n) for c in counts.values()) / np.log(n)
+
+    def importance(path):
+        if path not in held:
+            return 1.0
+        rows = held[path]
+        if not any(r[3] for r in rows):
+            return entropy([r[2] for r in rows])
+        styles = Counter(r[1] for r in rows)
+        mean = np.mean([np.mean([importance(c) for c in r[3]]) if r[3] else 1.0 for r in rows])
+        keep = DECAY ** len(styles)
+        return (1 - keep) * entropy([r[1] for r in rows]) + keep * mean
+
+    return sorted(round(importance(p), 4) for p in held)
+
+
+def test_html_importance_equals_brute_force(spark):
+    rng = random.Random(12)
+    pages = []
+    for i in range(60):
+        items = "".join(f"<li><a href='/{k}'>{rng.choice(['Home', 'News', 'About'])}</a></li>" for k in range(rng.choice([3, 3, 3, 4])))
+        rare = "<table><tr><td>rare</td></tr></table>" if i < 3 else ""
+        pages.append(f"<body><div class=top>Same text</div><ul>{items}</ul><div class=main>{'lead' * (i % 2)}<h1>{prose(rng, 3)}</h1>{'<p>' + prose(rng, 5) + '</p>' if i % 3 else '<blockquote>x</blockquote>'}{rare}</div>{'<p>end</p>' * (i % 4 == 0)}</body>")
+    pages += pages[:5] * 4 + [None]
+    df = spark.createDataFrame([("h", p) for p in pages], "host string, html string")
+    for min_pages, support in ((5, 0.01), (5, 0.3)):
+        rows = [r.asDict() for r in html.tree(df, min_pages, support).collect()]
+        assert sorted(round(x, 4) for x in html.importances(rows).values()) == brute_importance(pages, min_pages, support)
+    low = {round(r.importance, 4) for r in html.unimportant(df).collect()}
+    assert low and max(low) < html.LOW
+
+
+def test_html_tree_decides_alone(spark):
+    """Without marks: constant blocks and menus of a constant look go, own content stays."""
+    rng = random.Random(2)
+    page = "<body><div class=a><div>Same words</div><div>everywhere</div></div><div class=b><h2>{}</h2><p>{}</p></div><div class=c>Imprint</div></body>"
+    own = [(prose(rng, 3), prose(rng, 20)) for _ in range(30)]
+    rows = [(i, "https://a.example/", page.format(*x)) for i, x in enumerate(own)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), marks=False).collect()}
+    assert got == {i: " ".join(" ".join(x).split()) for i, x in enumerate(own)}
+
+
 def naive_components(prints):
     ids = {}
     for d, f in prints:
@@ -227,6 +396,23 @@ def test_links_equal_all_pairs(spark, limit):
     assert Counter((d, f % (1 << 64), min(by[roots.get(f, f)])) for d, f in signed) == naive_components(prints)
 
 
+def test_tally_keeps_pairs_of_six_common_bytes(spark):
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    prints = set(base)
+    for _ in range(300):
+        f = rng.choice(base)
+        for k in rng.sample(range(8), rng.randint(0, 4)):
+            f = f & ~(0xFF << 8 * k) | rng.randrange(256) << 8 * k
+        prints.add(f)
+    common = lambda a, b: sum((a ^ b) >> 8 * k & 0xFF == 0 for k in range(8))
+    want = {(a, b) for a in prints for b in prints if a != b and common(a, b) >= simhash.MIN_BYTES}
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    df = spark.createDataFrame([(signed(f),) for f in prints], "fp long")
+    got = {(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.tallied(simhash.index_of(df)).collect()}
+    assert got | {(b, a) for a, b in got} == want
+
+
 def test_simhash(spark, tables, docs):
     import xxhash
 
@@ -343,9 +529,10 @@ def test_langid(spark):
     model = langid.train(df.where("doc_id % 5 <> 0"))
     got = langid.predict(df, model).where("doc_id % 5 = 0").collect()
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !!"), (4, "the house with")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !!"), (4, "the house with"), (5, "\u0301\u0302"), (6, "ѢѮѰ ѱѳѵ ҂ѿ"), (7, None)], "doc_id long, text string")
     out = {r.doc_id: r for r in langid.predict(odd.withColumn("score", F.lit("clash")), model).collect()}
-    assert [out[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and out[4].lang_pred == "en" and not out[1].accepted
+    assert [out[k].lang_pred for k in (1, 2, 3, 5, 7)] == ["und"] * 5 and not out[6].accepted and out[4].accepted and out[4].lang_pred == "en" and not out[1].accepted
+    assert all(r.accepted for r in got)
     nothing = langid.train(df.limit(0))
     assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
 
