@@ -1,16 +1,21 @@
 """Main text of web pages with a site style tree.
 
-Pages of one host are merged: elements with the same path of styles (tag, class, id) from the root form a style node. Its
-importance comes from entropies over the pages that have it. Presentation: the entropy of the sequences of child styles; content: the entropy of its subtree's texts,
-both relative to the most that so many pages could have. A page's own importance of 1 is assumed where fewer than
-MIN_PAGES different pages have the node. Branches below LOW importance are removed from each page, and so are those that
-their tag, role, class or id names as menus, headers, footers, sidebars, notices, adverts, forms, comments or code. Where
-a page marks an article (or else a main element), its text alone is taken.
+Pages of one host are merged: elements with the same path of styles (tag, class, id) from the root form an element node of
+the host's tree, and the different sequences of child styles of a node are its presentation styles. Importance goes from
+the leaves up. A leaf is as important as its content varies: the entropy of its texts over the most that so many could
+have. An inner node's own part is the entropy of its presentation styles, likewise relative; with l styles it weighs
+1 - DECAY ** l, and the mean importance of its children (by style, then over the styles' shares) weighs DECAY ** l. Text
+that an inner node holds beside its children is a leaf of its own. Nodes on fewer than MIN_PAGES different pages, or on
+less than SUPPORT of their host's, count as important (1), so a host's tree has at most (mean nodes a page) / SUPPORT nodes.
+
+Branches below LOW importance are removed from each page. Beside the tree, branches are removed that their tag, role, class
+or id names as menus, headers, footers, sidebars, notices, adverts, forms, comments or code, and where a page marks an
+article (or else a main element), its text alone is taken; ``marks=False`` leaves both out.
 
 Pages with equal text count once, so that copies don't make their content unimportant. White space within a block becomes
 one space, blocks are joined by one space in page order. Null html gives an empty text; null URLs and those without a host
-share the host ''. Repeated rows stay repeated. Malformed markup is read tolerantly: unclosed elements end with their
-parent, stray end tags are ignored.
+share the host ''. Repeated rows stay repeated; an empty table gives an empty table. Very long and very deep pages are
+taken whole. Malformed markup is read tolerantly: unclosed elements end with their parent, stray end tags are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm._shared import checkpoint, join_groups
+from lumenframe.llm._shared import checkpoint, fresh, join_groups, numbered, quoted, written
 
-MIN_PAGES = 5
-LOW = 0.15
-#: Weight of presentation beside content.
-PRESENTATION = 0.1
+MIN_PAGES, SUPPORT = 5, 0.01
+LOW = 0.2
+#: What one more presentation style leaves of the children's weight.
+DECAY = 0.9
+#: A parent's share for one child, in steps of 1 / STEPS (integers, so that sums don't depend on order).
+STEPS = 1_000_000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,7 +77,12 @@ def _node(tag: str, attributes: str) -> Node:
 
 def parse(text: str | None) -> Node:
     root = Node("", "")
-    stack, at, text = [root], 0, text or ""
+    stack, open_, at, text = [root], Counter(), 0, text or ""
+
+    def close(k: int) -> None:
+        for n in stack[k:]:
+            open_[n.tag] -= 1
+        del stack[k:]
 
     def say(part: str) -> None:
         if part:
@@ -83,36 +95,35 @@ def parse(text: str | None) -> Node:
             break
         say(text[at : m.start()])
         at = m.end()
-        if m[0].startswith("<![CDATA["):
-            continue
-        if m[2] is None:
+        if m[2] is None:  # comments, declarations, CDATA
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and all(n.tag != "p" for n in stack):
+            if not open_[tag]:
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag in INLINE and stack[k].tag not in INLINE:
                     break  # an inline end tag closes no block
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag not in INLINE:
                     break
         if tag in SELF_CLOSING:
             ends, within = SELF_CLOSING[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends.split():
-                    del stack[k:]
-                    break
-                if stack[k].tag in within:
-                    break
+            if any(open_[x] for x in ends.split()):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in ends.split():
+                        close(k)
+                        break
+                    if stack[k].tag in within:
+                        break
         node = _node(tag, m[3])
         stack[-1].children.append(node)
         if tag in VOID or m[3].endswith("/") and tag in ("path", "circle", "rect"):
@@ -121,8 +132,8 @@ def parse(text: str | None) -> Node:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(text, at)
             at = end.end()
             continue
-        if len(stack) < 400:
-            stack.append(node)
+        stack.append(node)
+        open_[tag] += 1
     _paths(root)
     return root
 
@@ -143,16 +154,16 @@ def _paths(root: Node) -> None:
                 todo.append(c)
 
 
-def _words(node: Node, low: frozenset = frozenset(), out: list | None = None) -> list[str]:
-    """Text of a subtree in page order, with blanks between blocks, without noise and removed branches."""
-    out = [] if out is None else out
+def _words(node: Node, low: frozenset = frozenset(), marks: bool = True) -> list[str]:
+    """Text of a subtree in page order, with blanks between blocks, without removed branches and, with marks, named noise."""
+    out: list[str] = []
     todo: list = [node]
     while todo:
         n = todo.pop()
         if isinstance(n, str):
             out.append(n)
             continue
-        if n.noise or n.path in low:
+        if n.path in low or (n.noise if marks else n.tag in RAW):
             out.append(" ")
             continue
         block = n.tag not in INLINE
@@ -164,9 +175,9 @@ def _clean(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-def main_text(page: str | None, low: frozenset = frozenset()) -> str:
+def main_text(page: str | None, low: frozenset = frozenset(), marks: bool = True) -> str:
     root = parse(page)
-    for level in (2, 1):
+    for level in (2, 1) if marks else ():
         found, todo = [], [root]
         while todo:
             n = todo.pop()
@@ -179,30 +190,51 @@ def main_text(page: str | None, low: frozenset = frozenset()) -> str:
         text = _clean([x for n in found for x in _words(n, low)])
         if text:
             return text
-    return _clean(_words(root, low))
+    return _clean(_words(root, low, marks))
 
 
-def style_nodes(page: str | None) -> list[tuple[int, int, int]]:
-    """(path, presentation, content) of each element of a page that has text, outside code."""
-    root, out = parse(page), []
+OWN = "#text"
+LEAF = 0
+#: Path of the root node, which every page has.
+ROOT = 0
 
-    def text_of(n: Node) -> str:
-        parts, todo = [], [n]
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str):
-                parts.append(x)
-            elif x.tag not in RAW:
-                todo += x.children[::-1]
-        return " ".join(" ".join(parts).split())
 
-    todo = [root]
-    while todo:
-        n = todo.pop()
-        kids = [c for c in n.children if isinstance(c, Node)]
-        if n.tag and n.tag not in INLINE and n.tag not in VOID and n.tag not in ("html", "body", "head") and (t := text_of(n)):
-            out.append((n.path, _hash(*[k.style for k in kids]), _hash(t)))
-        todo += kids
+def style_nodes(page: str | None) -> list[tuple[int, int, int, int, int]]:
+    """(path, parent, shape, content, share) of the root and each block with text of a page, outside code, bottom up.
+
+    shape is LEAF for leaves, else the hash of the child styles; content is a leaf's text as a hash, and of inner nodes the
+    hash of their children's contents; share is STEPS over the number of the parent's children.
+    """
+    root = parse(page)
+    order, todo = [], [(root, None)]
+    while todo:  # parents before children
+        n, block = todo.pop()
+        if n.tag in RAW:
+            continue
+        own = n.tag not in INLINE and n.tag not in VOID and n.tag not in ("html", "body", "head")
+        mine = {"path": n.path, "style": n.style, "parent": block, "pieces": [], "kids": []} if own else block
+        if own:
+            order.append(mine)
+        # inline elements and strings belong to the block around them
+        for c in reversed(n.children):
+            if isinstance(c, Node):
+                todo.append((c, mine))
+        mine["pieces"] += [c for c in n.children if isinstance(c, str)]
+    out = []
+    for b in reversed(order):
+        text = " ".join(" ".join(b["pieces"]).split())
+        kids = b["kids"][::-1]
+        if not kids and not text and b["parent"] is not None:
+            continue
+        if kids and text:
+            kids.append((_hash(b["path"], OWN), OWN, _hash(text), LEAF))
+        content = _hash(*[c for _, _, c, _ in kids]) if kids else _hash(text)
+        shape = _hash(*[style for _, style, _, _ in kids]) if kids else LEAF
+        out += [(path, b["path"], kind, c, STEPS // len(kids)) for path, _, c, kind in kids]
+        if b["parent"] is not None:
+            b["parent"]["kids"].append((b["path"], b["style"], content, shape))
+        else:
+            out.append((ROOT, ROOT, shape, content, 0))
     return out
 
 
@@ -210,11 +242,12 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-NODES = T.StructType([T.StructField("host", T.StringType()), *(T.StructField(n, T.LongType(), False) for n in ("page", "path", "shape", "content", "n"))])
+NODES = T.StructType([T.StructField("host", T.StringType()), *(T.StructField(n, T.LongType(), False) for n in ("page", "path", "parent", "shape", "content", "n", "share"))])
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """(host, page digest, path, shape, content, n) of (host, html): n is how many equal elements the page has."""
+    """(host, page digest, path, parent, shape, content, n, share) of (host, html): n is how many equal nodes the page has,
+    share the sum of theirs."""
 
     def run(batches):
         names = NODES.fieldNames()
@@ -223,39 +256,93 @@ def nodes(pages: DataFrame) -> DataFrame:
                 hosts, rows = [], []
                 for host, page in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
                     some = style_nodes(page)
-                    digest = _hash(*[c for _, _, c in some])
-                    counts = Counter(some)
+                    counts, shares = Counter(), Counter()
+                    for path, parent, shape, content, share in some:
+                        counts[path, parent, shape, content] += 1
+                        shares[path, parent, shape, content] += share
                     hosts += [host] * len(counts)
-                    rows += [(digest, *x, n) for x, n in counts.items()]
-                cols = np.array(rows, np.int64).reshape(-1, 5).T
+                    rows += [(some[-1][3], *x, n, shares[x]) for x, n in counts.items()]
+                cols = np.array(rows, np.int64).reshape(-1, 7).T
                 yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=names)
 
     return pages.select("host", "html").mapInArrow(run, NODES)
 
 
-def unimportant(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
-    """(host, path) of style nodes below the importance limit, of (host, html)."""
-    # copies of a page have equal counts, of which one is taken
-    seen = nodes(pages).groupBy("host", "path", "page", "shape", "content").agg(F.max("n").alias("n"))
-    pages_with = seen.groupBy("host", "path", "page").agg(F.count(F.lit(1)).alias("k")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
+def tree(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT) -> DataFrame:
+    """(host, path, parent, n, leaves, styles, shape, content, share) of the nodes with enough pages, of (host, html).
+
+    n: elements; leaves: those without children; styles, shape: number and relative entropy of presentation styles;
+    content: relative entropy of the contents; share: sum of the parents' shares. Copies of a page count once.
+    """
+    every = nodes(pages).groupBy("host", "path", "page", "shape", "content").agg(F.max("n").alias("n"), F.max("share").alias("share"), F.min("parent").alias("parent"))
+    seen = written(every)
+    # one row a page and node, without contents: how many different pages have a node
+    on = seen.groupBy("host", "path", "page").agg(F.count(F.lit(1)).alias("k")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
+    whole = checkpoint(on.where(F.col("path") == ROOT).select("host", F.col("pages").alias("of")))
+    enough = join_groups(on, whole, ["host"]).where((F.col("pages") >= min_pages) & (F.col("pages") >= F.col("of") * support)).select("host", "path")
 
-    def entropy(kind: str) -> DataFrame:
-        each = seen.groupBy("host", "path", kind).agg(F.sum("n").alias("n"))
-        sums = each.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    def entropy(kind: str, *more: Column) -> DataFrame:
+        each = seen.groupBy("host", "path", kind).agg(F.sum("n").alias("n"), F.sum("share").alias("share"), F.min("parent").alias("parent"))
+        sums = each.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), *more)
         # -sum p log p over the largest possible, log(all)
-        return sums.select("host", "path", F.when(F.col("all") > 1, (F.log("all") - F.col("nlogn") / F.col("all")) / F.log("all")).otherwise(1.0).alias(kind))
+        part = F.greatest(F.lit(0.0), F.log("all") - F.col("nlogn") / F.col("all")) / F.log("all")
+        return sums.withColumn(f"e_{kind}", F.when(F.col("all") > 1, part).otherwise(1.0)).drop("nlogn")
+
+    shape = entropy("shape", F.min("parent").alias("parent"), F.sum("share").alias("share"), F.count(F.lit(1)).alias("styles"), F.sum(F.when(F.col("shape") == LEAF, F.col("n")).otherwise(0)).alias("leaves"))
+    both = enough.join(shape, ["host", "path"]).join(entropy("content").drop("all"), ["host", "path"])
+    return both.select("host", "path", "parent", F.col("all").alias("n"), "leaves", "styles", F.col("e_shape").alias("shape"), F.col("e_content").alias("content"), "share")
+
+
+def importances(rows: list[dict]) -> dict[int, float]:
+    """Importance of each node of one host's tree; rows as tree() gives them."""
+    at = {r["path"]: r for r in rows}
+    below: dict[int, list[int]] = {}
+    for r in rows:
+        if r["path"] != ROOT and r["parent"] in at:
+            below.setdefault(r["parent"], []).append(r["path"])
+    out: dict[int, float] = {}
+    # nodes whose parent is too rare stand alone
+    todo = [(p, False) for p, r in at.items() if p == ROOT or r["parent"] not in at]
+    while todo:
+        path, done = todo.pop()
+        r = at[path]
+        if not done:
+            todo.append((path, True))
+            todo += [(c, False) for c in below.get(path, ())]
+            continue
+        inner = r["n"] - r["leaves"]
+        if not inner:
+            out[path] = r["content"]
+            continue
+        # the children's mean importance over the node's styles; children too rare for the tree and leaves count 1
+        known = [(at[c]["share"] / STEPS / r["n"], out[c]) for c in below.get(path, ())]
+        mean = max(0.0, 1.0 - sum(w for w, _ in known)) + sum(w * x for w, x in known)
+        keep = DECAY ** r["styles"]
+        out[path] = (1 - keep) * r["shape"] + keep * min(1.0, mean)
+    return out
 
-    scored = pages_with.where(F.col("pages") >= min_pages).join(entropy("shape"), ["host", "path"]).join(entropy("content"), ["host", "path"])
-    return scored.where(PRESENTATION * F.col("shape") + (1 - PRESENTATION) * F.col("content") < low).select("host", "path")
 
+def unimportant(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW, support: float = SUPPORT) -> DataFrame:
+    """(host, path, importance) of style nodes below the importance limit, of (host, html). A task holds one host's tree,
+    whose size support bounds; pages don't meet in a task."""
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
+    def one(pdf):
+        import pandas as pd
+
+        got = [(p, x) for p, x in importances(pdf.to_dict("records")).items() if x < low and p != ROOT]
+        return pd.DataFrame({"host": pd.Series([pdf["host"].iloc[0]] * len(got), dtype=object), "path": pd.Series([p for p, _ in got], dtype="int64"), "importance": pd.Series([x for _, x in got], dtype="float64")})
+
+    return tree(pages, min_pages, support).groupBy("host").applyInPandas(one, "host string, path long, importance double")
+
+
+def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, low: float = LOW, marks: bool = True) -> DataFrame:
     """Append text: the main text of each page. A column of that name is replaced, others are kept; all rows stay."""
-    kept = [f for f in pages.schema.fields if f.name != "text"]
-    with_host = pages.select(*[f"`{f.name}`" for f in kept], host_of(F.col(url)).alias("_host"))
-    found = unimportant(with_host.select(F.col("_host").alias("host"), F.col(html).alias("html")), min_pages, low)
-    drop = checkpoint(found.groupBy(F.col("host").alias("_host")).agg(F.array_sort(F.collect_set("path")).alias("_low")))
-    rows = join_groups(with_host, drop, ["_host"], "left").select(*[f"`{f.name}`" for f in kept], "_low")
+    kept = [f for f in pages.schema.fields if f.name.lower() != "text"]
+    at_host, at_low = fresh([f.name for f in kept], "_host"), fresh([f.name for f in kept], "_low")
+    with_host = pages.select(*[quoted(f.name) for f in kept], host_of(quoted(url)).alias(at_host))
+    found = unimportant(with_host.select(F.col(at_host).alias("host"), quoted(html).alias("html")), min_pages, low)
+    drop = checkpoint(found.groupBy(F.col("host").alias(at_host)).agg(F.array_sort(F.collect_set("path")).alias(at_low)))
+    rows = join_groups(with_host, drop, [at_host], "left").select(*[quoted(f.name) for f in kept], at_low)
     schema = T.StructType([*kept, T.StructField("text", T.StringType(), False)])
     at = [f.name for f in kept].index(html)
 
@@ -263,9 +350,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: i
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 b = batch.slice(k, 256)
-                out = [main_text(page, frozenset(gone or ())) for page, gone in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
+                out = [main_text(page, frozenset(gone or ()), marks) for page, gone in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], names=schema.fieldNames())
 
-    return rows.mapInArrow(run, schema)
-
-
+    return numbered(rows).mapInArrow(run, schema)
