@@ -3,13 +3,16 @@
 Fingerprint: A-Z lower-cased, words between ASCII white space, shingles of three words with repeats (fewer words: all of
 them), XXH64 with seed 42; a bit is 1 where it is set in over half the hashes. No word: zero. Null counts as empty.
 
-Links join fingerprints that differ in two bits or fewer. Such a pair has at least six of its eight bytes in common at
-the same positions, and hence two of its four byte pairs. The index has a posting for each two byte pairs (six a
-fingerprint, 32 bits wide, so that postings stay short however many fingerprints there are; one-byte postings would hold
-1/256 of them all). Pairs that meet in a posting are tallied: common positional bytes are counted, pairs with fewer than
-six are dropped, the rest is verified bit by bit. Postings longer than POSTING_LIMIT don't enumerate pairs: each of their
-fingerprints is linked to the 65 values within one bit of it, and two fingerprints share such a value just when they
-differ in two bits or fewer; links go to the smallest fingerprint that has the value, so their number is linear.
+Links join fingerprints that differ in two bits or fewer. Such a pair has at least MIN_BYTES = 6 of its 8 bytes in common at
+the same positions. The inverted index has a posting for each byte at its position. Single positional bytes are held by
+1/256 of all fingerprints each, so postings are kept apart by bucket: two of the four byte pairs (six buckets a fingerprint,
+at least one of which a pair of six common bytes has in common), with the bytes of the other four positions as postings.
+Pairs are tallied over a bucket's postings; each posting they share is one more common positional byte beside the bucket's
+four, and pairs that reach six are kept and verified bit by bit. Pairs that share a bucket alone are never enumerated.
+
+Postings longer than POSTING_LIMIT don't enumerate pairs: each of their fingerprints is linked to the 65 values within one
+bit of it, and two fingerprints share such a value just when they differ in two bits or fewer; links go to the smallest
+fingerprint that has the value, so their number is linear. That is exact, for any length.
 
 Equal fingerprints count once from the start. Components come from alternating large-star and small-star steps.
 """
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm._shared import checkpoint, written
+from lumenframe.llm._shared import checkpoint, numbered, quoted, written
 
 MAX_BITS = 2
 MIN_BYTES = 6
@@ -60,29 +63,44 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp") -> Da
                 b = batch.slice(k, 512)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint_of(t.as_py()) for t in b.column(at)], pa.int64())], names=schema.fieldNames())
 
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
+    return numbered(docs.select(*[quoted(f.name) for f in kept])).mapInArrow(run, schema)
 
 
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _byte_pairs(fp: Column) -> list[Column]:
-    return [F.shiftrightunsigned(fp, 48 - 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
+def _byte(fp: Column, k: int) -> Column:
+    """The byte at position k, from the left."""
+    return F.shiftrightunsigned(fp, 56 - 8 * k).bitwiseAND(F.lit(0xFF))
 
 
-def common_bytes(a: Column, b: Column) -> Column:
-    """At how many of the eight byte positions two fingerprints agree."""
-    x = a.bitwiseXOR(b)
-    return sum((F.when(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(0xFF)) == 0, 1).otherwise(0) for k in range(8)), F.lit(0))
+#: Buckets: the byte positions that a bucket's members share, and the positions of its postings.
+BUCKETS = [((2 * i, 2 * i + 1, 2 * j, 2 * j + 1), tuple(k for k in range(8) if k // 2 not in (i, j))) for i in range(4) for j in range(i + 1, 4)]
 
 
 def index_of(prints: DataFrame) -> DataFrame:
-    """Postings (key, fp). The key holds the two byte pairs and, above them, which two they are."""
-    part = _byte_pairs(F.col("fp"))
-    combos = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    keys = F.array(*[F.lit(n << 32).cast("long") + F.shiftleft(part[i], 16) + part[j] for n, (i, j) in enumerate(combos)])
-    return prints.select("fp", F.explode(keys).alias("key"))
+    """Postings (key, fp): the key is the number of the bucket and the posting's position in it (5 bits), the bucket's four
+    bytes, and the posting's byte."""
+    fp = F.col("fp")
+    keys = []
+    for n, (fixed, free) in enumerate(BUCKETS):
+        bucket = F.lit(0).cast("long")
+        for k in fixed:
+            bucket = F.shiftleft(bucket, 8).bitwiseOR(_byte(fp, k))
+        for m, k in enumerate(free):
+            keys.append(F.lit((n * 4 + m) << 40).cast("long") + F.shiftleft(bucket, 8) + _byte(fp, k))
+    return prints.select("fp", F.explode(F.array(*keys)).alias("key"))
+
+
+def tallied(short: DataFrame) -> DataFrame:
+    """(a, b), a > b: pairs of the postings (key, fp) that have MIN_BYTES common positional bytes by count."""
+    pair = F.expr("transform(filter(sequence(0, size(fps) - 2), i -> size(fps) > 1), i -> struct(fps[i] AS b, slice(fps, i + 2, size(fps)) AS rest))")
+    met = short.groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
+    met = met.select("key", F.explode(pair).alias("p")).select("key", F.col("p.b").alias("b"), F.explode("p.rest").alias("a"))
+    # the four bytes of the bucket, and one for each posting in it
+    each = met.groupBy("a", "b", F.floor(F.shiftrightunsigned("key", 40) / 4).alias("bucket")).agg((F.count(F.lit(1)) + 4).alias("common"))
+    return each.where(F.col("common") >= MIN_BYTES).select("a", "b").distinct()
 
 
 def links(prints: DataFrame, limit: int = POSTING_LIMIT) -> DataFrame:
@@ -92,12 +110,8 @@ def links(prints: DataFrame, limit: int = POSTING_LIMIT) -> DataFrame:
     """
     index = index_of(prints)
     crowded = checkpoint(index.groupBy("key").count().where(F.col("count") > limit).select("key"))
-    short = index.join(crowded, "key", "left_anti")
-    pair = F.expr("transform(filter(sequence(0, size(fps) - 2), i -> size(fps) > 1), i -> struct(fps[i] AS b, slice(fps, i + 2, size(fps)) AS rest))")
-    met = short.groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
-    met = met.select(F.explode(pair).alias("p")).select(F.col("p.b").alias("b"), F.explode("p.rest").alias("a"))
-    tallied = met.where(common_bytes(F.col("a"), F.col("b")) >= MIN_BYTES)
-    close = tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
+    pairs = tallied(index.join(crowded, "key", "left_anti"))
+    close = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
     # long postings: meet at values within one bit
     rest = index.join(crowded, "key", "left_semi").select("fp").distinct()
     near = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
@@ -161,4 +175,4 @@ def dedup(docs: DataFrame, digest=with_fingerprint, linked=None) -> DataFrame:
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("k"))
     stay = mine.join(best.select(F.col("k.fp").alias(fp), name("k.first_id").alias(key)), [fp, key], "left_semi")
     # rows that share the fingerprint and the id: one stays
-    return stay.dropDuplicates([fp, key]).select(*docs.columns)
+    return stay.dropDuplicates([fp, key]).select(*[quoted(c) for c in docs.columns])
