@@ -1,19 +1,21 @@
 """Shards by fixed virtual slots.
 
-Records are hashed by key into SLOTS virtual slots. Bytes are summed for each slot, and a versioned map gives each slot a
-shard: slots in descending size go, one after another, to the shard with the fewest bytes. Rebalancing edits the map and
-writes it as the next version; records never move between slots. All steps are SQL; the map has SLOTS rows, always.
+Records are hashed by key into SLOTS virtual slots. Bytes are summed for each slot, and a stored, versioned map gives each
+slot a shard. Rebalancing edits the latest version, leaving slots where they are as far as equal bytes allow, and writes the
+next one; records never move between slots. All steps are SQL; a map has SLOTS rows, always.
 
 Size of a record: UTF-8 bytes of the text (null: none) plus 16. Null keys hash like the empty string. Repeated rows are
-records of their own.
+records of their own; an empty table gives an empty table. Operators read only the columns they name.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm._shared import checkpoint
+from lumenframe.llm._shared import checkpoint, shared_dir
 
 SLOTS = 4096
 OVERHEAD = 16
@@ -41,19 +43,30 @@ def _least(loads: Column) -> Column:
     return (F.array_position(loads, F.array_min(loads)) - 1).cast("int")
 
 
-def build_map(sizes: DataFrame, shards: int, version: int = 1) -> DataFrame:
-    """(version, vslot, shard). sizes: (vslot, bytes) of all slots, a fixed number of rows."""
-    ranked = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "vslot"))).alias("all"))
+def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
+    """Version 1, before anything is known of sizes: slots go round the shards."""
+    return spark.range(slots).select(F.lit(1).alias("version"), F.col("id").cast("int").alias("vslot"), (F.col("id") % shards).cast("int").alias("shard"))
+
+
+def rebalanced(old: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
+    """The next version of a map: an edit of ``old`` that makes the shards' bytes nearly equal.
+
+    In descending order of size, a slot stays in its shard where that doesn't take it over the mean, and else goes to the
+    shard with the fewest bytes. old, sizes ((vslot, bytes) of all slots): fixed numbers of rows.
+    """
+    both = sizes.join(old, "vslot")
+    ranked = both.agg(F.max("version").alias("version"), F.sum("bytes").alias("total"), F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "vslot", F.col("shard").alias("old")))).alias("all"))
     state = F.struct(F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"), F.array().cast("array<struct<vslot:int,shard:int>>").alias("put"))
 
     def put(a: Column, s: Column) -> Column:
         def at(i: Column) -> Column:
             return F.struct(F.transform(a["loads"], lambda x, k: x - F.when(k == i, s["less"]).otherwise(0)).alias("loads"), F.concat(a["put"], F.array(F.struct(s["vslot"].alias("vslot"), i.alias("shard")))).alias("put"))
 
-        return F.element_at(F.transform(F.array(_least(a["loads"])), at), 1)
+        stays = (F.get(a["loads"], s["old"]) - s["less"]) * shards <= F.col("total")
+        return F.element_at(F.transform(F.array(F.when(stays, s["old"]).otherwise(_least(a["loads"]))), at), 1)
 
-    done = ranked.select(F.explode(F.aggregate("all", state, put, lambda a: a["put"])).alias("p"))
-    return done.select(F.lit(version).alias("version"), "p.vslot", "p.shard")
+    done = ranked.select("version", F.explode(F.aggregate("all", state, put, lambda a: a["put"])).alias("p"))
+    return done.select((F.col("version") + 1).alias("version"), "p.vslot", "p.shard")
 
 
 def grow_map(old: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
@@ -69,7 +82,7 @@ def grow_map(old: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
 
 def write_map(slot_map: DataFrame, folder: str) -> None:
     """Store a map under its version; earlier versions stay."""
-    slot_map.write.partitionBy("version").mode("append").parquet(folder)
+    slot_map.coalesce(1).write.partitionBy("version").mode("append").parquet(folder)
 
 
 def read_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
@@ -92,9 +105,17 @@ def place(records: DataFrame, slot_map: DataFrame, sizes: DataFrame, key: str =
     return records.withColumn("_at", at).join(F.broadcast(starts), "vslot").withColumn("slot", (F.col("_start") + F.col("_at")).cast("long")).drop("_start", "_at")
 
 
-def shard_records(docs: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot, shard, slot of (doc_id, text)."""
+def shard_records(docs: DataFrame, shards: int, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, vslot, shard, slot of (doc_id, text), by the stored map of ``folder``.
+
+    Where the folder has no map (or None is given: a new folder below the shared one), the first map is stored. The map's
+    latest version is edited for the records' bytes a slot, stored as the next version, and read back for the placement.
+    """
+    spark = docs.sparkSession
     records = docs.select("doc_id", size_of(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), slot_of(F.col("doc_id"), slots).alias("vslot"))
     sizes = checkpoint(slot_sizes(records, slots))
-    slot_map = checkpoint(build_map(sizes, shards))
-    return place(records, slot_map, sizes)
+    if folder is None:
+        folder = f"{shared_dir(spark).rstrip('/')}/slot_maps/{uuid.uuid4().hex}"
+        write_map(first_map(spark, shards, slots), folder)
+    write_map(rebalanced(read_map(spark, folder), sizes, shards), folder)
+    return place(records, read_map(spark, folder).select("vslot", "shard"), sizes)
