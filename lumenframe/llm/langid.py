@@ -6,10 +6,13 @@ and softmax over it give probabilities. As the layer is linear, prediction uses
 
 Training uses a bounded sample: the different labelled texts of smallest hash (at most TrainConfig.max_docs), each as its
 subword counts in the buckets, so the driver gets at most max_docs times BUCKETS numbers. A fifth of the sample sets the
-temperature (by likelihood) and the rejection threshold: the largest probability that rejects at most REJECT of it.
+temperature (by likelihood) and the rejection threshold: the largest probability that rejects at most ``reject`` of it, and
+no more than ``most_reject``. A text is also rejected where the share of its subwords in buckets that training met is below
+``learnt_share`` of what all but ``reject`` of that fifth have, as other scripts and random letters are. The default of 1 % is four texts of a full sample's fifth, so that a few odd texts don't set it.
 
 Null texts and texts without a letter get ``und`` with score 0 and are rejected; so are all texts if there was nothing to
-learn from. Whole texts are used. Prediction reads the text column alone.
+learn from. Whole texts are used. Prediction reads the text column alone. Repeated rows are predicted alike, and learnt from
+once; of equally probable languages the first in order of their names is taken. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenframe.llm._shared import numbered, quoted
+
 BUCKETS = 1 << 14
 UNKNOWN = "und"
-OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+OTHER, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 GRAMS = (2, 3, 4)
 
 
@@ -36,14 +41,15 @@ class TrainConfig:
     epochs: int = 12
     rate: float = 0.5
     batch: int = 16
-    reject: float = 0.001
+    reject: float = 0.01
     most_reject: float = 0.5
+    learnt_share: float = 0.8
     seed: int = 7
 
 
 def grams(text: str | None) -> np.ndarray:
     """Bucket numbers of a text's subwords; empty for a text without a letter."""
-    if not text:
+    if not text or not LETTER.search(text):
         return np.empty(0, np.int64)
     plain = OTHER.sub(" ", text.lower()).strip()
     if not plain:
@@ -68,15 +74,18 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    learnt: np.ndarray  # buckets that training texts have
+    least_learnt: float
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, probability, and whether it is accepted."""
         got = grams(text)
         if not len(got) or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, False
         mean = (np.bincount(got, minlength=BUCKETS) @ self.table if len(got) > BUCKETS // 4 else self.table[got].sum(0)) / len(got)
         p = _softmax(((mean + self.bias) / self.temperature)[None])[0]
         k = int(np.argmax(p))
-        return self.langs[k], float(p[k])
+        return self.langs[k], float(p[k]), bool(p[k] >= self.threshold and self.learnt[got].mean() >= self.least_learnt)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -110,7 +119,7 @@ def train(rows: DataFrame, config: TrainConfig = TrainConfig()) -> Model:
     data = _sampled(rows, config)
     langs = sorted({r.lang for r in data})
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0)
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0, np.zeros(BUCKETS, bool), 1.0)
     rng = np.random.default_rng(config.seed)
     at = {x: k for k, x in enumerate(langs)}
     order = rng.permutation(len(data))
@@ -134,7 +143,11 @@ def train(rows: DataFrame, config: TrainConfig = TrainConfig()) -> Model:
             bias -= rate * p.mean(0)
             for i, g in zip(some, back, strict=True):
                 emb[buckets[i]] -= np.outer(shares[i] * rate * 40 / len(some), g)
-    table = emb @ layer
+    # buckets that no text was learnt from say nothing
+    learnt = np.zeros(BUCKETS, bool)
+    for i in fit:
+        learnt[buckets[i]] = True
+    table = (emb * learnt[:, None]) @ layer
     logits = np.array([shares[i] @ table[buckets[i]] + bias for i in (held if len(held) else fit)])
     truth = label[held if len(held) else fit]
 
@@ -144,7 +157,9 @@ def train(rows: DataFrame, config: TrainConfig = TrainConfig()) -> Model:
     temperature = min((2.0 ** (k / 4) for k in range(-12, 17)), key=loss)
     best = np.sort(_softmax(logits / temperature).max(1))
     threshold = float(min(best[int(config.reject * len(best))], config.most_reject))
-    return Model(langs, table, bias, temperature, threshold)
+    share = np.sort([float(shares[i][learnt[buckets[i]]].sum()) for i in (held if len(held) else fit)])
+    least = config.learnt_share * float(share[int(config.reject * len(share))])
+    return Model(langs, table, bias, temperature, threshold, learnt, least)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -153,7 +168,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name not in {m.name for m in made}]
     schema = T.StructType([*kept, *made])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
-    source = docs.select(*[f"`{f.name}`" for f in kept], docs[text].alias("_in"))
+    source = docs.select(*[quoted(f.name) for f in kept], quoted(text).alias("_in"))
 
     def run(batches):
         m = shared.value
@@ -161,7 +176,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for k in range(0, batch.num_rows, 512):
                 b = batch.slice(k, 512)
                 got = [m.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
-                yes = [x != UNKNOWN and s >= m.threshold for x, s in got]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64()), pa.array(yes, pa.bool_())], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _, _ in got], pa.string()), pa.array([s for _, s, _ in got], pa.float64()), pa.array([yes for _, _, yes in got], pa.bool_())], names=schema.fieldNames())
 
-    return source.mapInArrow(run, schema)
+    return numbered(source).mapInArrow(run, schema)
