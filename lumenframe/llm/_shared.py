@@ -54,13 +54,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_groups(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_groups(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", bound: int | None = None) -> DataFrame:
     """Join rows with a materialised table of one row per group.
 
-    The group table is counted first. Up to BROADCAST_ROWS rows it is broadcast; beyond that it is repeated
+    The group table is counted first, unless a bound of its rows is known and given. Up to BROADCAST_ROWS rows it is broadcast; beyond that it is repeated
     SALTS times and joined on (keys, salt), so that a hot group is spread over SALTS tasks. Keys are not null.
     """
-    if groups.count() <= BROADCAST_ROWS:
+    if (groups.count() if bound is None else bound) <= BROADCAST_ROWS:
         return df.join(F.broadcast(groups), keys, how)
     salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns[:8]), F.lit(SALTS)).cast("int"))

@@ -31,7 +31,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_GROUP = 60
 CORE = 0.75
-STARTS, START_STEPS, MAX_STEPS = 3, 2, 6
+STARTS, START_STEPS, MAX_STEPS = 3, 1, 5
 #: Least decrease of a log determinant that another step is taken for.
 SHRINKS = 1e-3
 SCALE = 4096
@@ -149,16 +149,16 @@ def _moments(rows: DataFrame, scale: float) -> DataFrame:
     return checkpoint_groups(solved.select(*KEY, "_m", F.col("_x.i").alias("_i"), F.col("_x.d").alias("_d")))
 
 
-def _core(at: DataFrame, share: float) -> DataFrame:
+def _core(at: DataFrame, share: float, bound: int | None = None) -> DataFrame:
     """The rows of (group, start, features, bin _b) in each group's least bins that hold this share of them."""
     most = checkpoint_groups(_bin_quantile(at.select(*KEY, "_b"), KEY, "_b", share).withColumnRenamed("_b", "_most"))
-    return join_groups(at, most, KEY).where("_b <= _most")
+    return join_groups(at, most, KEY, bound=bound).where("_b <= _most")
 
 
-def _concentrated(rows: DataFrame, params: DataFrame) -> DataFrame:
+def _concentrated(rows: DataFrame, params: DataFrame, bound: int | None = None) -> DataFrame:
     """One concentration step of each group and start: the moments of the CORE of the rows nearest to the present ones."""
-    at = join_groups(rows, params, ["_g"]).select(*KEY, *FEATURES, _bin_of_distance(_distance()).alias("_b"))
-    return _moments(_core(at, CORE), CONSISTENT)
+    at = join_groups(rows, params, ["_g"], bound=bound).select(*KEY, *FEATURES, _bin_of_distance(_distance()).alias("_b"))
+    return _moments(_core(at, CORE, bound), CONSISTENT)
 
 
 def _bin_of_distance(d: Column) -> Column:
@@ -167,7 +167,10 @@ def _bin_of_distance(d: Column) -> Column:
 
 
 def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(language, source -> group), (group -> location, scatter). stats: materialised, with lang, source and STATS."""
+    """(language, source -> group), (group -> location, scatter). stats: materialised, with lang, source and STATS.
+
+    The number of groups is counted once; it bounds the tables of all steps.
+    """
     usable = stats.where(~base_failed()).select(F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source"), *[v.alias(k) for k, v in features().items()])
     counts = usable.groupBy("_lang", "_source").count()
     small = F.col("count") < MIN_GROUP
@@ -177,12 +180,13 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = named.withColumn("_g", name)
     total = Window.partitionBy("_g")
     groups = checkpoint_groups(named.withColumn("_all", F.sum("count").over(total)).where(F.col("_all") >= MIN_GROUP).select("_lang", "_source", "_g"))
-    rows = join_groups(usable, groups, ["_lang", "_source"]).select("_g", *FEATURES)
+    bound = groups.count() * STARTS
+    rows = join_groups(usable, groups, ["_lang", "_source"], bound=bound).select("_g", *FEATURES)
     # first start: medians and median absolute deviations
     long = rows.select("_g", F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.col(f).alias("_v")) for k, f in enumerate(FEATURES)])).alias("x")).select("_g", "x._k", "x._v")
     medians = checkpoint_groups(_coordinates(_bin_quantile(long.withColumn("_b", F.floor(F.col("_v") / MEDIAN_BIN).cast("long")), ["_g", "_k"], "_b", 0.5), "_md"))
     middle = lambda b: (F.col(b) * MEDIAN_BIN + MEDIAN_BIN // 2).cast("long")
-    away = join_groups(rows, medians, ["_g"]).select("_g", F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.floor(F.abs(F.col(f) - middle(f"_md{k}")) / MEDIAN_BIN).cast("long").alias("_b")) for k, f in enumerate(FEATURES)])).alias("x")).select("_g", "x._k", "x._b")
+    away = join_groups(rows, medians, ["_g"], bound=bound).select("_g", F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.floor(F.abs(F.col(f) - middle(f"_md{k}")) / MEDIAN_BIN).cast("long").alias("_b")) for k, f in enumerate(FEATURES)])).alias("x")).select("_g", "x._k", "x._b")
     spread = _coordinates(_bin_quantile(away, ["_g", "_k"], "_b", 0.5), "_ad")
     sd2 = [(1.4826 * middle(f"_ad{k}") / SCALE) ** 2 + FLOOR[k] ** 2 for k in range(len(FEATURES))]
     start = medians.join(spread, "_g").select("_g", F.lit(0).alias("_s"), F.array(*[middle(f"_md{k}") / SCALE for k in range(len(FEATURES))]).alias("_m"), F.array(*[1 / sd2[r] if r == c else F.lit(0.0) for r, c in PAIRS]).alias("_i"))
@@ -190,19 +194,19 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     # second: all rows; third: the half whose largest standardised deviation from the first start is least
     second = _moments(rows.withColumn("_s", F.lit(1)), 1.0)
     largest = F.greatest(*[F.pow(F.col(f) / SCALE - F.element_at("_m", k + 1), 2) * F.element_at("_i", PAIRS.index((k, k)) + 1) for k, f in enumerate(FEATURES)])
-    third = _moments(_core(join_groups(rows, first, ["_g"]).select("_g", F.lit(2).alias("_s"), *FEATURES, _bin_of_distance(largest).alias("_b")), 0.5), 1.0)
+    third = _moments(_core(join_groups(rows, first, ["_g"], bound=bound).select("_g", F.lit(2).alias("_s"), *FEATURES, _bin_of_distance(largest).alias("_b")), 0.5, bound), 1.0)
     params = checkpoint_groups(first.unionByName(second).unionByName(third))
     for _ in range(START_STEPS):
-        params = _concentrated(rows, params)
+        params = _concentrated(rows, params, bound)
     best = F.min_by(F.struct("_s", "_m", "_i", "_d"), F.struct("_d", "_s")).alias("b")
     params = checkpoint_groups(params.groupBy("_g").agg(best).select("_g", "b.*"))
     for _ in range(MAX_STEPS):
-        after = _concentrated(rows, params)
+        after = _concentrated(rows, params, bound)
         shrunk = after.join(params.select(*KEY, F.col("_d").alias("_was")), KEY).where(F.col("_was") - F.col("_d") > SHRINKS)
         params = after
         if shrunk.limit(1).count() == 0:
             break
-    near = join_groups(rows, params, ["_g"]).where(_distance() <= CHI_REWEIGHT)
+    near = join_groups(rows, params, ["_g"], bound=bound).where(_distance() <= CHI_REWEIGHT)
     return groups, _moments(near.select(*KEY, *FEATURES), 1.0).drop("_s")
 
 
