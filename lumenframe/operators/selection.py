@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.operators.sequences import kept_captions, suppressed
+from lumenframe.operators.sequences import kept_captions, suppressed, typed
 
 SLACK = 1e-12
 #: Weights of importance and novelty, and what makes two candidates duplicates.
@@ -211,7 +211,7 @@ def select_keyframes(candidates: DataFrame, max_gap: float = 2.0, density: float
             for e in r.event_ids if r.event_ids is not None else ():
                 members.setdefault(e, set()).add(r.candidate_id)
         got = Selector(pool, [Event(e, ids) for e, ids in sorted(members.items())], float(pdf["duration"].max()), max_gap, density, hard_max, dedupe).run()
-        return pd.DataFrame({"video_id": [pdf["video_id"].iloc[0]] * len(got.chosen), "candidate_id": [c.id for c in got.chosen], "ts": [c.ts for c in got.chosen], "position": range(1, len(got.chosen) + 1), "status": [got.status] * len(got.chosen)})
+        return typed({"video_id": [pdf["video_id"].iloc[0]] * len(got.chosen), "candidate_id": [c.id for c in got.chosen], "ts": [c.ts for c in got.chosen], "position": range(1, len(got.chosen) + 1), "status": [got.status] * len(got.chosen)}, video_id="object", candidate_id="object", ts="float64", position="int32", status="object")
 
     return candidates.groupBy("video_id").applyInPandas(one, "video_id string, candidate_id string, ts double, position int, status string")
 

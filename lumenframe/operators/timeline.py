@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenframe.functions import text as X
 
@@ -24,11 +25,22 @@ def neighbour_counts(frames: DataFrame, seconds: float) -> DataFrame:
 
 
 def same_shot(frames: DataFrame, most: int) -> DataFrame:
-    """The ``most`` nearest other frames of each frame's shot, by time distance, then time and id."""
-    a, b = frames.alias("a"), frames.select("shot_id", F.col("frame_id").alias("other"), F.col("ts").alias("_t")).alias("b")
-    pair = a.join(b, "shot_id").where("other <> frame_id")
-    near = Window.partitionBy("frame_id").orderBy(F.abs(F.col("_t") - F.col("ts")), "_t", "other")
-    return pair.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= most).select("frame_id", "other", "rank")
+    """The ``most`` nearest other frames of each frame's shot, by time distance, then time and id.
+
+    They are among the first most + 1 frames (by id) of the frame's own time, of the ``most`` times before and of the
+    ``most`` after it, so each frame looks at a bounded pool, however large its shot.
+    """
+    # the first frames of a time stand for it: no more than most + 1 of one time can be among a frame's nearest
+    placed = frames.select("shot_id", "frame_id", "ts")
+    heads = placed.withColumn("_r", F.row_number().over(Window.partitionBy("shot_id", "ts").orderBy("frame_id"))).where(F.col("_r") <= most + 1)
+    other = F.struct(F.col("ts").alias("t"), F.col("frame_id").alias("f"))
+    # by distinct time: what lies around each time, gathered once
+    times = heads.groupBy("shot_id", "ts").agg(F.sort_array(F.collect_list(other)).alias("_own"))
+    around = Window.partitionBy("shot_id").orderBy("ts").rowsBetween(-most, most)
+    pool = times.select("shot_id", "ts", F.flatten(F.collect_list("_own").over(around)).alias("_pool"))
+    rows = placed.join(pool, ["shot_id", "ts"])
+    ranked = F.slice(F.array_sort(F.transform(F.filter("_pool", lambda o: o["f"] != F.col("frame_id")), lambda o: F.struct(F.abs(o["t"] - F.col("ts")).alias("d"), o["t"].alias("t"), o["f"].alias("f")))), 1, most)
+    return rows.select("frame_id", F.posexplode(ranked).alias("_p", "o")).select("frame_id", F.col("o.f").alias("other"), (F.col("_p") + 1).alias("rank"))
 
 
 def segments(frames: DataFrame, seconds: float) -> DataFrame:
@@ -111,6 +123,17 @@ def overlapping(shots: DataFrame) -> DataFrame:
 
 
 def nearest_clip(hits: DataFrame, dense: DataFrame) -> DataFrame:
-    """For each hit (id, video_id, ts) the nearest frame in time of the same video in ``dense``, ties by the earlier id."""
-    pair = hits.join(dense.select("video_id", F.col("ts").alias("_t"), F.col("frame_id").alias("nearest")), "video_id")
-    return pair.groupBy("id").agg(F.min(F.struct(F.abs(F.col("_t") - F.col("ts")).alias("d"), "nearest")).alias("m")).select("id", "m.nearest", F.round("m.d", 6).alias("distance"))
+    """For each hit (id, video_id, ts) the nearest frame in time of the same video in ``dense``, ties by the earlier id.
+
+    Hits and dense frames are merged in order of time; the last dense time before a hit and the next one after it are its
+    only candidates, so no hit meets a whole video.
+    """
+    marks = dense.groupBy("video_id", "ts").agg(F.min("frame_id").alias("frame"))
+    kinds = marks.select("video_id", "ts", F.struct("ts", "frame").alias("mark"), F.lit(None).cast(hits.schema["id"].dataType).alias("id")).unionByName(hits.select("video_id", "ts", F.lit(None).cast(T.StructType([T.StructField("ts", marks.schema["ts"].dataType), T.StructField("frame", marks.schema["frame"].dataType)])).alias("mark"), "id"))
+    w = Window.partitionBy("video_id").orderBy("ts")
+    before = F.last("mark", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.first("mark", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    found = kinds.select("id", "ts", before.alias("b"), after.alias("a")).where("id IS NOT NULL")
+    each = F.array_compact(F.transform(F.array("b", "a"), lambda m: F.when(m.isNotNull(), F.struct(F.abs(m["ts"] - F.col("ts")).alias("d"), m["frame"].alias("nearest")))))
+    best = found.select("id", F.array_min(each).alias("m")).where("m IS NOT NULL")
+    return best.select("id", "m.nearest", F.round("m.d", 6).alias("distance"))

@@ -8,18 +8,28 @@ from pyspark.sql import functions as F
 from lumenframe.functions import vector as V
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip", min_score: float | None = None) -> DataFrame:
+#: Queries that are broadcast at once.
+BLOCK = 4096
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip", min_score: float | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, row, score, rank): the k best rows of each query, best first, ties by row.
 
-    queries: (query_id, query), a handful of rows that the caller bounds; they are broadcast and the vectors are scanned
-    once. Each query's best rows are cut before the shuffle (window group limit).
+    queries: (query_id, query). They are counted and broadcast in blocks of about ``block``; the vectors are scanned once a
+    block. Each query's best rows are cut before the shuffle (window group limit).
     """
     value = V.dot(F.col("embedding"), F.col("query")) if metric == "ip" else V.squared_distance(F.col("embedding"), F.col("query"))
-    scored = vectors.join(F.broadcast(queries)).select("query_id", "row", F.round(value, 6).alias("score"))
-    if min_score is not None:
-        scored = scored.where(F.col("score") >= min_score)
     best = F.col("score").desc() if metric == "ip" else F.col("score").asc()
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(best, "row"))).where(F.col("rank") <= k)
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = vectors.join(F.broadcast(some)).select("query_id", "row", F.round(value, 6).alias("score"))
+        if min_score is not None:
+            scored = scored.where(F.col("score") >= min_score)
+        part = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(best, "row"))).where(F.col("rank") <= k)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def violations(vectors: DataFrame, dim: int, tolerance: float = 1e-4) -> DataFrame:
@@ -30,7 +40,8 @@ def violations(vectors: DataFrame, dim: int, tolerance: float = 1e-4) -> DataFra
 
 
 def novelty(vectors: DataFrame, group: str) -> DataFrame:
-    """(group, row, novelty): (1 - largest cosine to another row of the group) / 2; alone: 1."""
+    """(group, row, novelty): (1 - largest cosine to another row of the group) / 2; alone: 1. All pairs of a group are
+    compared: it is meant for selected rows, of which a group has few."""
     a, b = vectors.alias("a"), vectors.alias("b")
     most = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.row") != F.col("b.row"))).groupBy(F.col("a.row").alias("row")).agg(F.max(V.dot(F.col("a.embedding"), F.col("b.embedding"))).alias("most"))
     return vectors.select(group, "row").join(most, "row", "left").select(group, "row", F.round(F.when(F.col("most").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - F.col("most")) / 2))), 6).alias("novelty"))

@@ -35,13 +35,13 @@ def caption_exact_dedupe(spark, sf):
     return R.distinct_captions(text_frames(spark, sf)).select("video_id", "shot_id", F.md5("caption").alias("caption_md5"), "kept", "seen")
 
 
-REGION = "regexp_extract(coalesce(caption, ''), '^[^ \\n]*')"
+REGION = "coalesce(caption, '')"
 
 
 @query(f"""WITH {FT}, r AS (SELECT *, {REGION} AS text, (frame_id % 97) / 97e0 AS confidence FROM ft), k AS (SELECT *, array_to_string({WORDS.format('text')}, ' ') AS key FROM r)
   SELECT video_id, shot_id, key, arg_min(text, (ts, frame_id)) AS text, round(max(confidence), 6) AS confidence, min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT frame_id) AS sources FROM k WHERE key <> '' GROUP BY ALL""")
 def segment_ocr_agg(spark, sf):
-    rows = text_frames(spark, sf).withColumns({"text": F.regexp_extract(F.coalesce("caption", F.lit("")), "^[^ \\n]*", 0), "confidence": (F.col("frame_id") % 97) / 97.0})
+    rows = text_frames(spark, sf).withColumns({"text": F.coalesce("caption", F.lit("")), "confidence": (F.col("frame_id") % 97) / 97.0})
     return R.text_regions(rows)
 
 
@@ -88,10 +88,10 @@ def submission_rows(spark, sf):
 
 
 @query(f"""WITH {FT}, p AS (SELECT shot_id, frame_id, row_number() OVER (PARTITION BY shot_id ORDER BY ts, frame_id) AS p FROM ft),
-  n AS (SELECT a.frame_id AS target, b.frame_id, row_number() OVER (PARTITION BY a.frame_id ORDER BY abs(b.p - a.p), b.p) AS rank FROM p a JOIN p b ON a.shot_id = b.shot_id WHERE a.frame_id % 10 = 0) SELECT target, frame_id, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 3""")
+  n AS (SELECT a.frame_id AS target, b.frame_id, row_number() OVER (PARTITION BY a.frame_id ORDER BY abs(b.p - a.p), b.p) AS rank FROM p a JOIN p b ON a.shot_id = b.shot_id) SELECT target, frame_id, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 3""")
 def segment_frame_window(spark, sf):
     f = text_frames(spark, sf)
-    return R.frame_window(f, f.where("frame_id % 10 = 0"), 3)
+    return R.frame_window(f, f, 3)
 
 
 @query("SELECT count(CASE WHEN v.k IS NOT NULL AND l.k IS NOT NULL THEN 1 END) AS both, count(CASE WHEN l.k IS NULL THEN 1 END) AS first_only, count(CASE WHEN v.k IS NULL THEN 1 END) AS second_only FROM (SELECT DISTINCT vec_id AS k FROM embeddings) v FULL JOIN (SELECT DISTINCT doc_id AS k FROM labels) l ON v.k = l.k")

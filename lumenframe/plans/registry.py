@@ -27,12 +27,13 @@ EVENT_TYPES = 3
 FT = "ft AS (SELECT source AS video_id, doc_id AS frame_id, doc_id AS frame_index, CAST(doc_id // 20 AS DOUBLE) AS ts, source || '_' || CAST((doc_id // 20) // 5 AS VARCHAR) AS shot_id, text AS caption, lang AS object FROM documents)"
 FE = "fe AS (SELECT user_id AS video_id, event_id AS frame_id, epoch_us(ts) / 1e6 AS ts, epoch_us(ts) AS micros, event_type AS object, least(value / 100, 1e0) AS confidence, CAST(json_extract_string(props, '$.k') AS BIGINT) AS track_id FROM events)"
 WORDS = "regexp_extract_all(replace(lower(coalesce({}, '')), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+', 0)"
-TOKENS = f"tok AS (SELECT frame_id, unnest({WORDS.format('caption')}) AS token, len({WORDS.format('caption')}) AS doc_len FROM ft), st AS (SELECT frame_id, {X.stem_sql('token', 'regexp_matches')} AS stem, token, doc_len FROM tok)"
+TOKENS = f"""wd AS (SELECT frame_id, {WORDS.format('caption')} AS words FROM ft), tok AS MATERIALIZED (SELECT frame_id, unnest(words) AS token, generate_subscripts(words, 1) AS place, len(words) AS doc_len FROM wd),
+  dt AS MATERIALIZED (SELECT DISTINCT token FROM tok), ds AS MATERIALIZED (SELECT token, {X.stem_sql('token', 'regexp_matches')} AS stem FROM dt), st AS (SELECT frame_id, stem, token, place, doc_len FROM tok JOIN ds USING (token))"""
 LISTED = "(" + ", ".join(f"'{t}'" for t in TERMS) + ")"
 BM25 = f"""{FT}, {TOKENS},
   tf AS (SELECT frame_id, stem, count(*) AS tf, any_value(doc_len) AS doc_len FROM st WHERE stem IN {LISTED} GROUP BY ALL),
   df AS (SELECT stem, count(*) AS df FROM tf GROUP BY stem),
-  stats AS (SELECT count(*) AS n, avg(len({WORDS.format('caption')})) AS avg_len FROM ft),
+  stats AS (SELECT count(*) AS n, avg(len(words)) AS avg_len FROM wd),
   hits AS (SELECT frame_id, sum(ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * (tf * 25e-1) / (tf + 15e-1 * (25e-2 + 75e-2 * greatest(doc_len, 1) / greatest(avg_len, 1e0)))) AS bm25, list_sort(list(DISTINCT stem)) AS matched
            FROM tf JOIN df USING (stem), stats GROUP BY frame_id)"""
 DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
@@ -74,7 +75,8 @@ CONTENT = f"list_transform(list_filter({WORDS.format('caption')}, lambda t: t NO
 AGAIN = "(" + ", ".join(f"'{t}'" for t in TERMS) + ")"
 
 
-@query(f"""WITH {BM25}, q AS (SELECT frame_id, bm25, len(matched) / 3e0 AS coverage, CASE WHEN contains(' ' || array_to_string({CONTENT}, ' ') || ' ', ' {' '.join(TERMS)} ') THEN 1e0 ELSE 0e0 END AS phrase FROM hits JOIN ft USING (frame_id)),
+@query(f"""WITH {BM25}, c AS (SELECT frame_id, string_agg(stem, ' ' ORDER BY place) AS content FROM st WHERE token NOT IN ({', '.join(repr(w) for w in X.STOPWORDS)}) GROUP BY frame_id),
+  q AS (SELECT frame_id, bm25, len(matched) / 3e0 AS coverage, CASE WHEN contains(' ' || coalesce(content, '') || ' ', ' {' '.join(TERMS)} ') THEN 1e0 ELSE 0e0 END AS phrase FROM hits LEFT JOIN c USING (frame_id)),
   r AS (SELECT frame_id, round(coverage, 6) AS coverage, phrase, round(bm25, 6) AS bm25, round(least(1e0, greatest(0e0, 5e-1 * round(bm25 / (bm25 + 1e0), 6) + 4e-1 * coverage + 1e-1 * phrase)), 10) AS quality FROM q)
   SELECT * FROM r ORDER BY quality DESC, bm25 DESC, frame_id DESC LIMIT 20""")
 def lexical_quality_topk(spark, sf):
@@ -111,9 +113,9 @@ def object_histogram(spark, sf):
     return text_frames(spark, sf).groupBy("object").agg(F.count(F.lit(1)).alias("frames"), F.countDistinct("video_id").alias("videos"))
 
 
-@query("SELECT doc_id AS frame_id, '[CAPTION] ' || left(text, 40) || chr(10) || '[OCR] ' || source || chr(10) || '[OBJECTS] ' || lang || ' | ' || source AS document FROM documents")
+@query("SELECT doc_id AS frame_id, '[CAPTION] ' || text || chr(10) || '[OCR] ' || source || chr(10) || '[OBJECTS] ' || lang || ' | ' || source AS document FROM documents")
 def tagged_document(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("frame_id"), F.concat_ws("\n", F.concat(F.lit("[CAPTION] "), F.left("text", F.lit(40))), F.concat(F.lit("[OCR] "), "source"), F.concat(F.lit("[OBJECTS] "), F.array_join(F.array_distinct(F.array("lang", "source")), " | "))).alias("document"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("frame_id"), F.concat_ws("\n", F.concat(F.lit("[CAPTION] "), "text"), F.concat(F.lit("[OCR] "), "source"), F.concat(F.lit("[OBJECTS] "), F.array_join(F.array_distinct(F.array("lang", "source")), " | "))).alias("document"))
 
 
 @query("SELECT d.doc_id AS frame_id, e.label, l.quality FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id")
@@ -146,34 +148,35 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("row"), "embedding", "label")
 
 
-def _queries(spark, sf, n):
-    return _vectors(spark, sf).where(F.col("row") < n).select(F.col("row").alias("query_id"), F.col("embedding").alias("query"))
+def _queries(spark, sf, every=50):
+    """The stated query set: each row whose id is divisible by 50, against all rows."""
+    return _vectors(spark, sf).where(F.col("row") % every == 0).select(F.col("row").alias("query_id"), F.col("embedding").alias("query"))
 
 
-def _ip(n, k, extra=""):
-    return f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS "row", round({DOT.format('e.embedding', 'q.embedding')}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < {n}),
+def _ip(k, extra=""):
+    return f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS "row", round({DOT.format('e.embedding', 'q.embedding')}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, "row") AS rank FROM s {extra}) SELECT query_id, "row", score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {k}"""
 
 
-@query(_ip(1, 20))
+@query(_ip(20))
 def vector_topk(spark, sf):
-    return Q.search(_vectors(spark, sf), _queries(spark, sf, 1), 20)
+    return Q.search(_vectors(spark, sf), _queries(spark, sf), 20)
 
 
-@query(_ip(16, 10))
+@query(_ip(10))
 def vector_topk_batch(spark, sf):
-    return Q.search(_vectors(spark, sf), _queries(spark, sf, 16), 10)
+    return Q.search(_vectors(spark, sf), _queries(spark, sf), 10)
 
 
-@query(_ip(4, 50, "WHERE score >= 2e-1"))
+@query(_ip(50, "WHERE score >= 2e-1"))
 def vector_min_score(spark, sf):
-    return Q.search(_vectors(spark, sf), _queries(spark, sf, 4), 50, min_score=0.2)
+    return Q.search(_vectors(spark, sf), _queries(spark, sf), 50, min_score=0.2)
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS "row", round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2e0))), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 4),
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS "row", round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2e0))), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, "row") AS rank FROM s) SELECT query_id, "row", score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def vector_l2_topk(spark, sf):
-    return Q.search(_vectors(spark, sf), _queries(spark, sf, 4), 10, metric="l2")
+    return Q.search(_vectors(spark, sf), _queries(spark, sf), 10, metric="l2")
 
 
 @query(f"WITH n AS (SELECT sqrt({DOT.format('embedding', 'embedding')}) AS n FROM embeddings) SELECT round(avg(n), 6) AS mean_norm, round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm FROM n")
@@ -259,9 +262,9 @@ def consensus_boost(spark, sf):
     return U.consensus(_hits(spark, sf).withColumnRenamed("modality", "query_group"))
 
 
-@query(f"WITH {FT} SELECT shot_id, count(DISTINCT (left(caption, 20), object)) AS signatures FROM ft GROUP BY shot_id HAVING count(DISTINCT (left(caption, 20), object)) > 1")
+@query(f"WITH {FT} SELECT shot_id, count(DISTINCT (caption, object)) AS signatures FROM ft GROUP BY shot_id HAVING count(DISTINCT (caption, object)) > 1")
 def conflicting_shots(spark, sf):
-    return text_frames(spark, sf).groupBy("shot_id").agg(F.countDistinct(F.struct(F.left("caption", F.lit(20)), "object")).alias("signatures")).where("signatures > 1")
+    return text_frames(spark, sf).groupBy("shot_id").agg(F.countDistinct(F.struct("caption", "object")).alias("signatures")).where("signatures > 1")
 
 
 @query(f"WITH {HITS}, s AS (SELECT frame_id, list_reverse_sort(list(score)) AS a FROM h GROUP BY frame_id) SELECT frame_id, round(7e-1 * a[1] + (1 - 7e-1) * (list_sum(a[1:2]) / len(a[1:2])), 10) AS score FROM s")
@@ -380,15 +383,13 @@ def phash_band_dups(spark, sf):
 
 
 def _pools(spark, sf, n):
-    """A capped pool of hits for each event of a query: per video the 8 most confident rows of each event type."""
+    """The hits of each event of a query: all rows of an event type."""
     f = event_frames(spark, sf)
     kinds = ["click", "view", "purchase", "signup"][:n]
-    best = Window.partitionBy("video_id", "object").orderBy(F.desc("confidence"), "frame_id")
-    pool = f.where(F.col("object").isin(kinds)).withColumn("_r", F.row_number().over(best)).where("_r <= 8")
-    return [pool.where(F.col("object") == k).select("video_id", "frame_id", "ts", F.round("confidence", 6).alias("quality")) for k in kinds]
+    return [f.where(F.col("object") == k).select("video_id", "frame_id", "ts", F.round("confidence", 6).alias("quality")) for k in kinds]
 
 
-POOL = f"{FE}, pool AS (SELECT video_id, frame_id, ts, object, round(confidence, 6) AS quality FROM (SELECT *, row_number() OVER (PARTITION BY video_id, object ORDER BY confidence DESC, frame_id) AS r FROM fe) WHERE r <= 8)"
+POOL = f"{FE}, pool AS (SELECT video_id, frame_id, ts, object, round(confidence, 6) AS quality FROM fe)"
 
 
 @query(f"""WITH {POOL} SELECT a.video_id, a.frame_id AS frame_id1, b.frame_id AS frame_id2, round(greatest(0e0, 65e-2 * least(a.quality, b.quality) + 35e-2 * (a.quality + b.quality) / 2 - least(2e-1, (b.ts - a.ts) / 864000 * 2e-1)), 6) AS score
@@ -440,11 +441,21 @@ def kbest_alignment(spark, sf):
     return S.kbest(rows, 3, k=5)
 
 
+def _clip_frames(spark, sf):
+    return text_frames(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), "embedding"), "frame_id").select("video_id", "shot_id", F.col("frame_id").alias("row"), "ts", "embedding")
+
+
 @query()
 def cses_select(spark, sf):
-    dense = text_frames(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), "embedding"), "frame_id").select("video_id", "shot_id", F.col("frame_id").alias("row"), "ts", "embedding")
     first = table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").limit(1).collect()
-    return S.select_in_clips(dense, list(first[0][0]), most=4)
+    return S.select_in_clips(_clip_frames(spark, sf), list(first[0][0]), S.ClipProfile(most=4))
+
+
+@query()
+def cses_select_events(spark, sf):
+    first = table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").limit(1).collect()
+    events = F.array_compact(F.array(F.when(F.col("row") % 3 == 0, "first"), F.when(F.col("row") % 4 == 0, "second")))
+    return S.select_in_clips(_clip_frames(spark, sf).withColumn("events", events), list(first[0][0]), S.ClipProfile(weights=(0.5, 0.3, 0.2), most=6))
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------------
@@ -459,11 +470,11 @@ def trake_r_score(spark, sf):
     return S.r_score(guess.withColumn("id", F.col("video_id")), truth.select(F.col("video_id").alias("id"), F.col("video_id").alias("truth_video"), "intervals")).select("video_id", "r")
 
 
-@query(_ip(16, 10).replace("SELECT query_id, \"row\", score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10", "") + """, j AS (SELECT r.query_id, r.rank, a.label = b.label AS hit FROM r JOIN embeddings a ON a.vec_id = r."row" JOIN embeddings b ON b.vec_id = r.query_id WHERE rank <= 10 AND rank > 1),
+@query(_ip(10).replace("SELECT query_id, \"row\", score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10", "") + """, j AS (SELECT r.query_id, r.rank, a.label = b.label AS hit FROM r JOIN embeddings a ON a.vec_id = r."row" JOIN embeddings b ON b.vec_id = r.query_id WHERE rank <= 10 AND rank > 1),
   m AS (SELECT query_id, min(CASE WHEN hit THEN rank END) AS first FROM j GROUP BY query_id)
   SELECT avg(CASE WHEN first <= 2 THEN 1e0 ELSE 0e0 END) AS hit_at_2, avg(CASE WHEN first <= 5 THEN 1e0 ELSE 0e0 END) AS hit_at_5, avg(CASE WHEN first <= 10 THEN 1e0 ELSE 0e0 END) AS hit_at_10 FROM m""")
 def hit_at_k(spark, sf):
-    got = Q.search(_vectors(spark, sf), _queries(spark, sf, 16), 10).where("rank > 1")
+    got = Q.search(_vectors(spark, sf), _queries(spark, sf), 10).where("rank > 1")
     label = _vectors(spark, sf).select("row", "label")
     hits = got.join(label, "row").join(label.select(F.col("row").alias("query_id"), F.col("label").alias("want")), "query_id").select("query_id", "rank", (F.col("label") == F.col("want")).alias("hit"))
     return E.hit_at(hits, (2, 5, 10))

@@ -21,20 +21,18 @@ from lumenframe.sources.corpus import event_frames, table, text_frames
 # --- records --------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id AS frame_id, CASE doc_id % 3 WHEN 0 THEN source || ' ' || lang WHEN 1 THEN left(text, 20) ELSE lang END AS modality_text FROM documents WHERE text IS NOT NULL AND trim(left(text, 20)) <> '' AND lang IS NOT NULL")
+@query("SELECT doc_id AS frame_id, CASE WHEN doc_id % 3 = 0 THEN concat_ws(' ', source, lang) WHEN doc_id % 3 = 1 AND trim(text) <> '' THEN text ELSE coalesce(lang, '') END AS modality_text FROM documents")
 def modality_text(spark, sf):
     m = F.col("doc_id") % 3
-    d = table(spark, sf, "documents").where("text IS NOT NULL AND trim(left(text, 20)) <> '' AND lang IS NOT NULL")
     regions = F.when(m == 0, F.array(F.struct(F.col("source").alias("text")), F.struct(F.lit(" ").alias("text")), F.struct(F.col("lang").alias("text"))))
-    return d.select(F.col("doc_id").alias("frame_id"), B.modality_text(F.when(m == 1, F.left("text", F.lit(20))).when(m == 0, ""), regions, F.array("lang")).alias("modality_text"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("frame_id"), B.modality_text(F.when(m == 1, F.col("text")).when(m == 0, ""), regions, F.array("lang")).alias("modality_text"))
 
 
-@query("SELECT doc_id AS frame_id, source || '|' || lang AS labels, lang || '|' || source AS classes FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+@query("SELECT doc_id AS frame_id, concat_ws('|', source, lang, CASE WHEN source IS NULL THEN 'x' END) AS labels, concat_ws('|', lang, source) AS classes FROM documents")
 def object_labels(spark, sf):
     obj = lambda label, cls: F.struct(label.alias("label"), cls.alias("class_name"))
     objects = F.array(obj(F.lit(""), F.col("source")), obj(F.col("lang"), F.col("source")), obj(F.col("source"), F.lit("x")), obj(F.lit(None).cast("string"), F.lit("")))
-    d = table(spark, sf, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
-    return d.select(F.col("doc_id").alias("frame_id"), F.array_join(B.labels_of(objects), "|").alias("labels"), F.array_join(B.labels_in(F.concat_ws(",", "lang", F.lit(" "), "source", "lang")), "|").alias("classes"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("frame_id"), F.array_join(B.labels_of(objects), "|").alias("labels"), F.array_join(B.labels_in(F.concat_ws(",", "lang", F.lit(" "), "source", "lang")), "|").alias("classes"))
 
 
 @query("SELECT d.doc_id AS frame_id, e.label, l.quality FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id JOIN labels l ON l.doc_id = d.doc_id")
@@ -96,7 +94,7 @@ def model_score_blend(spark, sf):
 def dense_rescue_clips(spark, sf):
     fused = U.rrf(_hits(spark, sf)).join(text_frames(spark, sf).select("frame_id", "shot_id"), "frame_id")
     coarse = U.clips(fused, 15).withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "video_id", "shot_id")))
-    found = Q.search(_vectors(spark, sf), _queries(spark, sf, 1), 300).select(F.col("row").alias("frame_id"), "rank")
+    found = Q.search(_vectors(spark, sf), _queries(spark, sf).where("query_id = 0"), 300).select(F.col("row").alias("frame_id"), "rank")
     return K.rescued_clips(coarse, found.join(text_frames(spark, sf).select("frame_id", "video_id", "shot_id"), "frame_id"))
 
 
@@ -156,7 +154,7 @@ def transition_nms(spark, sf):
 
 @query()
 def hash_distinct_frames(spark, sf):
-    return P.distinct_frames(text_frames(spark, sf).withColumn("hash", F.xxhash64(F.left(F.coalesce("caption", F.lit("")), F.lit(12)))))
+    return P.distinct_frames(text_frames(spark, sf).withColumn("hash", F.xxhash64(F.coalesce("caption", F.lit("")))))
 
 
 def _candidates(spark, sf):

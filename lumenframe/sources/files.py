@@ -77,7 +77,7 @@ def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{name}")
     saved = spark.read.schema(df.schema).parquet(f"{path}/{name}")
     manifest = {"generation": name, "rows": saved.count(), "digest": digest(saved), "columns": sorted(df.columns)}
-    _put(spark, f"{path}/CURRENT", json.dumps(manifest, sort_keys=True))
+    _replace(spark, f"{path}/CURRENT", json.dumps(manifest, sort_keys=True))
     return name
 
 
@@ -97,6 +97,17 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def _replace(spark: SparkSession, path: str, text: str) -> None:
+    """Write beside the file, then rename over it: readers see the old text or the new one."""
+    hadoop, new = spark._jvm.org.apache.hadoop.fs, f"{path}.{uuid.uuid4().hex}"
+    _put(spark, new, text)
+    context = hadoop.FileContext.getFileContext(hadoop.Path(path).toUri(), spark._jsc.hadoopConfiguration()) if hadoop.Path(path).toUri().getScheme() else hadoop.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(hadoop.Path(new), hadoop.Path(path), options)
+
+
 def _get(spark: SparkSession, path: str) -> str:
     return "\n".join(r.value for r in spark.read.text(path).collect())
 

@@ -39,9 +39,9 @@ def test_chain_dp_equals_enumeration():
         rows = sorted((rng.randint(0, 9) * 1.0, str(i)) for i in range(n))
         rel = np.array([[rng.random() for _ in range(n)] for _ in range(events)])
         best = max((sum(rel[e][j] for e, j in enumerate(c)) for c in itertools.product(range(n), repeat=events) if all(0 <= rows[b][0] - rows[a][0] <= 4 for a, b in zip(c, c[1:], strict=False))), default=None)
-        got = S.chain_dp(rows, rel, 4)
+        got = S.chain_dp(np.array([t for t, _ in rows]), rel, 4)
         assert max(got) == pytest.approx(best / events)
-    assert S.chain_dp([(0.0, "a"), (1.0, "b")], np.array([[0.2, 0.3]]), 4) == [1.0, 1.0]
+    assert list(S.chain_dp(np.array([0.0, 1.0]), np.array([[0.2, 0.3]]), 4)) == [1.0, 1.0]
 
 
 def test_selection_covers_events_and_leaves_out_near_duplicates():
@@ -51,6 +51,52 @@ def test_selection_covers_events_and_leaves_out_near_duplicates():
     assert [i for i, _ in got] == [2, 0]
 
 
+def test_selection_picks_the_largest_gain_each_time():
+    """Gains of each pick recomputed from the definition, for random clips with events."""
+    rng = np.random.default_rng(5)
+    p = S.ClipProfile(most=6)
+    for _ in range(40):
+        n = int(rng.integers(1, 9))
+        m = rng.normal(size=(n, 3))
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        sim, ts, rel = np.clip(m @ m.T, -1, 1), np.sort(rng.uniform(0, 10, n)), rng.uniform(0, 1, n)
+        events = [set(rng.choice(["x", "y"], rng.integers(0, 3))) for _ in range(n)]
+        names = set().union(*events)
+        got = S.cses(rel, sim, ts, list(range(n)), events, p)
+        width = max(ts.max() - ts.min(), 1e-9)
+        place = [min(3, int((t - ts.min()) / width * 4)) for t in ts]
+        taken: list[int] = []
+
+        def gain(i, taken=taken, sim=sim, rel=rel, place=place, events=events, names=names):
+            seen = lambda rows: np.mean([max([0.0, *(sim[j, c] for c in rows)]) for j in range(len(rel))])
+            new = 0.5 * (place[i] not in {place[c] for c in taken}) / 4 + 0.5 * len(events[i] - set().union(*(events[c] for c in taken))) / max(1, len(names))
+            return 0.7 * rel[i] + 0.2 * (seen([*taken, i]) - seen(taken)) + 0.1 * new
+
+        for k, (i, g) in enumerate(got):
+            assert g == pytest.approx(gain(i), abs=2e-8) and i not in taken
+            covered = set().union(*(events[c] for c in taken))
+            if k >= len(names) and covered == names:
+                open_ = [j for j in range(n) if j not in taken and not any(sim[j, c] > 0.92 and abs(ts[j] - ts[c]) <= 2 for c in taken)]
+                assert i in open_ and g >= max(gain(j) for j in open_) - 2e-8
+            taken.append(i)
+
+
+def test_groups_without_a_result(spark):
+    """A video without a rising chain, one where nothing may be chosen, empty inputs: no row, and no failure."""
+    rows = spark.createDataFrame([("v", 0, 10, 0.5), ("v", 1, 5, 0.5), ("w", 0, 1, 0.5), ("w", 1, 2, 0.5)], "video_id string, event int, frame long, score double")
+    assert [r.video_id for r in S.kbest(rows, 2).collect()] == ["w"]
+    assert S.kbest(rows.where("video_id = 'v'"), 2).count() == 0 and S.kbest(rows.limit(0), 2).count() == 0
+    from lumenframe.operators import rerank, selection
+
+    one = spark.createDataFrame([("v", "c", 1.0, 1, 0.5, None, [1.0, 0.0], [], 2.0)], "video_id string, candidate_id string, ts double, frame long, importance double, duplicate_group string, embedding array<float>, event_ids array<string>, duration double")
+    assert selection.select_keyframes(one, hard_max=0).count() == 0 and selection.select_keyframes(one.limit(0)).count() == 0
+    assert S.select_in_clips(one.selectExpr("video_id", "'s' shot_id", "frame row", "ts", "embedding"), [1.0, 0.0], S.ClipProfile(most=0)).count() == 0
+    assert S.chain_scores(rows.selectExpr("video_id", "string(frame) candidate_id", "double(frame) ts", "array(score, score) relevance").limit(0), 1.0).count() == 0
+    paths = S.kbest(rows, 2).selectExpr("video_id", "string(rank) path_id", "frames", "score")
+    assert rerank.ranked_sequences(paths.limit(0), 2, radius=1).count() == 0
+    assert selection.strongest(one.selectExpr("video_id", "frame frame_id", "ts", "importance strength").limit(0)).count() == 0
+
+
 def test_greedy_lists():
     assert S.kept_captions(["a person cooks", "a person cooks", "a person cooks.", "rain", ""]) == [0, 3]
     assert S.suppressed([1, 3, 2, 1], [0, 0.5, 1.2, 5], 1.0) == [1, 3]
