@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm._shared import checkpoint_groups, fresh, join_groups, let, packed, quoted, unpacked, words_of
+from lumenframe.llm._shared import checkpoint_groups, fresh, join_groups, let, packed, quoted, unpacked, words_of, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -181,7 +181,8 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = Window.partitionBy("_g")
     groups = checkpoint_groups(named.withColumn("_all", F.sum("count").over(total)).where(F.col("_all") >= MIN_GROUP).select("_lang", "_source", "_g"))
     bound = groups.count() * STARTS
-    rows = join_groups(usable, groups, ["_lang", "_source"], bound=bound).select("_g", *FEATURES)
+    # five short columns, which all steps read
+    rows = written(join_groups(usable, groups, ["_lang", "_source"], bound=bound).select("_g", *FEATURES))
     # first start: medians and median absolute deviations
     long = rows.select("_g", F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.col(f).alias("_v")) for k, f in enumerate(FEATURES)])).alias("x")).select("_g", "x._k", "x._v")
     medians = checkpoint_groups(_coordinates(_bin_quantile(long.withColumn("_b", F.floor(F.col("_v") / MEDIAN_BIN).cast("long")), ["_g", "_k"], "_b", 0.5), "_md"))
