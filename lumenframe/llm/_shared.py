@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ BROADCAST_ROWS = 20_000
 SALTS = 64
 #: Tables of one row per group are checkpointed in at most this many files.
 GROUP_FILES = 16
+#: Rows of an Arrow batch that goes to a Python worker (texts can be long, and the session's default is 10,000 rows).
+BATCH_ROWS = 1_000
 #: Words are runs of anything but the six ASCII white-space characters.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -94,6 +99,31 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
 
 
+def hand_back() -> None:
+    """Give memory that is free in this process back to the system: Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow() in bounded memory: batches of at most BATCH_ROWS rows (a larger setting of the session is lowered, as it
+    is read when the plan runs), and workers that give freed memory back at the end of each task."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and bind it to a lambda variable (else each lambda call evaluates it again)."""
     return F.element_at(F.transform(F.array(value), body), 1)

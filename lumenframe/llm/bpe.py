@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lumenframe.llm._shared import numbered, quoted
+from lumenframe.llm._shared import map_batches, numbered, quoted
 
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_S}\p{{L}}\p{{N}}]+")
@@ -225,7 +225,7 @@ def _mapped(df: DataFrame, made: list[T.StructField], column: str, values) -> Da
             got = values(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *got], names=names)
 
-    return numbered(source).mapInArrow(run, schema)
+    return map_batches(numbered(source), run, schema)
 
 
 class BpeOperator:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm._shared import numbered, quoted
+from lumenframe.llm._shared import map_batches, numbered, quoted
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
@@ -111,7 +111,7 @@ def _sampled(rows: DataFrame, config: TrainConfig) -> list:
                     out["n"].append((n / n.sum()).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["bucket"], pa.binary()), pa.array(out["n"], pa.binary())], names=list(out))
 
-    return sorted(some.select("text", "lang").mapInArrow(count, schema).collect(), key=lambda r: (r.lang, bytes(r.bucket), bytes(r.n)))
+    return sorted(map_batches(some.select("text", "lang"), count, schema).collect(), key=lambda r: (r.lang, bytes(r.bucket), bytes(r.n)))
 
 
 def train(rows: DataFrame, config: TrainConfig = TrainConfig()) -> Model:
@@ -178,4 +178,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 got = [m.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _, _ in got], pa.string()), pa.array([s for _, s, _ in got], pa.float64()), pa.array([yes for _, _, yes in got], pa.bool_())], names=schema.fieldNames())
 
-    return numbered(source).mapInArrow(run, schema)
+    return map_batches(numbered(source), run, schema)

@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lumenframe.llm._shared import map_batches
 from lumenframe.llm.bpe import _small, byte_letters
 
 SEQUENCE = 2048
@@ -184,7 +185,7 @@ def pack(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "text", si
         if rows:
             yield flush(rows)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return map_batches(docs.select(key, text), run, schema)
 
 
 END_BYTES = np.uint32(END_ID).tobytes()

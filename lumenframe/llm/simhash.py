@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm._shared import checkpoint, numbered, quoted, written
+from lumenframe.llm._shared import checkpoint, map_batches, numbered, quoted, written
 
 MAX_BITS = 2
 MIN_BYTES = 6
@@ -63,7 +63,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp") -> Da
                 b = batch.slice(k, 512)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint_of(t.as_py()) for t in b.column(at)], pa.int64())], names=schema.fieldNames())
 
-    return numbered(docs.select(*[quoted(f.name) for f in kept])).mapInArrow(run, schema)
+    return map_batches(numbered(docs.select(*[quoted(f.name) for f in kept])), run, schema)
 
 
 def hex_of(fp: Column) -> Column:
