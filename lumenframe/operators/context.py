@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import vector as V
+from lumenframe.operators import records as R
 
 #: Seconds of a bucket of the interval join.
 BUCKET_SECONDS = 10
@@ -154,6 +155,34 @@ def selection_audit(candidates: DataFrame, events: DataFrame, selected: DataFram
     return both.withColumn("satisfied", (F.col("missing_events") == 0) & (F.col("missing_shots") == 0))
 
 
+def video_report(candidates: DataFrame, selected: DataFrame, events: DataFrame, durations: DataFrame, max_gap: float, target: int | None = None) -> DataFrame:
+    """Per video of ``candidates``: counts, covered shots, protected events with a selected candidate, gaps over ``max_gap``,
+    frames a minute, the overrun of a soft ``target``, and status ``passed`` where shots, events and gaps all hold.
+
+    candidates: (video_id, frame_id, shot_id, ts); selected: (frame_id, protected), of the candidates, once each; events:
+    (video_id, event_id, frame_id), a row for each supporting candidate; durations: (video_id, duration). Ratios of nothing
+    are null.
+    """
+    chosen = selected.select("frame_id", F.coalesce("protected", F.lit(False)).alias("_p"), F.lit(True).alias("_in"))
+    held = candidates.join(chosen, "frame_id", "left")
+    shots = held.groupBy("video_id", "shot_id").agg(F.count(F.lit(1)).alias("_n"), F.count("_in").alias("_s"), F.count(F.when(F.col("_p"), 1)).alias("_p"))
+    out = shots.groupBy("video_id").agg(
+        F.sum("_n").alias("candidate_count"), F.sum("_s").alias("selected_count"), F.sum("_p").alias("protected_selected_count"), F.count(F.lit(1)).alias("shot_count"), F.count(F.when(F.col("_s") > 0, 1)).alias("covered_shot_count")
+    )
+    each = events.join(chosen, "frame_id", "left").groupBy("video_id", "event_id").agg(F.count("_in").alias("_s"))
+    seen = each.groupBy("video_id").agg(F.count(F.lit(1)).alias("event_count"), F.count(F.when(F.col("_s") > 0, 1)).alias("satisfied_event_count"))
+    gaps = R.coverage(R.coverage_gaps(held.where("_in"), durations), max_gap).select("video_id", "violations", F.col("max_gap").alias("largest_gap"))
+    ratio = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 6)
+    rows = out.join(seen, "video_id", "left").fillna(0, ["event_count", "satisfied_event_count"]).join(durations, "video_id", "left").join(gaps, "video_id", "left")
+    rows = rows.withColumns({"shot_recall": ratio("covered_shot_count", "shot_count"), "event_recall": ratio("satisfied_event_count", "event_count")})
+    over = F.greatest(F.lit(0), F.col("selected_count") - target) if target is not None else F.lit(None).cast("long")
+    passed = (F.coalesce("violations", F.lit(0)) == 0) & (F.col("covered_shot_count") == F.col("shot_count")) & (F.col("satisfied_event_count") == F.col("event_count"))
+    return rows.withColumns({
+        "keyframes_per_minute": F.when(F.col("duration") > 0, F.round(F.col("selected_count") * 60 / F.col("duration"), 6)).otherwise(0.0),
+        "overrun_count": over, "overrun_ratio": F.round(over / F.nullif(F.lit(target), F.lit(0)), 6), "status": F.when(passed, "passed").otherwise("failed"),
+    })
+
+
 def optional(text: Column, kind: str) -> Column:
     """A value of a loosely typed field: null and the empty string are null."""
     return F.nullif(text, F.lit("")).cast(kind)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import text as X
@@ -28,10 +28,14 @@ def search(docs: DataFrame, terms: list[str], key: str = "frame_id", text: str =
     """
     own = docs.select(key, F.size(X.tokens(F.col(text))).alias("doc_len"), F.explode(F.filter(X.stems_of(F.col(text)), lambda s: s.isin(terms))).alias("stem"))
     tf = own.groupBy(key, "stem").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+    return scored(tf.join(F.broadcast(stats(docs, text))), F.col("doc_count"), F.col("avg_doc_len"), key)
+
+
+def scored(tf: DataFrame, doc_count: Column, avg_doc_len: Column, key: str = "frame_id") -> DataFrame:
+    """(key, bm25, matched) from the postings (key, stem, tf, doc_len) of a query's stems."""
     df = tf.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))  # a row for each query term at most
-    scored = tf.join(F.broadcast(df), "stem").join(F.broadcast(stats(docs, text)))
-    score = X.bm25(F.col("tf"), F.col("df"), F.col("doc_count"), F.col("doc_len"), F.col("avg_doc_len"))
-    return scored.groupBy(key).agg(F.sum(score).alias("bm25"), F.sort_array(F.collect_set("stem")).alias("matched"))
+    score = X.bm25(F.col("tf"), F.col("df"), doc_count, F.col("doc_len"), avg_doc_len)
+    return tf.join(F.broadcast(df), "stem").groupBy(key).agg(F.sum(score).alias("bm25"), F.sort_array(F.collect_set("stem")).alias("matched"))
 
 
 def with_quality(hits: DataFrame, docs: DataFrame, terms: list[str], key: str = "frame_id", text: str = "caption", digits: int = 6) -> DataFrame:

@@ -14,6 +14,7 @@ from lumenframe.operators import rerank as K
 from lumenframe.operators import sequences as S
 from lumenframe.operators import vectors as Q
 from lumenframe.plans import parse
+from lumenframe.sources import textindex
 
 POOL, CLIPS, MOST, CAPS = 200, 50, 200, {"qa": 100, "trake": 100}
 DEFAULTS = {"kis": 20, "avs": 20, "qa": 20, "trake": 100}
@@ -23,12 +24,14 @@ DEFAULTS = {"kis": 20, "avs": 20, "qa": 20, "trake": 100}
 class Engine:
     """Searches frames (video_id, frame_id, frame_index, ts, shot_id, caption) and, if given, vectors (row = frame_id, embedding).
 
+    ``index`` is the path of a stored text index of the same frames (textindex.publish); without it captions are stemmed at each search.
     Each retrieval cuts its list to a pool on the executors before anything is fused.
     """
 
     frames: DataFrame
     vectors: DataFrame | None = None
     pool: int = POOL
+    index: str | None = None
 
     def terms(self, query: str) -> list[str]:
         """Distinct content stems of a query, all stems where none is left."""
@@ -40,7 +43,8 @@ class Engine:
         terms = self.terms(query)
         if not terms:
             return self._listed(self.frames.select("frame_id").limit(0).withColumn("score", F.lit(0.0)), "caption")
-        hits = L.search(self.frames, terms).orderBy(F.desc("bm25"), F.desc("frame_id")).limit(self.pool)
+        found = L.search(self.frames, terms) if self.index is None else textindex.search(self.frames.sparkSession, self.index, terms)
+        hits = found.orderBy(F.desc("bm25"), F.desc("frame_id")).limit(self.pool)
         scored = L.with_quality(hits, self.frames, terms)
         return self._listed(scored.select("frame_id", F.col("quality").alias("score")), "caption")
 

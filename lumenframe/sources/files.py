@@ -9,6 +9,7 @@ import csv
 import io
 import json
 import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,18 @@ def file_video(path_column: str = "_metadata.file_name") -> Column:
     return F.regexp_extract(F.col(path_column), r"^(?:keyframes|captions|ocr|objects|segments)_(.*)\.jsonl?$", 1)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        found = f"file://{tempfile.mkdtemp(prefix='lumenframe-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
 def digest(df: DataFrame) -> str:
     """A fingerprint of a table's rows that doesn't depend on their order: an exact sum of row hashes, with the row count."""
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
@@ -77,13 +90,13 @@ def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{name}")
     saved = spark.read.schema(df.schema).parquet(f"{path}/{name}")
     manifest = {"generation": name, "rows": saved.count(), "digest": digest(saved), "columns": sorted(df.columns)}
-    _replace(spark, f"{path}/CURRENT", json.dumps(manifest, sort_keys=True))
+    replace(spark, f"{path}/CURRENT", json.dumps(manifest, sort_keys=True))
     return name
 
 
 def load(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
     """The current generation of a published table; with ``verify`` its rows must match the manifest."""
-    manifest = json.loads(_get(spark, f"{path}/CURRENT"))
+    manifest = json.loads(get(spark, f"{path}/CURRENT"))
     df = spark.read.parquet(f"{path}/{manifest['generation']}")
     if sorted(df.columns) != manifest["columns"] or (verify and digest(df) != manifest["digest"]):
         raise ValueError(f"{path}: {manifest['generation']} differs from its manifest")
@@ -97,7 +110,7 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def _replace(spark: SparkSession, path: str, text: str) -> None:
+def replace(spark: SparkSession, path: str, text: str) -> None:
     """Write beside the file, then rename over it: readers see the old text or the new one."""
     hadoop, new = spark._jvm.org.apache.hadoop.fs, f"{path}.{uuid.uuid4().hex}"
     _put(spark, new, text)
@@ -108,7 +121,7 @@ def _replace(spark: SparkSession, path: str, text: str) -> None:
     context.rename(hadoop.Path(new), hadoop.Path(path), options)
 
 
-def _get(spark: SparkSession, path: str) -> str:
+def get(spark: SparkSession, path: str) -> str:
     return "\n".join(r.value for r in spark.read.text(path).collect())
 
 
