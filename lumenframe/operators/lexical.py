@@ -10,7 +10,8 @@ from lumenframe.functions import text as X
 
 def postings(docs: DataFrame, key: str = "frame_id", text: str = "caption") -> DataFrame:
     """(key, stem, tf, doc_len): how often each stem occurs in each text. doc_len counts raw tokens."""
-    words = docs.select(key, F.explode(X.tokens(F.col(text))).alias("token"), F.size(X.tokens(F.col(text))).alias("doc_len"))
+    # the length is taken before the explosion: beside it, it would be worked out anew for each token
+    words = docs.select(key, X.tokens(F.col(text)).alias("_w"), F.size(X.tokens(F.col(text))).alias("doc_len")).select(key, F.explode("_w").alias("token"), "doc_len")
     # stem each distinct token of a text once
     counted = words.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"), F.first("doc_len").alias("doc_len"))
     return counted.select(key, X.stem("token").alias("stem"), "n", "doc_len").groupBy(key, "stem").agg(F.sum("n").alias("tf"), F.first("doc_len").alias("doc_len"))
@@ -26,7 +27,7 @@ def search(docs: DataFrame, terms: list[str], key: str = "frame_id", text: str =
 
     The scan keeps only tokens that stem to a query term before anything is shuffled.
     """
-    own = docs.select(key, F.size(X.tokens(F.col(text))).alias("doc_len"), F.explode(F.filter(X.stems_of(F.col(text)), lambda s: s.isin(terms))).alias("stem"))
+    own = docs.select(key, F.size(X.tokens(F.col(text))).alias("doc_len"), F.filter(X.stems_of(F.col(text)), lambda s: s.isin(terms)).alias("_s")).select(key, "doc_len", F.explode("_s").alias("stem"))
     tf = own.groupBy(key, "stem").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
     return scored(tf.join(F.broadcast(stats(docs, text))), F.col("doc_count"), F.col("avg_doc_len"), key)
 

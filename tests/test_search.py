@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +206,50 @@ def test_search(spark):
     assert e.search("").count() == 0
     with pytest.raises(ValueError):
         e.search("x", "other")
+
+
+def test_stored_index_adds_segments_and_prunes(spark, tmp_path):
+    from lumenframe.operators import lexical as L
+    from lumenframe.sources import textindex
+
+    docs = spark.createDataFrame([(1, "a man walks walks"), (2, "dogs bark"), (3, None), (4, ""), (5, "the dog walked")], "frame_id long, caption string")
+    path = f"file://{tmp_path}/index"
+    textindex.publish(docs.where("frame_id < 4"), path)
+    with pytest.raises(ValueError):  # a key that is there already, and one twice in a segment
+        textindex.publish(docs.where("frame_id = 2"), path, add=True)
+    with pytest.raises(ValueError):
+        textindex.publish(docs.unionByName(docs), f"{path}2")
+    assert textindex.postings(spark, path).select("frame_id").distinct().count() == 2
+    textindex.publish(docs.where("frame_id >= 4"), path, add=True)
+    own = {r.frame_id: (round(r.bm25, 9), r.matched) for r in textindex.search(spark, path, ["walk", "dog"]).collect()}
+    assert own == {r.frame_id: (round(r.bm25, 9), r.matched) for r in L.search(docs, ["walk", "dog"]).collect()} and set(own) == {1, 2, 5}
+    plan = textindex.postings(spark, path, ["walk"])._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+    textindex.publish(docs.limit(0), f"{path}3")
+    assert textindex.search(spark, f"{path}3", ["walk"]).count() == 0
+
+
+def test_engine_with_a_stored_index(spark, tmp_path):
+    from lumenframe.plans.engine import Engine
+    from lumenframe.sources import textindex
+
+    frames = spark.createDataFrame([(k, "v", k, float(k), f"s{k // 2}", c) for k, c in enumerate(["a dog runs", "a red car", "the dog and a car", "rain"])], "frame_id long, video_id string, frame_index long, ts double, shot_id string, caption string")
+    path = f"file://{tmp_path}/index"
+    textindex.publish(frames, path)
+    assert Engine(frames, index=path).search("dog car").collect() == Engine(frames).search("dog car").collect()
+
+
+def test_regions(spark):
+    from pyspark.sql import functions as F
+
+    from lumenframe.operators import regions as G
+
+    rows = spark.createDataFrame([("Café\u0000  ở đây\n", 0.9, None), (" \t", 0.9, "en"), ("low", 0.2, None), (None, 0.9, None), ("plain", 0.5, ""), ("東京", 0.7, None)], "text string, confidence double, language string")
+    got = {r.text: (r.unaccented_text, r.language) for r in G.text_regions(rows, 0.5).collect()}
+    assert got == {"Café ở đây": ("Cafe o day", "vi"), "plain": ("plain", "en"), "東京": ("東京", None)}
+    size = (F.lit(100.0), F.lit(50.0))
+    shape = lambda points: G.polygon_geometry(F.lit(points).cast("array<array<double>>") if points is None else F.array(*[F.array(*map(F.lit, p)) for p in points]), *size)
+    one = spark.range(1).select(shape([(-10.0, 0.0), (50.0, 0.0), (50.0, 80.0)]).alias("p"), shape(None).alias("n"), G.box_area(F.array(*map(F.lit, (90.0, 0.0, 10.0, 9.0))), *size).alias("b")).first()
+    assert tuple(one.p) == (0.5, 0.25, 0.5) and one.n is None and one.b == 0.0
+    with pytest.raises(Exception, match="three points"):
+        spark.range(1).select(shape([(0.0, 0.0), (1.0, 1.0)]).alias("p")).collect()

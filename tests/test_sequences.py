@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe.operators import sequences as S
 from lumenframe.operators import timeline as T
@@ -132,3 +133,27 @@ def test_neighbours_exclude_self_and_other_videos(spark):
 def test_normalize_without_optional_columns(spark):
     row = normalize_frames(spark.createDataFrame([("V", "f", None)], "video_id string, frame_id string, frame_index long")).first()
     assert (row.timestamp, row.timestamp_source, row.timestamp_confidence, row.caption) == (None, "unknown", 0.0, None)
+
+
+def test_local_hypotheses_and_paths(spark):
+    from lumenframe.operators import refine as N
+
+    scores = [(1, f, s, m) for f, s, m in ((10, 0.1, 0.0), (11, 0.2, 0.1), (12, 0.9, 0.8), (13, 0.8, 0.1))]
+    scores += [(2, f, 0.5, None) for f in (5, 6, 7)]  # flat
+    scores += [(3, f, s, 0.0) for f, s in ((1, 0.0), (2, 1.0), (3, 1.0))]  # a change without motion
+    scores += [(4, f, s, None) for f, s in ((1, 0.2), (2, 0.7), (3, 0.1), (4, 0.6))]  # two peaks
+    scores += [(5, f, s, None) for f, s in ((1, 0.0), (2, 1.0), (3, 0.1))]  # a change that isn't confirmed
+    windows = spark.createDataFrame([(1, "first_leave", 13), (2, "peak", 7), (3, "first_contact", None), (4, "peak", None), (5, "first_transition", None), (6, None, None)], "window_id int, boundary string, coarse int")
+    got = N.local_hypotheses(spark.createDataFrame(scores, "window_id int, frame int, score double, motion double"), windows, 3)
+    by = {}
+    for r in got.orderBy("window_id", "rank").collect():
+        by.setdefault(r.window_id, []).append((r.frame, r.strategy, r.confidence, r.source))
+    assert [x[0] for x in by[1]] == [12, 13, 11] and by[1][0][1:] == ("first_fully_left_state", 1.0, "local_refinement")
+    assert by[2] == [(7, "flat_local_score_fallback", 0.0, "canonical_metadata")]
+    assert by[3] == [(2, "insufficient_temporal_signal_fallback", 0.0, "canonical_metadata")]
+    assert [x[0] for x in by[4]] == [2, 4] and by[4][0][1] == "local_peak"
+    assert [x[0] for x in by[5]] == [2, 3, 1] and set(by) == {1, 2, 3, 4, 5}
+    paths = spark.createDataFrame([(1, 0.5), (2, 0.4)], "path_id int, score double")
+    choices = spark.createDataFrame([(1, 0, 5, 1.0), (1, 0, 9, 0.2), (1, 1, 7, 0.5), (1, 1, 10, 0.1), (2, 0, 8, 1.0), (2, 1, 8, 1.0)], "path_id int, event int, frame long, confidence double")
+    rows = [(r.path_id, r.frames, r.score) for r in N.refined_paths(paths, choices, 2).orderBy(F.desc("score"), "frames").collect()]
+    assert rows == [(1, [5, 7], 0.5375), (1, [5, 10], 0.5075), (1, [9, 10], 0.4475)]
