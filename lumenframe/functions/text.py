@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +22,11 @@ K1, B = 1.5, 0.75
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss")), F.lit(r"[\p{L}\p{N}]+"), 0)
+    return F.regexp_extract_all(_lowered(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+
+
+def _lowered(text: Column) -> Column:
+    return F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))
 
 
 def _listed(words) -> str:
@@ -64,6 +70,17 @@ def stems_of(text: Column, content: bool = False) -> Column:
     return F.transform(words, _stem_column)
 
 
+def stems_among(text: Column, terms: list[str]) -> Column:
+    """Those of a text's stems that are in ``terms`` (stems), repeats included.
+
+    A stem is how its token begins, but for a final y (cut endings) and irregular forms; so only tokens that begin so are
+    taken out of the text and stemmed.
+    """
+    starts = {*terms, *(t[:-1] for t in terms if t.endswith("y")), *(k for k, v in STEMS.items() if v in terms)}
+    pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(re.escape, sorted(starts)))})[\p{{L}}\p{{N}}]*"
+    return F.filter(F.transform(F.regexp_extract_all(_lowered(text), F.lit(pattern), 0), _stem_column), lambda s: s.isin(terms))
+
+
 def _stem_column(x: Column) -> Column:
     ends = lambda s: F.endswith(v, F.lit(s))
     v = x

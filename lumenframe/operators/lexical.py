@@ -27,7 +27,7 @@ def search(docs: DataFrame, terms: list[str], key: str = "frame_id", text: str =
 
     The scan keeps only tokens that stem to a query term before anything is shuffled.
     """
-    own = docs.select(key, F.size(X.tokens(F.col(text))).alias("doc_len"), F.filter(X.stems_of(F.col(text)), lambda s: s.isin(terms)).alias("_s")).select(key, "doc_len", F.explode("_s").alias("stem"))
+    own = docs.select(key, F.size(X.tokens(F.col(text))).alias("doc_len"), X.stems_among(F.col(text), terms).alias("_s")).select(key, "doc_len", F.explode("_s").alias("stem"))
     tf = own.groupBy(key, "stem").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
     return scored(tf.join(F.broadcast(stats(docs, text))), F.col("doc_count"), F.col("avg_doc_len"), key)
 
@@ -46,7 +46,9 @@ def with_quality(hits: DataFrame, docs: DataFrame, terms: list[str], key: str =
     query = F.array_distinct(again(F.array(*[F.lit(t) for t in terms])))
     coverage = X.unit(weigh(F.array_intersect(query, again(F.col("matched")))) / weigh(query))
     content = F.concat(F.lit(" "), F.array_join(X.stems_of(F.col(text), content=True), " "), F.lit(" "))
-    phrase = F.when(F.contains(content, F.lit(f" {' '.join(terms)} ")), 1.0).otherwise(0.0) if len(terms) > 1 else F.lit(0.0)
+    # only a text with all of the terms can hold the phrase; the others aren't stemmed again
+    whole = (F.size("matched") == len(set(terms))) & F.contains(content, F.lit(f" {' '.join(terms)} "))
+    phrase = F.when(F.size("matched") < len(set(terms)), 0.0).when(whole, 1.0).otherwise(0.0) if len(terms) > 1 else F.lit(0.0)
     rows = hits.join(docs.select(key, text), key).withColumns({"coverage": coverage, "phrase": phrase})
     quality = 0.5 * F.round(F.col("bm25") / (F.col("bm25") + 1.0), 6) + 0.4 * F.col("coverage") + 0.1 * F.col("phrase")
     return rows.withColumn("quality", F.round(X.unit(quality), digits)).drop(text)

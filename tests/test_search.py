@@ -253,3 +253,12 @@ def test_regions(spark):
     assert tuple(one.p) == (0.5, 0.25, 0.5) and one.n is None and one.b == 0.0
     with pytest.raises(Exception, match="three points"):
         spark.range(1).select(shape([(0.0, 0.0), (1.0, 1.0)]).alias("p")).collect()
+
+
+def test_stems_among_terms_are_those_of_all_stems(spark):
+    from lumenframe.functions import text as X
+
+    texts = ["The cities' city-men went, gone; going GOES", "Straße strassen runs running ran run", "boxes boxed boxing e-mails éclairs x", "carried carries carry left leaves leaving lying", "", None, "y ys 2nd 3ds naïve naïves"]
+    terms = ["city", "man", "go", "strass", "strassen", "run", "box", "carry", "leav", "leave", "lie", "y", "3ds", "naïves"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(X.stems_of(F.col("t")).alias("a"), X.stems_among(F.col("t"), terms).alias("b")).collect()
+    assert [r.b for r in rows] == [[s for s in r.a if s in terms] for r in rows] and rows[0].b == ["city", "city", "man", "go", "go"]
