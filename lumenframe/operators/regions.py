@@ -7,17 +7,18 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Letters that only Vietnamese has.
 VIETNAMESE = "ăâđêôơưĂÂĐÊÔƠƯ"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type's name can't be parsed before there is a session
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type's name can't be parsed before there is a session
 def nfd(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
 
