@@ -35,7 +35,8 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: similarity of five-word shingles of at least 0.8."""
+    """One document of each component of near-duplicates: by SimHash, verified at a similarity of five-word shingles of at
+    least 0.8, and by an exact index of the shingles what SimHash leaves."""
     return nearsets.dedup(docs)
 
 

@@ -1,4 +1,8 @@
-"""Near-duplicates by exact similarity of word shingles, with a prefix index and no bound on what is compared.
+"""Near-duplicates by SimHash, exact verification on word shingles, and an exact prefix index for what SimHash leaves.
+
+SimHash comes first: fingerprints, byte-position postings and count filter of ``simhash`` (near_pairs()), whose pairs are
+verified on the texts' whole sets of shingles. No bit bound on 64 bits finds all texts of the similarity asked for (README),
+so the texts that are not connected by then go through an index of the sets themselves, with no bound on what is compared.
 
 Shingles: A-Z lower-cased, words between ASCII white space, the different runs of five words (fewer words: all of them),
 as 64-bit hashes mixed from the words' XXH64. Two texts are near-duplicates if the Jaccard similarity of these sets is at least 0.8.
@@ -10,7 +14,7 @@ that many texts have last, so that common passages lead to few comparisons. Any
 Texts of fitting size that share three indexed shingles (fewer, where so few must be common), early enough in both for
 what is left to reach the similarity, are compared on their whole sets. So that large groups don't compare all pairs, a
 round before this one compares the members of each posting with one of them, the one whose shingles most other texts have
-(in a group of edited copies the least edited). The round for all leaves out what is connected already, and pairs whose
+(in a group of edited copies the least edited). Both rounds leave out what is connected already, and the round for all pairs whose
 parity bitmaps differ in more bits than similar sets have different shingles (a bit is the parity of the set's shingles
 with that hash, so sets differ in as many shingles at least). Postings are sorted and streamed, never gathered. Equal sets
 count once from the start.
@@ -26,14 +30,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm._shared import checkpoint, fresh, map_batches, numbered, quoted, shared_dir, written
-from lumenframe.llm.simhash import SEED, components
+from lumenframe.llm._shared import checkpoint, drop_shuffles, fresh, map_batches, numbered, quoted, shared_dir, written
+from lumenframe.llm.simhash import SEED, components, near_pairs, with_fingerprint
 
 WIDTH = 5
 #: Similarity, as a fraction.
 PART, WHOLE = 4, 5
 #: Indexed shingles that a pair must share.
 SHARED = 3
+#: Candidates by SimHash that a text is verified with: so many nearest ones.
+NEAREST = 2
 #: 64-bit words of a parity bitmap.
 BITMAP = 4
 #: Shingles in over so many texts come last in the order, at most so many of them (neither changes the result).
@@ -211,20 +217,38 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 BITS = [f"bits{k}" for k in range(BITMAP)]
 
 
+def candidates(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of (fp, text) by SimHash: of texts with equal fingerprints each with the first, and these firsts by
+    near_pairs(), each with its NEAREST ones of smaller fingerprint, so that large groups don't have all their pairs verified."""
+    prints = checkpoint(with_fingerprint(texts, out="print").select("fp", "print"))
+    firsts = checkpoint(prints.groupBy("print").agg(F.min("fp").alias("first")))
+    one, two = (firsts.select(F.col("print").alias(c), F.col("first").alias(f"f{c}")) for c in "ab")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))), "b"))
+    nearest = near_pairs(firsts.select(F.col("print").alias("fp"))).withColumn("rank", rank).where(F.col("rank") <= NEAREST)
+    near = nearest.join(one, "a").join(two, "b").select(F.greatest("fa", "fb").alias("a"), F.least("fa", "fb").alias("b"))
+    equal = prints.join(firsts, "print").where("fp > first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    return checkpoint(near.unionByName(equal))
+
+
 def links(every: DataFrame) -> DataFrame:
     """Links (a, b), a > b, between similar sets; their components are those of all similar pairs.
 
     every: (fp, text, bits0, ...), materialised, one row for each fp; fp is the set's digest.
     """
     texts, w = every.select("fp", "text"), Window.partitionBy("key")
+    met = candidates(texts)
+    drop_shuffles(every.sparkSession)
+    near = similar(met, texts)
+    roots = components(near).withColumnRenamed("node", "fp")
+
     shared = written(index_of(texts, common_shingles(texts)).withColumn("size", F.count(F.lit(1)).over(w)).where("size > 1"))
     # how many texts have a set's shingles, over its prefix
-    known = checkpoint(shared.groupBy("fp").agg((F.sum("size") / F.max("n")).alias("known")))
-    led = shared.join(known, "fp").withColumn("head", F.first(F.struct("fp", "n", "at")).over(w.orderBy(F.desc("known"), "fp")))
-    led = led.where((F.col("fp") != F.col("head.fp")) & _reach(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at")))
+    known = checkpoint(shared.groupBy("fp").agg((F.sum("size") / F.max("n")).alias("known"))).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    led = shared.join(known, "fp").withColumn("head", F.first(F.struct("fp", "n", "at", "root")).over(w.orderBy(F.desc("known"), "fp")))
+    led = led.where((F.col("root") != F.col("head.root")) & _reach(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at")))
     pairs = led.groupBy(F.greatest("head.fp", "fp").alias("a"), F.least("head.fp", "fp").alias("b")).count().where(F.col("count") >= SHARED).select("a", "b")
-    tried = checkpoint(pairs)
-    first = similar(tried, texts)
+    tried = checkpoint(pairs.join(met, ["a", "b"], "left_anti"))
+    first = near.unionByName(similar(tried, texts))
 
     roots = components(first).withColumnRenamed("node", "fp")
     named = shared.drop("size").join(every.select("fp", *BITS), "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -235,7 +259,7 @@ def links(every: DataFrame) -> DataFrame:
     close = (PART + WHOLE) * differ <= (WHOLE - PART) * (F.col("n") + F.col("m"))
     rest = open_.join(other, "key").where((F.col("b") < F.col("fp")) & (F.col("root") != F.col("its")) & _reach(F.col("n"), F.col("at"), F.col("m"), F.col("there")) & close)
     rest = rest.groupBy(F.col("fp").alias("a"), "b", F.greatest("n", "m").alias("n")).count().where(F.col("count") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PART / WHOLE))).select("a", "b")
-    return first.unionByName(similar(checkpoint(rest.join(tried, ["a", "b"], "left_anti")), texts))
+    return first.unionByName(similar(checkpoint(rest.join(tried.unionByName(met), ["a", "b"], "left_anti")), texts))
 
 
 def representatives(docs: DataFrame) -> DataFrame:

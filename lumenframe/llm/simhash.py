@@ -15,13 +15,18 @@ bit of it, and two fingerprints share such a value just when they differ in two
 fingerprint that has the value, so their number is linear. That is exact, for any length.
 
 Equal fingerprints count once from the start. Components come from alternating large-star and small-star steps.
+
+near_pairs() is for a wider bound, before a check on the texts themselves: its postings are all choices of four of the eight
+positional bytes, so that pairs meet that have at least four bytes in common, and all within four bits do.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +35,8 @@ from lumenframe.llm._shared import checkpoint, map_batches, numbered, quoted, wr
 MAX_BITS = 2
 MIN_BYTES = 6
 POSTING_LIMIT = 32
+#: Of near_pairs(): positional bytes that a pair has in common at least, and bits in which it differs at most.
+NEAR_BYTES, NEAR_BITS = 4, 8
 SEED = 42
 
 
@@ -121,6 +128,29 @@ def links(prints: DataFrame, limit: int = POSTING_LIMIT) -> DataFrame:
     return close.unionByName(stars).distinct()
 
 
+def near_pairs(prints: DataFrame, limit: int = POSTING_LIMIT) -> DataFrame:
+    """(a, b), a > b: candidates for a check on texts, pairs of distinct fingerprints (fp) that have NEAR_BYTES common
+    positional bytes at least and differ in NEAR_BITS bits at most. Among them are all pairs within 8 - NEAR_BYTES bits, but for long postings.
+
+    A pair with c common bytes shares as many postings as there are choices of NEAR_BYTES out of c, so one shared posting is
+    the count filter. In postings over the limit each fingerprint is paired with the smallest one alone (their number stays
+    linear): what is lost there is up to the caller's exact check of the rest.
+    """
+    fp, w, keys = F.col("fp"), Window.partitionBy("key"), []
+    for n, fixed in enumerate(combinations(range(8), NEAR_BYTES)):
+        key = F.lit(n).cast("long")
+        for k in fixed:
+            key = F.shiftleft(key, 8).bitwiseOR(_byte(fp, k))
+        keys.append(key)
+    index = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
+    held = index.withColumns({"size": F.count(F.lit(1)).over(w), "b": F.min("fp").over(w)}).where("size > 1")
+    stars = held.where((F.col("size") > limit) & (fp > F.col("b"))).select(fp.alias("a"), "b")
+    short = held.where(F.col("size") <= limit).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    rest = F.expr("transform(sequence(0, size(fps) - 2), i -> struct(fps[i] AS b, slice(fps, i + 2, size(fps)) AS rest))")
+    pairs = short.select(F.explode(rest).alias("p")).select(F.explode("p.rest").alias("a"), F.col("p.b").alias("b"))
+    return pairs.unionByName(stars).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= NEAR_BITS).distinct()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each component that has an edge. edges: (a, b), longs, a > b.
 
