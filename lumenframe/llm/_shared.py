@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Group-level tables of at most this many rows are broadcast; larger ones go through a salted join.
@@ -78,6 +78,23 @@ def join_groups(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "i
     return spread.join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
+def placed(df: DataFrame, group: str | None, order: list[str], name: str = "_pos") -> DataFrame:
+    """Append each row's place from 0 in its group (None: among all rows) by ``order``, without a task that holds a group.
+
+    Rows are range-partitioned by group and order, written once with their place in the partition, and shifted by the counts of
+    the partitions before. Groups are not null; nulls of ``order`` come first; rows of equal order meet in one partition.
+    """
+    by = [*([group] if group else []), *order]
+    columns = df.columns
+    sorted_rows = written(df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in by]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in by]).withColumn("_at", F.monotonically_increasing_id()))
+    sorted_rows = sorted_rows.withColumn("_part", F.shiftright("_at", 33))
+    keys = [*([group] if group else []), "_part"]
+    runs = sorted_rows.groupBy(*keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*([group] if group else [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = checkpoint_groups(runs.select(*keys, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")))
+    return join_groups(sorted_rows, starts, keys).select(*columns, (F.col("_at") + F.col("_shift")).alias(name))
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A name that begins like ``name`` and that no column has, whatever the case."""
     taken = {c.lower() for c in columns}

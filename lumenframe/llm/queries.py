@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, chat, html, imatch, langid, linededup, packing, quality, sharding, simhash
+from lumenframe.llm import bpe, chat, html, imatch, langid, linededup, merkle, mixing, packing, quality, ranked, sharding, simhash
 from lumenframe.llm._shared import table, written
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -74,7 +74,24 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_mcd, op2_bpe_roundtrip, op3_shard_slots, op4_pack_cost, op5_style_tree, op6_simhash_bytes, op7_imatch, op8_chat_grammar, op9_site_lines, op10_langid)}
+def op11_merkle_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    names = ["doc_id", "source", "lang", "n_chars"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = docs.select("doc_id", "source", merkle.digest([*map(F.col, names), F.col("text")]).alias("leaf"), F.when(tampered, merkle.digest([*map(F.col, names), lowered])).alias("tampered"))
+    return merkle.build(leaves, "doc_id", "source", claimed="tampered").rows(claimed=True).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_mix_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+def op13_ranked_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_mcd, op2_bpe_roundtrip, op3_shard_slots, op4_pack_cost, op5_style_tree, op6_simhash_bytes, op7_imatch, op8_chat_grammar, op9_site_lines, op10_langid, op11_merkle_upper, op12_mix_entropy, op13_ranked_threshold)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_chat_grammar": r"""
@@ -102,4 +119,56 @@ ORACLE_SQL: dict[str, str] = {
                      count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped FROM marked GROUP BY r)
         SELECT doc_id, source, joined.text AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
         FROM d LEFT JOIN joined USING (r)""",
+    # CRC-32 of the id's digits bit by bit (-1: one shift); runs of 16 level by level, a node's path growing with each.
+    "op11_merkle_upper": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, source, CASE WHEN doc_id IS NULL THEN '-' ELSE octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id END
+            || CASE WHEN source IS NULL THEN '-' ELSE octet_length(encode(source)) || ':' || source END
+            || CASE WHEN lang IS NULL THEN '-' ELSE octet_length(encode(lang)) || ':' || lang END
+            || CASE WHEN n_chars IS NULL THEN '-' ELSE octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars END AS head, text,
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+            xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(doc_id::VARCHAR, '')])),
+              lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END)) % 5 = 0 AS tampered FROM documents),
+        leaves AS (
+          SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+            CASE WHEN tampered THEN sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) END AS claimed FROM d),
+        start AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+        up(k, source, pos, n, node) AS (
+          SELECT 0, source, pos, n, leaf FROM start
+          UNION ALL SELECT k + 1, source, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY k, source, pos // 16, n),
+        subs AS (SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+        top(k, pos, n, node) AS (
+          SELECT 0, pos, n, subroot FROM subs
+          UNION ALL SELECT k + 1, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY k, pos // 16, n),
+        around AS (
+          SELECT k, source, pos, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+            coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM up WHERE n > 1 WINDOW w AS (PARTITION BY k, source, pos // 16 ORDER BY pos)),
+        around_top AS (
+          SELECT k, pos, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+            coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM top WHERE n > 1 WINDOW w AS (PARTITION BY k, pos // 16 ORDER BY pos)),
+        walk(k, doc_id, source, leaf, pos, proof, folded) AS (
+          SELECT 0, doc_id, source, leaf, pos, '', coalesce(claimed, leaf) FROM start
+          UNION ALL SELECT w.k + 1, w.doc_id, w.source, w.leaf, w.pos // 16, w.proof || a.l || a.r, sha256(a.l || w.folded || a.r)
+          FROM walk w JOIN around a ON a.k = w.k AND a.source IS NOT DISTINCT FROM w.source AND a.pos = w.pos),
+        reached AS (SELECT w.*, s.subroot, s.pos AS place FROM walk w JOIN subs s ON s.source IS NOT DISTINCT FROM w.source
+                    WHERE w.k = (SELECT max(k) FROM up WHERE up.source IS NOT DISTINCT FROM w.source)),
+        over(k, doc_id, leaf, subroot, pos, proof, folded) AS (
+          SELECT 0, doc_id, leaf, subroot, place, proof, folded FROM reached
+          UNION ALL SELECT w.k + 1, w.doc_id, w.leaf, w.subroot, w.pos // 16, w.proof || a.l || a.r, sha256(a.l || w.folded || a.r)
+          FROM over w JOIN around_top a ON a.k = w.k AND a.pos = w.pos)
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+        FROM over, (SELECT node AS root FROM top WHERE n = 1) WHERE k = (SELECT max(k) FROM top)""",
+    "op13_ranked_threshold": r"""
+        WITH t AS (
+          SELECT 0 AS item, doc_id AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+          UNION ALL SELECT 1, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) FROM benchmark),
+        tfs AS (SELECT id AS doc_id, term, count(*) AS tf FROM t WHERE item = 0 GROUP BY ALL),
+        lens AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY 1),
+        total AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS l FROM lens),
+        weight AS (SELECT term, floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, total GROUP BY term, big_n),
+        scores AS (
+          SELECT q.id AS item_id, d.doc_id, sum(q.repeats * w.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * big_n) // l))))::BIGINT AS score
+          FROM (SELECT id, term, count(*) AS repeats FROM t WHERE item = 1 GROUP BY ALL) q JOIN tfs d USING (term) JOIN weight w USING (term) JOIN lens USING (doc_id), total GROUP BY 1, 2)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY rank <= 10""",
 }
