@@ -26,6 +26,41 @@ def merge(hits: DataFrame, key: str = "frame_id") -> DataFrame:
     return per.groupBy(key).agg(F.round(F.max("score"), 6).alias("score"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("modality", "score")))).alias("modality_scores"))
 
 
+#: Fields that a merged candidate takes from the first row that has them, and those of the leading row as they are.
+FILLED, LISTS = ("caption", "ocr_text", "keyframe_path", "thumbnail_path", "frame_index", "faiss_index"), ("objects",)
+
+
+def merge_fold(hits: DataFrame, seq: str = "seq") -> DataFrame:
+    """One row a candidate of ranked lists that come one after another, in the order of the merged ranking.
+
+    hits: video_id, frame_id, segment_id, faiss_index, timestamp, timestamp_confidence, score, modality_scores (a map), ``seq``
+    (place in the concatenated lists, unique within a candidate), and any of FILLED and LISTS. Rows meet from left to right:
+    one that beats the score so far (rounded, once two have met) leads, an equal one doesn't. So the rows that led, latest
+    first, and then the others as they came, are asked in this order: the first gives all fields of its own, FILLED ones come
+    from the first that has them, LISTS are joined without repeats, modalities keep their best score. Candidates stand by
+    score, time confidence, and where they were first seen (``first_seen``); order by these to read the ranking.
+    """
+    named = hits.withColumn("_id", identity(F.col("frame_id"), F.col("segment_id"), F.col("faiss_index"), F.col("video_id"), F.col("timestamp")))
+    named = named.withColumn("_id", F.when(F.col("_id").startswith("row:") | F.col("_id").startswith("time:"), F.col("_id")).otherwise(F.concat_ws(":", F.col("video_id").cast("string"), "_id")))
+    before = Window.partitionBy("_id").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    met, best = F.count(F.lit(1)).over(before), F.max("score").over(before)
+    leads = (met == 0) | (F.col("score") > F.when(met == 1, best).otherwise(F.round(best, 6)))
+    rows = named.withColumn("_o", F.when(leads, F.struct(F.lit(0).alias("k"), (-F.col(seq)).alias("s"))).otherwise(F.struct(F.lit(1).alias("k"), F.col(seq).alias("s"))))
+    filled = [c for c in FILLED if c in hits.columns]
+    lists = [c for c in LISTS if c in hits.columns]
+    own = [c for c in hits.columns if c not in {*filled, *lists, seq, "score", "modality_scores"}]
+    has = lambda c: F.nullif(F.col(c), F.lit("")) if dict(hits.dtypes)[c] == "string" else F.col(c)
+    first = lambda c: F.min(F.when(has(c).isNotNull(), F.struct("_o", F.col(c).alias("v"))))["v"].alias(c)
+    joined = lambda c: F.filter(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.coalesce(c, F.array().cast(dict(hits.dtypes)[c])).alias("v")))), lambda x: x["v"]))), lambda v: v.isNotNull() & (v.cast("string") != "")).alias(c)
+    main = rows.groupBy("_id").agg(
+        F.min(F.struct("_o", *own)).alias("_top"), F.when(F.count(F.lit(1)) > 1, F.round(F.max("score"), 6)).otherwise(F.max("score")).alias("score"), F.min(seq).alias("first_seen"), *map(first, filled), *map(joined, lists),
+    )
+    parts = rows.select("_id", F.explode("modality_scores").alias("m", "v")).groupBy("_id", "m").agg(F.max("v").alias("v"))
+    maps = parts.groupBy("_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("m", "v")))).alias("modality_scores"))
+    out = main.join(maps, "_id", "left").select(*[F.col(f"_top.{c}").alias(c) for c in own], "score", *filled, *lists, "modality_scores", "first_seen")
+    return out.orderBy(F.desc("score"), F.desc_nulls_last("timestamp_confidence"), "first_seen")
+
+
 def weight_of(modality: Column, weights: dict[str, float], hints: tuple[str, ...] = ()) -> Column:
     named = reduce(lambda c, kv: F.when(modality == kv[0], kv[1] * (HINT_BOOST if kv[0] in hints else 1.0)).otherwise(c), weights.items(), F.lit(1.0))
     return named

@@ -75,6 +75,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Cut a table's lineage: write it once in the shared folder and read it from there."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def digest(df: DataFrame) -> str:
     """A fingerprint of a table's rows that doesn't depend on their order: an exact sum of row hashes, with the row count."""
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
