@@ -2,32 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lumenframe.functions import vector as V
 
+#: Queries that are broadcast at once, and scores that a task holds at once.
+BLOCK, CELLS = 4096, 4_000_000
+
 
-#: Queries that are broadcast at once.
-BLOCK = 4096
+def _best(scores: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores of one query, ties by row; all where there are no more."""
+    if len(scores) > k:
+        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    else:
+        at = np.arange(len(scores))
+    return at[np.lexsort((rows[at], -scores[at]))[:k]]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip", min_score: float | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, row, score, rank): the k best rows of each query, best first, ties by row.
 
-    queries: (query_id, query). They are counted and broadcast in blocks of about ``block``; the vectors are scanned once a
-    block. Each query's best rows are cut before the shuffle (window group limit).
+    queries: (query_id, query). They are counted and go to the tasks in blocks of about ``block``; the vectors are scanned once
+    a block, as products of matrices. A task hands on the k best of each query, whatever it reads; rows are integers.
     """
-    value = V.dot(F.col("embedding"), F.col("query")) if metric == "ip" else V.squared_distance(F.col("embedding"), F.col("query"))
-    best = F.col("score").desc() if metric == "ip" else F.col("score").asc()
+    spark, kind = vectors.sparkSession, queries.schema["query_id"].dataType
     blocks = max(1, -(-queries.count() // block))
+    numbered = queries.select("query_id", "query")
+    sign = 1.0 if metric == "ip" else -1.0
     out = None
     for b in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = vectors.join(F.broadcast(some)).select("query_id", "row", F.round(value, 6).alias("score"))
-        if min_score is not None:
-            scored = scored.where(F.col("score") >= min_score)
-        part = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(best, "row"))).where(F.col("rank") <= k)
+        some = (numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()  # about ``block`` rows
+        told = spark.sparkContext.broadcast(np.array([r["query"] for r in some], np.float64))
+
+        def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            asked = told.value
+            held_rows, held = [np.zeros(0, np.int64)] * len(asked), [np.zeros(0)] * len(asked)
+            step = max(1, CELLS // max(1, len(asked)))
+            for whole in batches:
+                for start in range(0, whole.num_rows if len(asked) else 0, step):
+                    batch = whole.slice(start, step)
+                    rows = np.asarray(batch.column(0)).astype(np.int64)
+                    m = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(rows), -1)
+                    values = asked @ m.T if metric == "ip" else np.stack([((m - q) ** 2).sum(1) for q in asked])
+                    values = np.round(values, 6) * sign
+                    for q, row in enumerate(values):
+                        own_rows, own = np.r_[held_rows[q], rows], np.r_[held[q], row]
+                        if min_score is not None:
+                            stay = own * sign >= min_score
+                            own_rows, own = own_rows[stay], own[stay]
+                        at = _best(own, own_rows, k)
+                        held_rows[q], held[q] = own_rows[at], own[at]
+            sizes = [len(r) for r in held_rows]
+            if sum(sizes):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked)), sizes)), pa.array(np.concatenate(held_rows)), pa.array(np.concatenate(held) * sign + 0.0)], ["q", "row", "score"])
+
+        # numbers of the block's queries stand for their ids on the way
+        names = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(some)], StructType([StructField("q", LongType()), StructField("query_id", kind)]))
+        best = F.col("score").desc() if metric == "ip" else F.col("score").asc()
+        found = vectors.select(F.col("row").cast("long").alias("row"), "embedding").mapInArrow(run, "q long, row long, score double")
+        part = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(best, "row"))).where(F.col("rank") <= k)
+        part = part.join(F.broadcast(names), "q").select("query_id", F.col("row").cast(vectors.schema["row"].dataType).alias("row"), "score", "rank")
         out = part if out is None else out.unionByName(part)
     return out
 
