@@ -59,12 +59,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are gone: it does so when the driver's JVM collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def join_groups(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", bound: int | None = None) -> DataFrame:
     """Join rows with a materialised table of one row per group.
 

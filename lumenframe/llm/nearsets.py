@@ -1,7 +1,7 @@
 """Near-duplicates by SimHash, exact verification on word shingles, and an exact prefix index for what SimHash leaves.
 
-SimHash comes first: fingerprints, byte-position postings and count filter of ``simhash`` (near_pairs()), whose pairs are
-verified on the texts' whole sets of shingles. No bit bound on 64 bits finds all texts of the similarity asked for (README),
+SimHash comes first: fingerprints, byte-position postings, tally and count filter of ``simhash`` (its links(), at its bound of
+bits), whose links are verified on the texts' whole sets of shingles. No bit bound on 64 bits finds all texts of the similarity asked for (README),
 so the texts that are not connected by then go through an index of the sets themselves, with no bound on what is compared.
 
 Shingles: A-Z lower-cased, words between ASCII white space, the different runs of five words (fewer words: all of them),
@@ -30,16 +30,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm._shared import checkpoint, drop_shuffles, fresh, map_batches, numbered, quoted, shared_dir, written
-from lumenframe.llm.simhash import SEED, components, near_pairs, with_fingerprint
+from lumenframe.llm._shared import checkpoint, fresh, map_batches, numbered, quoted, shared_dir, written
+from lumenframe.llm.simhash import SEED, components, with_fingerprint
+from lumenframe.llm.simhash import links as fingerprint_links
 
 WIDTH = 5
 #: Similarity, as a fraction.
 PART, WHOLE = 4, 5
 #: Indexed shingles that a pair must share.
 SHARED = 3
-#: Candidates by SimHash that a text is verified with: so many nearest ones.
-NEAREST = 2
 #: 64-bit words of a parity bitmap.
 BITMAP = 4
 #: Shingles in over so many texts come last in the order, at most so many of them (neither changes the result).
@@ -219,13 +218,13 @@ BITS = [f"bits{k}" for k in range(BITMAP)]
 
 def candidates(texts: DataFrame) -> DataFrame:
     """Pairs (a, b), a > b, of (fp, text) by SimHash: of texts with equal fingerprints each with the first, and these firsts by
-    near_pairs(), each with its NEAREST ones of smaller fingerprint, so that large groups don't have all their pairs verified."""
+    the links of ``simhash`` (positional bytes tallied, MAX_BITS verified; long postings by stars), so that large groups don't
+    have all their pairs verified."""
     prints = checkpoint(with_fingerprint(texts, out="print").select("fp", "print"))
     firsts = checkpoint(prints.groupBy("print").agg(F.min("fp").alias("first")))
     one, two = (firsts.select(F.col("print").alias(c), F.col("first").alias(f"f{c}")) for c in "ab")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))), "b"))
-    nearest = near_pairs(firsts.select(F.col("print").alias("fp"))).withColumn("rank", rank).where(F.col("rank") <= NEAREST)
-    near = nearest.join(one, "a").join(two, "b").select(F.greatest("fa", "fb").alias("a"), F.least("fa", "fb").alias("b"))
+    linked = fingerprint_links(firsts.select(F.col("print").alias("fp")))
+    near = linked.join(one, "a").join(two, "b").select(F.greatest("fa", "fb").alias("a"), F.least("fa", "fb").alias("b"))
     equal = prints.join(firsts, "print").where("fp > first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
     return checkpoint(near.unionByName(equal))
 
@@ -237,7 +236,6 @@ def links(every: DataFrame) -> DataFrame:
     """
     texts, w = every.select("fp", "text"), Window.partitionBy("key")
     met = candidates(texts)
-    drop_shuffles(every.sparkSession)
     near = similar(met, texts)
     roots = components(near).withColumnRenamed("node", "fp")
 
@@ -278,7 +276,9 @@ def representatives(docs: DataFrame) -> DataFrame:
     name = f"representatives_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     flat.write.bucketBy(buckets, "fp").sortBy("fp").option("path", f"{shared_dir(spark).rstrip('/')}/tables/{name}").saveAsTable(name)
-    return spark.table(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # from the session's catalog; the files stay, and so does the plan that reads them
+    return found
 
 
 def dedup(docs: DataFrame) -> DataFrame:

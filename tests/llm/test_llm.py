@@ -470,46 +470,39 @@ def test_near_dedup_stage(spark, docs):
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
-@pytest.mark.parametrize("limit", [2, 1000])
-def test_near_pairs_equal_brute_force(spark, limit):
-    rng = random.Random(11)
-    prints = [rng.getrandbits(64) for _ in range(20)]
-    for _ in range(200):
-        f = rng.choice(prints)
-        for _ in range(rng.randint(1, 5)):
-            f ^= 1 << rng.randrange(64)
-        prints.append(f)
-    prints = sorted({f - (1 << 64) if f >> 63 else f for f in prints})
-    differ = lambda a, b: [((a ^ b) >> 8 * k & 0xFF).bit_count() for k in range(8)]
-    want = {(a, b) for a in prints for b in prints if a > b for d in [differ(a, b)] if d.count(0) >= 4 and sum(d) <= simhash.NEAR_BITS}
-    assert {(a, b) for a in prints for b in prints if a > b and sum(differ(a, b)) <= 4} < want
-    got = [(r.a, r.b) for r in simhash.near_pairs(spark.createDataFrame([(f,) for f in prints], "fp long"), limit).collect()]
-    assert len(got) == len(set(got)) and (set(got) == want if limit == 1000 else set(got) < want)
-
-
 def test_near_dedup_goes_by_simhash_first(spark, monkeypatch):
     rng = random.Random(12)
     fresh = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
     bit = lambda a, b: ((simhash.fingerprint_of(a) ^ simhash.fingerprint_of(b)) % (1 << 64)).bit_count()
     rows, near, far = [], [], []
     while len(near) < 5 or len(far) < 5:
-        w = fresh(200)
-        one, two = " ".join(w), " ".join(f"x{k}" if k in ((50,), (50, 100, 150))[len(near) == 5] else x for k, x in enumerate(w))
-        kind = near if bit(one, two) <= 4 else far if bit(one, two) > 8 else None
+        w = fresh(400)
+        one, two = " ".join(w), " ".join(f"x{k}" if k in ((50,), (50, 100, 150, 200, 250))[len(near) == 5] else x for k, x in enumerate(w))
+        kind = near if bit(one, two) <= simhash.MAX_BITS else far if bit(one, two) > 4 else None
         if kind is not None and len(kind) < 5:
             kind.append({2 * len(rows), 2 * len(rows) + 1})
             rows.append((one, two))
     df = spark.createDataFrame([(2 * i + k, t) for i, r in enumerate(rows) for k, t in enumerate(r)], "doc_id long, text string")
+    tables = {t.name for t in spark.catalog.listTables()}
     every, rounds, real = nearsets.representatives(df), [], nearsets.similar
+    assert {t.name for t in spark.catalog.listTables()} == tables
     ids = {r.fp: r.id for r in every.collect()}
     monkeypatch.setattr(nearsets, "similar", lambda pairs, texts: rounds.append([{ids[r.a], ids[r.b]} for r in pairs.collect()]) or real(pairs, texts))
     found = [{ids[r.a], ids[r.b]} for r in nearsets.links(every).collect()]
-    # the byte-position index finds the pairs within four bits, and the set index is left with the others
-    assert all(p in rounds[0] for p in near) and not any(p in rounds[0] for p in far)
+    # the tally of positional bytes finds the pairs within its bound, and the set index is left with the others
+    assert sorted(map(sorted, rounds[0])) == sorted(map(sorted, near))
     assert not any(p in later for p in near for later in rounds[1:])
     assert sorted(map(sorted, found)) == sorted(map(sorted, near + far))
 
 
+def test_near_dedup_keeps_columns_of_any_name(spark):
+    names = ["fp", "bits0", "print", "first", "key", "root", "size", "id", "c0", "r", "a.b"]
+    rows = [(i, f"one two three four five six {i // 2}", *[f"{n}{i}" for n in names]) for i in range(6)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = {tuple(r) for r in nearsets.dedup(df).collect()}
+    assert got == {r for r in rows if r[0] % 2 == 0}
+
+
 def test_imatch(spark, tables, docs):
     got = queries.op7_imatch(spark, tables["full"]).collect()
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.text or ""))
