@@ -39,7 +39,10 @@ LOW = 0.2
 DECAY = 0.9
 #: A parent's share for one child, in steps of 1 / STEPS (integers, so that sums don't depend on order).
 STEPS = 1_000_000
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPENING = re.compile(r"<(?:(!--|!\[CDATA\[|[!?])|(/?)([a-zA-Z][^\s/>]*))")
+ENDS = {"!--": "-->", "![CDATA[": "]]>", "!": ">", "?": ">"}
+#: What may follow the closing quote of an attribute's value.
+AFTER_VALUE = frozenset(" \t\r\n\f/>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
@@ -47,12 +50,18 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote details div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table", "tbody", "thead")), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)), "option": ("option", ("select",))}
 NOISE_TAGS = frozenset("script style noscript template nav header footer aside form button select textarea input option iframe svg canvas dialog menu head title object embed audio video map datalist".split())
+#: Those that never hold a page's text, whatever else is in them.
+HARD = frozenset("script style noscript template button select textarea input option iframe svg canvas head title object embed audio video map datalist".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices notification popup modal overlay "
     "newsletter subscribe subscription signup login sidebar side aside nav navbar navigation menu menus breadcrumb breadcrumbs footer foot header masthead topbar comment comments commentlist disqus replies reply "
     "respond discussion share sharing social related recommended recommendations widget widgets toolbar pagination pager skip legal copyright disclaimer alert search form tags".split()
 )
+#: Parts that a class or id may have beside noise words and still be named for them (site-footer, left-nav).
+NEUTRAL_NAMES = frozenset("site page main top bottom left right global primary secondary box block area wrap wrapper container section list item items bar links link inner outer content text js mobile desktop sticky fixed small big".split())
+#: Noise branches are given back where less than this share of a page's text is outside them.
+LEFT_OVER = 0.1
 
 
 @dataclass
@@ -63,42 +72,85 @@ class Node:
     main: int = 0  # 2: article, 1: main
     path: int = 0
     children: list = field(default_factory=list)  # nodes and strings
+    hard: bool = False
+
+
+def _named_noise(names: str) -> bool:
+    """Whether one of the classes or ids is named for noise as a whole: has a noise word, and no part that says otherwise."""
+    for name in names.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        if any(x in NOISE_NAMES for x in parts) and all(x in NOISE_NAMES or x in NEUTRAL_NAMES or x.isdigit() for x in parts):
+            return True
+    return False
 
 
 def _node(tag: str, attributes: str) -> Node:
-    named = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
+    named: dict[str, str] = {}
+    if attributes.strip():
+        for k, v in ATTRIBUTE.findall(attributes):  # the first of a repeated attribute counts
+            named.setdefault(k.lower(), v.strip("\"'").lower())
     names = f"{named.get('class', '')} {named.get('id', '')}"
-    words = set(re.split(r"[^a-z0-9]+", names))
     role = named.get("role", "")
-    noise = tag in NOISE_TAGS or role in NOISE_ROLES or bool(words & NOISE_NAMES) or "hidden" in named or named.get("aria-hidden") == "true"
+    hidden = "hidden" in named or named.get("aria-hidden") == "true"
+    noise = tag in NOISE_TAGS or role in NOISE_ROLES or hidden or _named_noise(names)
     main = 2 if tag == "article" or role == "article" else 1 if tag == "main" or role == "main" else 0
-    return Node(tag, f"{tag}.{' '.join(sorted(names.split()))}" if names.strip() else tag, noise and tag not in ("html", "body"), main)
+    return Node(tag, f"{tag}.{' '.join(sorted(names.split()))}" if names.strip() else tag, noise and tag not in ("html", "body"), main, hard=tag in HARD)
+
+
+def tokens(text: str):
+    """Text runs (as strings) and tags (end mark, name, attributes) of a page, in one pass that never goes back for more than
+    one attribute's value.
+
+    A value ends at the next quote of its kind, if blank, slash or the tag's end follow there; else its quote stands alone,
+    and the tag ends at the next ">". A tag that never ends takes the rest of the page. Comments, declarations and CDATA are left out.
+    """
+    at, last = 0, text.rfind(">")
+    while m := OPENING.search(text, at):
+        if m.start() > at:
+            yield text[at : m.start()]
+        if m[1]:
+            end = text.find(ENDS[m[1]], m.end())
+            at = len(text) if end < 0 else end + len(ENDS[m[1]])
+            continue
+        begin = end = m.end()
+        while end <= last and text[end] != ">":
+            c = text[end]
+            if c in "\"'" and text[end - 1] in "= \t\r\n\f":
+                close = text.find(c, end + 1)
+                if close < 0 or text[close + 1 : close + 2] not in AFTER_VALUE:
+                    end = text.find(">", end)
+                    break
+                end = close
+            end += 1
+        if end < 0 or end > last:
+            at = len(text)
+            return
+        at = end + 1
+        jump = yield m[2], m[3].lower(), text[begin:end], at
+        if jump is not None:
+            at = jump
+            yield ""
+    if at < len(text):
+        yield text[at:]
 
 
 def parse(text: str | None) -> Node:
     root = Node("", "")
-    stack, open_, at, text = [root], Counter(), 0, text or ""
+    stack, open_, text = [root], Counter(), text or ""
 
     def close(k: int) -> None:
         for n in stack[k:]:
             open_[n.tag] -= 1
         del stack[k:]
 
-    def say(part: str) -> None:
-        if part:
-            stack[-1].children.append(entities.unescape(part))
-
-    while True:
-        m = TOKEN.search(text, at)
-        if not m:
-            say(text[at:])
-            break
-        say(text[at : m.start()])
-        at = m.end()
-        if m[2] is None:  # comments, declarations, CDATA
+    scan = tokens(text)
+    for token in scan:
+        if isinstance(token, str):
+            if token:
+                stack[-1].children.append(entities.unescape(token))
             continue
-        tag = m[2].lower()
-        if m[1]:
+        ending, tag, attributes, at = token
+        if ending:
             if not open_[tag]:
                 continue
             for k in range(len(stack) - 1, 0, -1):
@@ -124,20 +176,61 @@ def parse(text: str | None) -> Node:
                         break
                     if stack[k].tag in within:
                         break
-        node = _node(tag, m[3])
+        node = _node(tag, attributes)
         stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag in ("path", "circle", "rect"):
+        if tag in VOID or attributes.endswith("/") and tag in ("path", "circle", "rect"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(text, at)
-            at = end.end()
+            scan.send(end.end())
             continue
         stack.append(node)
         open_[tag] += 1
     _paths(root)
+    _give_back(root)
     return root
 
 
+def _give_back(root: Node) -> None:
+    """Names and tags may take branches beside a page's text, never the text: where all marked articles (main elements,
+    where there is none) lie in noise, the branches round the longest are no noise; where none is marked and next to nothing
+    is left outside noise, those round the longest noise branch's text aren't."""
+    order, todo = [], [(root, False, None)]
+    parents: dict[int, Node] = {}
+    while todo:  # parents before children
+        n, inside, parent = todo.pop()
+        if parent is not None:
+            parents[id(n)] = parent
+        order.append((n, inside))
+        if n.hard:
+            continue
+        todo += [(c, inside or n.noise, n) for c in n.children if isinstance(c, Node)]
+    size: dict[int, int] = {}
+    free: dict[int, int] = {}  # characters outside noise
+    for n, _ in reversed(order):
+        kids = [c for c in n.children if isinstance(c, Node)]
+        own = sum(len(x.strip()) for x in n.children if isinstance(x, str))
+        size[id(n)] = 0 if n.hard else own + sum(size.get(id(c), 0) for c in kids)
+        free[id(n)] = 0 if n.noise else own + sum(free.get(id(c), 0) for c in kids)
+    marked = [(n, inside or n.noise) for n, inside in order if n.main]
+    if marked:
+        level = max(n.main for n, _ in marked)
+        marked = [(n, hidden) for n, hidden in marked if n.main == level]
+        if any(not hidden and size[id(n)] for n, hidden in marked):
+            return
+        kept = max((n for n, _ in marked), key=lambda n: size[id(n)])
+    elif free[id(root)] < LEFT_OVER * size[id(root)]:
+        outer = [n for n, inside in order if n.noise and not n.hard and not inside]
+        if not outer:
+            return
+        kept = max(outer, key=lambda n: size[id(n)])
+    else:
+        return
+    while kept is not None:
+        kept.noise = kept.hard
+        kept = parents.get(id(kept))
+
+
 def _hash(*parts) -> int:
     import xxhash
 

@@ -247,6 +247,44 @@ def test_dealing_balances_cost():
 PAGE = "<html><head><title>T</title><script>var a='</p><article>no';</script></head><body><nav><a href=x>Home</a></nav><div class='cookie-notice'>Accept</div><article><header>By A</header><h1>Head &amp; shoulders</h1><p>First <b>bold</b>ly<br>line<p>Second&nbsp;part <i>un</i>closed</p><form>Sign <input name=a></form><section id=comments>First!</section></article><aside>More</aside><footer>&copy;</footer></body></html>"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='layout has-sidebar'><div class='sidebar'>Links</div><article><p>The text</p></article></div>",
+        "<div id='page' class='site-search-enabled'><nav>Home</nav><main><p>The text</p></main></div>",
+        "<form id=aspnet><div class=menu>Menu</div><article>The text</article></form>",
+        "<aside class=sidebar><article>The text</article></aside><footer>Foot</footer>",
+        "<body><div class=header>Top</div><p>The text</p></body>",
+        "<div class='site-footer left-nav'>x</div><div class='cookie-notice'>y</div><p>The text</p>",
+        "<article>The text</article><section id=comments><article>A longer comment than the text is</article></section>",
+        "<article><p title=\"x>The text</p></article><p class=\"y\">after</p>",
+        "<article><p title='a > b' data-x=\"<i>\">The text</p></article>",
+        "<article><p class=a class=nav>The text</article>",
+        "<article>The text</article><p title=\"never closed",
+    ],
+)
+def test_html_keeps_articles_in_any_wrapper(page):
+    assert html.main_text(page) == "The text"
+
+
+def test_html_words_of_articles_that_sound_like_noise():
+    page = "<article><section class='related-work'>One</section><p class='form-of-words'>Two</p><div class='header-study'>Three</div><div class=share>No</div></article>"
+    assert html.main_text(page) == "One Two Three"
+    assert html.main_text("<div class=sidebar>" + "All of the text. " * 20 + "</div>") == ("All of the text. " * 20).strip()
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a '", "<", "<p title=\"x>", "<!--", "<b><i>", "</b>", "<script>", "<li><div>", "a<b c='"])
+def test_html_scans_malformed_pages_in_linear_time(piece):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        html.main_text(piece * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
 def test_html(spark):
     assert html.main_text(PAGE) == "Head & shoulders First boldly line Second part unclosed"
     assert html.main_text(None) == html.main_text("") == html.main_text("<script>x</script>") == ""
