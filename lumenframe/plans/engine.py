@@ -92,13 +92,15 @@ class Engine:
     def sequences(self, query: str, k: int) -> DataFrame:
         """(video_id, path_id, frames, score, rank): sequences of frames, one for each event of the query, in videos that
         have all events."""
-        events = parse.parse_sequence(query).events
-        rows = None
+        plan = parse.parse_sequence(query)
+        events, rows = plan.events, None
         for e in events:
             hits = self.lexical(e.text).select("video_id", "shot_id", "frame_id", "score", F.lit(e.index).alias("event"))
             rows = hits if rows is None else rows.unionByName(hits)
         if rows is None:
             raise ValueError("the query has no event")
+        if not plan.complete:  # a slot that says nothing is supported by nothing, so no video has all events
+            rows = rows.where("false")
         ranked = S.diversified(S.normalized_rank(rows, F.desc("score"), "frame_id"))
         whole = ranked.where("normalized >= 0.05").groupBy("video_id").agg(F.countDistinct("event").alias("n"), F.sum("normalized").alias("s")).where(F.col("n") == len(events))
         videos = whole.orderBy(F.desc("s"), "video_id").limit(30).select("video_id")

@@ -181,7 +181,7 @@ def test_answers(spark, tmp_path):
 def test_parse():
     p = parse.parse_sequence("Context: a kitchen. E1: a man enters E2: he is cooking 3 eggs E3: the ball reaches the highest point")
     assert p.mode == "list" and p.context == "a kitchen"
-    assert [(e.text, e.boundary) for e in p.events] == [("a man enters", "first_transition"), ("he is cooking 3 eggs", "state"), ("the ball reaches the highest point", "peak")]
+    assert [(e.text, e.boundary) for e in p.events] == [("a man enters", "unknown"), ("he is cooking 3 eggs", "state"), ("the ball reaches the highest point", "peak")]
     assert [e.text for e in parse.parse_sequence("he sits down, then he eats after he prays").events] == ["he sits down", "he prays", "he eats"]
     assert [e.text for e in parse.parse_sequence("before she runs, she stands").events] == ["she stands", "she runs"]
     assert [e.text for e in parse.parse_sequence("người đàn ông vào rồi ngồi xuống").events] == ["người đàn ông vào", "ngồi xuống"]
@@ -189,6 +189,53 @@ def test_parse():
     assert [parse.answer_type(q) for q in ("What color is it?", "How many dogs?", "Is it red?", "tell me")] == ["color", "count", "yes_no", "unknown"]
 
 
+@pytest.mark.parametrize(
+    ("query", "context", "texts", "labels", "warnings"),
+    [
+        ("E1: a door opens\r\nE2:\r\nE3: a person exits", "", ["a door opens", "", "a person exits"], ["E1", "E2", "E3"], ["empty_event_marker_preserved"]),
+        ("A park.\nE1: he stands\nE2: he sits\nE2: he eats\nE4: he leaves", "A park", ["he stands", "he sits", "he eats", "he leaves"], ["E1", "E2", "E2", "E4"], ["duplicate_event_label_preserved", "event_labels_reindexed_by_appearance"]),
+        ("1. a 2. 3. c", "", ["a", "", "c"], ["1", "2", "3"], ["empty_event_marker_preserved"]),
+        ("- runs\n- runs\n* jumps", "", ["runs", "runs", "jumps"], ["-", "-", "*"], ["duplicate_event_text_preserved"]),
+        ("Bối cảnh: một trận bóng. Các sự kiện:\n(1) người vào\n(2) rời hoàn toàn", "một trận bóng", ["người vào", "rời hoàn toàn"], ["(1", "(2"], []),
+        ("Please find the following events:\n1) a\n2) b", "", ["a", "b"], ["1", "2"], []),
+        ("Setting: a stage 1. one dancer", "a stage", ["one dancer"], ["1"], []),
+        ("he has 3. Then he goes", "", ["he has 3", "he goes"], [], []),
+        ("Context: a station\na train arrives then doors open", "a station", ["a train arrives", "doors open"], [], []),
+        ("a dog in the snow", "", ["a dog in the snow"], [], ["single_event_verbatim_fallback"]),
+    ],
+)
+def test_sequences_keep_every_marker(query, context, texts, labels, warnings):
+    p = parse.parse_sequence(query)
+    assert (p.context, [e.text for e in p.events], [e.index for e in p.events]) == (context, texts, list(range(len(texts))))
+    assert [e.label.strip("-*") for e in p.events if labels] == [x.strip("-*") for x in labels] and list(p.warnings) == warnings
+    assert p.complete == all(texts)
+
+
+@pytest.mark.parametrize(
+    ("text", "boundary"),
+    [
+        ("she fully leaves the frame", "first_leave"), ("con rồng rời hoàn toàn", "first_leave"), ("the ball at its highest", "peak"), ("his foot touches the ground", "first_contact"), ("he is touching the wall", "state"),
+        ("the first moment he is touching the wall", "first_contact"), ("he starts to run", "first_transition"), ("the first time the door opens", "first_transition"), ("the first man on the left", "first_transition"), ("the first of the men", "unknown"),
+        ("he is running", "state"), ("she remains seated", "state"), ("khoảnh khắc đầu tiên hai người cúi chào", "first_transition"), ("lần đầu tiên nhấc chân", "first_transition"), ("a man enters", "unknown"), ("", "unknown"),
+    ],
+)
+def test_boundaries(text, boundary):
+    assert parse.boundary_of(text) == boundary
+
+
+def test_protected_terms_and_typos():
+    p = parse.parse_sequence("E1: Khoảnh khắc đầu tiên hai người cuối chào")
+    assert p.events[0].text == "Khoảnh khắc đầu tiên hai người cúi chào" and p.events[0].protected == ("đầu tiên", "cúi chào")
+    assert parse.protected_terms("at the peak the dragon touches cột số 3, first") == ("first", "peak", "touches", "cột số 3")
+
+
+def test_an_empty_slot_finds_nothing(spark):
+    frames = spark.createDataFrame([(i, f"a dog runs {i}", "v", float(i), "s", i) for i in range(4)], "frame_id long, caption string, video_id string, ts double, shot_id string, frame_index long")
+    engine = Engine(frames)
+    assert engine.search("1. dog 2. runs", "trake").count() > 0
+    assert engine.search("1. dog 2. 3. runs", "trake").count() == 0
+
+
 def test_search(spark):
     frames = spark.createDataFrame(
         [("V1", 1, 10, 1.0, "s1", "a person cooking"), ("V1", 2, 20, 2.0, "s1", "a person cooking rice"), ("V1", 3, 30, 9.0, "s2", "a dog runs"), ("V2", 4, 40, 1.0, "s3", "a dog sleeps")],
