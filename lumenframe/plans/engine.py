@@ -102,9 +102,8 @@ class Engine:
         if not plan.complete:  # a slot that says nothing is supported by nothing, so no video has all events
             rows = rows.where("false")
         ranked = S.diversified(S.normalized_rank(rows, F.desc("score"), "frame_id"))
-        whole = ranked.where("normalized >= 0.05").groupBy("video_id").agg(F.countDistinct("event").alias("n"), F.sum("normalized").alias("s")).where(F.col("n") == len(events))
-        videos = whole.orderBy(F.desc("s"), "video_id").limit(30).select("video_id")
+        videos = S.gated(ranked.withColumn("quality", F.col("normalized")), len(events), least=0.05, complete=True).select("video_id", F.col("total").alias("video_score"))
         frames = self.frames.select("frame_id", F.col("frame_index").cast("long").alias("frame"))
-        pool = ranked.join(F.broadcast(videos), "video_id", "left_semi").join(frames, "frame_id")  # 30 videos
-        paths = S.kbest(pool.select("video_id", "event", "frame", F.col("normalized").alias("score")), len(events), k)
+        pool = ranked.join(F.broadcast(videos), "video_id").join(frames, "frame_id")  # 30 videos
+        paths = S.kbest(pool.select("video_id", "event", "frame", F.col("normalized").alias("score"), "shot_id", "video_score"), len(events), k)
         return K.ranked_sequences(paths.select("video_id", F.col("rank").cast("string").alias("path_id"), "frames", "score"), len(events), k)

@@ -424,10 +424,14 @@ def event_diversify(spark, sf):
     return S.diversified(S.normalized_rank(_event_rows(spark, sf), F.desc("quality"), "frame_id"), 1, 3).select("event", "video_id", "frame_id")
 
 
-@query(f"""WITH {EVENTS}, b AS (SELECT video_id, event, max(CASE WHEN quality >= 15e-2 THEN quality END) AS best FROM ev GROUP BY ALL), p AS (SELECT video_id, round(count(best) / 3e0, 6) AS coverage, round(sum(coalesce(best, 0e0)) / 3e0, 6) AS support FROM b GROUP BY video_id)
-  SELECT *, round((45e-2 * coverage + 45e-2 * support) / 9e-1, 8) AS total FROM p ORDER BY coverage DESC, total DESC, support DESC, video_id LIMIT 30""")
+CONTEXT = "cx AS (SELECT video_id, round(max(1 - (rank - 1) / CAST(n AS DOUBLE)), 6) AS context FROM rk GROUP BY video_id)"
+
+
+@query(f"""WITH {RANKED}, {CONTEXT}, b AS (SELECT video_id, event, max(CASE WHEN frame_id % 10 > 0 THEN quality END) AS best FROM ev GROUP BY ALL), p AS (SELECT video_id, round(count(CASE WHEN best >= 15e-2 THEN 1 END) / 3e0, 6) AS coverage, round(sum(coalesce(best, 0e0)) / 3e0, 6) AS support FROM b GROUP BY video_id)
+  SELECT p.*, coalesce(CASE WHEN video_id % 3 > 0 THEN context END, 0e0) AS context, round((45e-2 * coverage + 45e-2 * support + 1e-1 * coalesce(CASE WHEN video_id % 3 > 0 THEN context END, 0e0)) / 1e0, 8) AS total FROM p LEFT JOIN cx USING (video_id) ORDER BY coverage DESC, total DESC, support DESC, context DESC, video_id LIMIT 30""")
 def video_gating(spark, sf):
-    return S.gated(_event_rows(spark, sf), 3)
+    rows = _event_rows(spark, sf)
+    return S.gated(rows, 3, context_video_score(spark, sf).where("video_id % 3 > 0"), absolute=F.col("frame_id") % 10 > 0)
 
 
 @query(f"WITH {RANKED} SELECT video_id, round(max(1 - (rank - 1) / CAST(n AS DOUBLE)), 6) AS context FROM rk GROUP BY video_id")
@@ -435,10 +439,23 @@ def context_video_score(spark, sf):
     return S.normalized_rank(_event_rows(spark, sf), F.desc("quality"), "frame_id").groupBy("video_id").agg(F.max("percentile").alias("context"))
 
 
-@query()
+def _kbest_step(e: int) -> str:
+    """SQL of one step of the beam of alignments."""
+    source = "kp WHERE event = 0" if e == 0 else f"k{e - 1} s JOIN kp ON s.video_id = kp.video_id AND kp.event = {e} AND kp.frame > s.frames[-1]"
+    here = "kp.video_id, [frame] AS frames, score AS total, shot, 0e0 AS gaps, 0e0 AS place" if e == 0 else "kp.video_id, list_append(s.frames, frame) AS frames, total + score AS total, kp.shot, gaps + ln(1 + frame - s.frames[-1]) AS gaps, place + CASE WHEN frame - s.frames[-1] <= 2 THEN 2e-2 ELSE 0e0 END + CASE WHEN kp.shot = s.shot THEN 1e-2 ELSE 0e0 END AS place"
+    return f"k{e} AS MATERIALIZED (SELECT * FROM (SELECT {here} FROM {source}) x QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY round(total / {e + 1} - least(35e-2, 1e-2 * gaps / {max(1, e)}) - least(4e-1, place), 9) DESC, frames) <= 200)"
+
+
+KBEST = f"""{EVENTS}, ka AS (SELECT video_id::VARCHAR AS video_id, event, CAST(floor(ts) AS BIGINT) AS frame, max(quality) AS score, arg_max(shot_id, (quality, shot_id::VARCHAR)) AS shot FROM ev GROUP BY ALL),
+  l2 AS (SELECT video_id, max(frame) AS f FROM ka WHERE event = 2 GROUP BY 1), l1 AS (SELECT video_id, max(frame) AS f FROM ka JOIN l2 USING (video_id) WHERE event = 1 AND frame < f GROUP BY 1),
+  kp AS (SELECT ka.* FROM ka LEFT JOIN l1 USING (video_id) LEFT JOIN l2 USING (video_id) WHERE event = 2 OR event = 1 AND frame < l2.f OR event = 0 AND frame < l1.f), {_kbest_step(0)}, {_kbest_step(1)}, {_kbest_step(2)}"""
+
+
+@query(f"""WITH {KBEST}, kf AS (SELECT video_id, frames, round(greatest(0e0, 7e-1 * total / 3 + 3e-1 - least(35e-2, 1e-2 * gaps / 2) - least(4e-1, place)), 6) AS score FROM k2)
+  SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frames) AS INTEGER) AS rank, array_to_string(frames, ',') AS frames, score FROM kf QUALIFY rank <= 5""")
 def kbest_alignment(spark, sf):
-    rows = _event_rows(spark, sf).select(F.col("video_id").cast("string").alias("video_id"), "event", F.col("ts").cast("long").alias("frame"), F.col("quality").alias("score"))
-    return S.kbest(rows, 3, k=5)
+    rows = _event_rows(spark, sf).select("video_id", "event", F.floor("ts").cast("long").alias("frame"), F.col("quality").alias("score"), "shot_id")
+    return S.kbest(rows, 3, k=5).withColumn("frames", F.array_join(F.transform("frames", lambda f: f.cast("string")), ","))
 
 
 def _clip_frames(spark, sf):

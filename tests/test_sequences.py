@@ -5,7 +5,6 @@ import math
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,23 +13,54 @@ from lumenframe.operators import timeline as T
 from lumenframe.sources.corpus import normalize_frames
 
 
-def test_align_equals_enumeration():
+@pytest.mark.parametrize(("gap", "equal"), [("log", False), ("linear", False), ("none", True), ("log", True)])
+def test_kbest_equals_enumeration(spark, gap, equal):
+    """Every rising sequence of each video, with all its penalties, where the beam is wide enough."""
     rng = random.Random(42)
-    for _ in range(200):
-        n = rng.randint(1, 4)
-        pool = [[(rng.randint(0, 30), round(rng.random(), 3)) for _ in range(rng.randint(1, 5))] for _ in range(n)]
-        rows = pd.DataFrame([(e, f, s) for e, p in enumerate(pool) for f, s in p], columns=["event", "frame", "score"])
-        best: dict = {}
-        for combo in itertools.product(*pool):
-            fs = tuple(f for f, _ in combo)
-            if all(a < b for a, b in zip(fs, fs[1:], strict=False)):
-                logs = [math.log1p(b - a) for a, b in zip(fs, fs[1:], strict=False)]
-                gap = min(0.35, 0.01 * sum(logs) / len(logs)) if logs else 0
-                best[fs] = max(best.get(fs, -9), round(0.7 * sum(s for _, s in combo) / n + 0.3 - gap, 6))
-        want = sorted(((s, f) for f, s in best.items()), key=lambda x: (-x[0], x[1]))[:100]
-        got = S.align(rows, n, beam=10_000)
-        assert [f for _, f in got] == [f for _, f in want]
-        assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=2e-6)
+    cases = {}
+    for v in range(60):
+        n = 1 + v % 4
+        cases[f"v{v}"] = n, [[(rng.randint(0, 30), round(rng.random(), 3), rng.choice([None, "", "a", "b"])) for _ in range(rng.randint(1, 5))] for _ in range(n)]
+    for n in range(1, 5):
+        own = {v: pool for v, (m, pool) in cases.items() if m == n}
+        want = {}
+        for v, pool in own.items():
+            # of one event's candidates at one frame the best counts
+            pool = [[(f, *max((s, x or "") for g, s, x in p if g == f)) for f in {g for g, _, _ in p}] for p in pool]
+            best = {}
+            for combo in itertools.product(*pool):
+                fs = tuple(c[0] for c in combo)
+                pairs = list(zip(combo, combo[1:], strict=False))
+                if all(a[0] < b[0] or (equal and a[0] == b[0]) for a, b in pairs):
+                    far = [math.log1p(b[0] - a[0]) if gap == "log" else (b[0] - a[0]) / 1000 if gap == "linear" else 0 for a, b in pairs]
+                    place = sum((0.2 if a[0] == b[0] else 0.02 if b[0] - a[0] <= 2 else 0) + 0.01 * (a[2] == b[2] != "") for a, b in pairs)
+                    best[fs] = max(0, 0.7 * sum(c[1] for c in combo) / n + 0.3 * 0.8 - min(0.35, 0.01 * sum(far) / len(far) if far else 0) - min(0.4, place))
+            want |= {(v, fs): s for fs, s in best.items()}
+        rows = [(v, e, f, s, x, 0.8) for v, pool in own.items() for e, p in enumerate(pool) for f, s, x in p]
+        df = spark.createDataFrame(rows, "video_id string, event int, frame long, score double, shot_id string, video_score double")
+        got = S.kbest(df, n, 10_000, 10_000, gap, allow_equal=equal).collect()
+        assert {(r.video_id, tuple(r.frames)): r.score for r in got} == pytest.approx(want, abs=2e-6)
+        for v in own:
+            mine = sorted((r for r in got if r.video_id == v), key=lambda r: r["rank"])
+            assert [(-r.score, r.frames) for r in mine] == sorted((-r.score, r.frames) for r in mine)
+
+
+def test_beam_keeps_sequences_that_can_end(spark):
+    """High scores that no later event follows don't crowd out the others, and the first event is cut to the beam too."""
+    rows = [("v", 0, 90 + i, 1.0) for i in range(5)] + [("v", 0, 1, 0.1), ("v", 0, 2, 0.2), ("v", 1, 50, 0.5)]
+    got = S.kbest(spark.createDataFrame(rows, "video_id string, event int, frame long, score double"), 2, 10, 1).collect()
+    assert [r.frames for r in got] == [[2, 50]]
+
+
+def test_gating(spark):
+    rows = [("full", 0, 0.9, 0.9), ("full", 1, 0.2, 0.9), ("half", 0, 1.0, 0.9), ("weak", 0, 0.9, 0.9), ("weak", 1, 0.1, 0.9), ("faint", 0, 0.9, 0.1), ("faint", 1, 0.9, 0.1)]
+    df = spark.createDataFrame(rows, "video_id string, event int, quality double, score double")
+    context = spark.createDataFrame([("half", 2.0), ("weak", 0.5), ("weak", 0.1)], "video_id string, context double")
+    got = {r.video_id: r for r in S.gated(df, 2, context, least_score=0.5).collect()}
+    assert (got["full"].coverage, got["full"].support, got["full"].context, got["full"].total) == (1.0, 0.55, 0.0, pytest.approx(0.45 + 0.45 * 0.55))
+    assert (got["half"].coverage, got["half"].context) == (0.5, 1.0) and got["weak"].coverage == 0.5 and got["weak"].context == 0.5 and got["faint"].coverage == got["faint"].support == 0.0
+    assert [r.video_id for r in S.gated(df, 2, context, complete=True).collect()] == ["faint", "full"]
+    assert [r.video_id for r in S.gated(df, 2, absolute=F.col("score") > 0.5, complete=True).collect()] == ["full"]
 
 
 def test_chain_dp_equals_enumeration():
