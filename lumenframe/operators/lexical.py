@@ -22,14 +22,16 @@ def stats(docs: DataFrame, text: str = "caption") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("doc_count"), F.avg(F.size(X.tokens(F.col(text)))).alias("avg_doc_len"))
 
 
-def search(docs: DataFrame, terms: list[str], key: str = "frame_id", text: str = "caption") -> DataFrame:
-    """(key, bm25, matched) of the texts that have any of the query's stems.
-
-    The scan keeps only tokens that stem to a query term before anything is shuffled.
-    """
+def sought(docs: DataFrame, terms: list[str], key: str = "frame_id", text: str = "caption") -> DataFrame:
+    """The postings (key, stem, tf, doc_len) of some stems alone, by one scan that keeps only tokens that stem to one of them
+    before anything is shuffled."""
     own = docs.select(key, F.size(X.tokens(F.col(text))).alias("doc_len"), X.stems_among(F.col(text), terms).alias("_s")).select(key, "doc_len", F.explode("_s").alias("stem"))
-    tf = own.groupBy(key, "stem").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
-    return scored(tf.join(F.broadcast(stats(docs, text))), F.col("doc_count"), F.col("avg_doc_len"), key)
+    return own.groupBy(key, "stem").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+
+
+def search(docs: DataFrame, terms: list[str], key: str = "frame_id", text: str = "caption") -> DataFrame:
+    """(key, bm25, matched) of the texts that have any of the query's stems."""
+    return scored(sought(docs, terms, key, text).join(F.broadcast(stats(docs, text))), F.col("doc_count"), F.col("avg_doc_len"), key)
 
 
 def scored(tf: DataFrame, doc_count: Column, avg_doc_len: Column, key: str = "frame_id") -> DataFrame:

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from lumenframe.functions import text as X
 from lumenframe.operators import fusion as U
 from lumenframe.operators import lexical as L
+from lumenframe.operators import planned as P
 from lumenframe.operators import rerank as K
 from lumenframe.operators import sequences as S
 from lumenframe.operators import vectors as Q
 from lumenframe.plans import parse
 from lumenframe.sources import textindex
+from lumenframe.sources.files import settled
 
 POOL, CLIPS, MOST, CAPS = 200, 50, 200, {"qa": 100, "trake": 100}
 DEFAULTS = {"kis": 20, "avs": 20, "qa": 20, "trake": 100}
@@ -48,6 +50,19 @@ class Engine:
         scored = L.with_quality(hits, self.frames, terms)
         return self._listed(scored.select("frame_id", F.col("quality").alias("score")), "caption")
 
+    def event_hits(self, texts: list[str]) -> DataFrame:
+        """(event, frame_id, score, rank) of all events of a query in one job: their stems' postings are read once."""
+        spark = self.frames.sparkSession
+        plan = spark.createDataFrame([(i, "caption", P.ORIGINAL, 1.0, True, t) for i, t in enumerate(texts)], "query_id int, modality string, variant string, weight double, in_scope boolean, text string")
+        told, _ = P.branches(plan, ["caption"])
+        terms = sorted({s for r in told.select("stems").collect() for s in r.stems})  # the words of one query
+        if self.index is None:
+            postings, sizes = L.sought(self.frames, terms or [""]), L.stats(self.frames)
+        else:
+            postings, sizes = textindex.postings(spark, self.index, terms), textindex.sizes(spark, self.index)
+        hits = P.text_hits(told, postings, sizes, self.frames.select("frame_id", F.col("caption").alias("text")), self.pool)
+        return hits.select(F.col("query_id").alias("event"), "frame_id", "score", "rank")
+
     def visual(self, vector: list[float]) -> DataFrame:
         """The same columns for the nearest vectors."""
         one = self.frames.sparkSession.createDataFrame([(0, [float(x) for x in vector])], "query_id int, query array<double>")
@@ -93,15 +108,14 @@ class Engine:
         """(video_id, path_id, frames, score, rank): sequences of frames, one for each event of the query, in videos that
         have all events."""
         plan = parse.parse_sequence(query)
-        events, rows = plan.events, None
-        for e in events:
-            hits = self.lexical(e.text).select("video_id", "shot_id", "frame_id", "score", F.lit(e.index).alias("event"))
-            rows = hits if rows is None else rows.unionByName(hits)
-        if rows is None:
+        events = plan.events
+        if not events:
             raise ValueError("the query has no event")
+        rows = self.event_hits([e.text for e in events]).join(self.frames.select("frame_id", "video_id", "shot_id"), "frame_id")
         if not plan.complete:  # a slot that says nothing is supported by nothing, so no video has all events
             rows = rows.where("false")
-        ranked = S.diversified(S.normalized_rank(rows, F.desc("score"), "frame_id"))
+        # read twice, by the gate and by the alignment
+        ranked = settled(S.diversified(S.normalized_rank(rows, F.desc("score"), "frame_id")))
         videos = S.gated(ranked.withColumn("quality", F.col("normalized")), len(events), least=0.05, complete=True).select("video_id", F.col("total").alias("video_score"))
         frames = self.frames.select("frame_id", F.col("frame_index").cast("long").alias("frame"))
         pool = ranked.join(F.broadcast(videos), "video_id").join(frames, "frame_id")  # 30 videos

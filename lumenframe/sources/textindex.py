@@ -64,6 +64,14 @@ def _schema(segment: dict):
     return StructType.fromJson(json.loads(segment["schema"]))
 
 
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """One row as lexical.stats() gives it: doc_count and avg_doc_len over all segments."""
+    segments = _segments(spark, path)
+    count = sum(s["doc_count"] for s in segments)
+    length = sum(s["doc_count"] * s["avg_doc_len"] for s in segments) / count if count else 0.0
+    return spark.createDataFrame([(count, length)], "doc_count long, avg_doc_len double")
+
+
 def search(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
     """As lexical.search(), from the stored postings: texts are neither read nor stemmed."""
     segments = _segments(spark, path)
