@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.functions import vector as V
+
 #: Boundary types that begin with a change, and the shares of the score span and of the largest motion a
 #: change must reach.
 FIRST = ("first_contact", "first_transition", "first_leave")
@@ -15,6 +17,33 @@ PATH_WEIGHT, LOCAL_WEIGHT = 0.85, 0.15
 MOST_STATES = 100
 
 
+def window_frames(windows: DataFrame, frames: DataFrame, width: float) -> DataFrame:
+    """Frames (video_id, frame, ts, embedding) of each window (window_id, video_id, low, high: seconds, at most ``width`` apart;
+    others kept), by a band join: time is cut into buckets of ``width``, of which a window meets two at most."""
+    bucket = lambda c: F.floor(c / width)
+    wide = F.when(F.col("high") - F.col("low") > width * (1 + 1e-9), F.raise_error(F.lit("a window is wider than the band"))).otherwise(bucket(F.col("high")))
+    looks = windows.withColumn("_b", F.explode(F.sequence(bucket(F.col("low")), wide)))
+    return looks.join(frames.withColumn("_b", bucket(F.col("ts"))), ["video_id", "_b"]).where((F.col("ts") >= F.col("low")) & (F.col("ts") <= F.col("high"))).drop("_b")
+
+
+def local_scores(windows: DataFrame, frames: DataFrame, queries: DataFrame, width: float) -> DataFrame:
+    """(window_id, frame, score, motion) as local_hypotheses() takes them, from frame embeddings.
+
+    windows: window_id, video_id, event, low, high; frames: video_id, frame, ts, embedding; queries: event, query (one vector
+    each). score is the cosine with the event's vector mapped to 0..1, motion 1 less the cosine with the window's frame before
+    (0 for the first, at most 1). Vectors need not be of unit length; one without a direction is an error, as is a query's
+    of another dimension.
+    """
+    unit = lambda c, what: F.coalesce(V.normalized(c), F.raise_error(F.concat(F.lit(f"{what} has no direction: "), F.to_json(F.struct(c.alias("v"))))).cast("array<double>"))
+    asked = queries.select("event", unit(F.col("query"), "query embedding").alias("_q"))
+    rows = window_frames(windows, frames, width).withColumn("_e", unit(F.col("embedding"), "frame embedding")).join(asked, "event")
+    fits = F.when(F.size("_q") != F.size("_e"), F.raise_error(F.lit("query and frame embeddings differ in dimension")).cast("double"))
+    score = F.coalesce(fits, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (V.dot(F.col("_e"), F.col("_q")) + 1) / 2)))
+    before = F.lag("_e").over(Window.partitionBy("window_id").orderBy("frame"))
+    moved = F.when(F.col("_p").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - V.dot(F.col("_e"), F.col("_p")))))
+    return rows.withColumn("_p", before).select("window_id", "frame", score.alias("score"), moved.alias("motion"))
+
+
 def local_hypotheses(scores: DataFrame, windows: DataFrame, limit: int, confirm: int = 2) -> DataFrame:
     """At most ``limit`` ranked frames for each window: (window_id, rank, frame, score, strategy, confidence, source, warning).
 

@@ -42,9 +42,8 @@ BOUNDARIES = ("peak", "first_transition", "first_leave", "first_contact", "state
 CROSSES = "score >= low + 55e-2 * span AND (b IS NULL OR b < low + 55e-2 * span) AND held >= low + 55e-2 * span AND p + 1 <= n AND (mv IS NULL OR (mv > 1e-6 AND coalesce(motion, 0) >= 35e-2 * mv))"
 
 
-@query(f"""WITH {FE}, s AS (SELECT video_id AS window_id, frame_id AS frame, confidence AS score, list_extract({list(BOUNDARIES)}, CAST(video_id % 5 AS INTEGER) + 1) AS boundary, CASE WHEN video_id % 4 > 0 THEN min(frame_id) OVER (PARTITION BY video_id) + 100 END AS coarse,
-    CASE WHEN video_id % 3 > 0 THEN abs(confidence - coalesce(lag(confidence) OVER (PARTITION BY video_id ORDER BY frame_id), confidence)) END AS motion FROM fe),
-  r AS (SELECT *, min(score) OVER a AS low, max(score) OVER a - min(score) OVER a AS span, count(*) OVER a AS n, row_number() OVER o AS p, lag(score) OVER o AS b, lead(score) OVER o AS f, min(score) OVER (PARTITION BY window_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS held, max(motion) OVER a AS mv
+#: From s (window_id, frame, score, motion, boundary, coarse) to the hypotheses of each window.
+HYPOTHESES = f"""  r AS (SELECT *, min(score) OVER a AS low, max(score) OVER a - min(score) OVER a AS span, count(*) OVER a AS n, row_number() OVER o AS p, lag(score) OVER o AS b, lead(score) OVER o AS f, min(score) OVER (PARTITION BY window_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS held, max(motion) OVER a AS mv
     FROM s WINDOW a AS (PARTITION BY window_id), o AS (PARTITION BY window_id ORDER BY frame)),
   c AS (SELECT *, coalesce(coarse, max(CASE WHEN p = n // 2 + 1 THEN frame END) OVER (PARTITION BY window_id)) AS center, min(CASE WHEN {CROSSES} THEN frame END) OVER (PARTITION BY window_id) AS fst, first_value(frame) OVER (PARTITION BY window_id ORDER BY score DESC, frame) AS best,
     span <= 1e-12 AS flat, boundary LIKE 'first%' AS starts FROM r),
@@ -53,7 +52,13 @@ CROSSES = "score >= low + 55e-2 * span AND (b IS NULL OR b < low + 55e-2 * span)
     FROM d WHERE flat OR boundary <> 'peak' OR ((b IS NULL OR score >= b) AND (f IS NULL OR score >= f)))
   SELECT window_id, rank, frame, round(score, 6) AS score, CASE WHEN flat THEN 'flat_local_score_fallback' WHEN lost THEN 'insufficient_temporal_signal_fallback' WHEN boundary = 'peak' THEN 'local_peak' WHEN boundary = 'first_leave' THEN 'first_fully_left_state' WHEN starts THEN 'first_positive_transition' ELSE 'semantic_top_score' END AS strategy,
     CASE WHEN flat OR lost THEN 0e0 ELSE round((score - low) / span, 6) END AS confidence, CASE WHEN lost OR (flat AND coarse = frame) THEN 'canonical_metadata' ELSE 'local_refinement' END AS source, CASE WHEN flat THEN 'flat_local_score_fallback' WHEN lost THEN 'insufficient_temporal_boundary_signal' END AS warning
-  FROM e WHERE rank <= 5 AND (rank = 1 OR NOT (flat OR lost))""")
+  FROM e WHERE rank <= 5 AND (rank = 1 OR NOT (flat OR lost))"""
+NAMED = f"list_extract({list(BOUNDARIES)}, CAST({{}} AS INTEGER) + 1)"
+
+
+@query(f"""WITH {FE}, s AS (SELECT video_id AS window_id, frame_id AS frame, confidence AS score, {NAMED.format('video_id % 5')} AS boundary, CASE WHEN video_id % 4 > 0 THEN min(frame_id) OVER (PARTITION BY video_id) + 100 END AS coarse,
+    CASE WHEN video_id % 3 > 0 THEN abs(confidence - coalesce(lag(confidence) OVER (PARTITION BY video_id ORDER BY frame_id), confidence)) END AS motion FROM fe),
+{HYPOTHESES}""")
 def local_hypotheses(spark, sf):
     from pyspark.sql import Window
 
@@ -66,6 +71,33 @@ def local_hypotheses(spark, sf):
     return N.local_hypotheses(scores, windows, 5)
 
 
+UNIT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / sqrt(list_sum(list_transform({0}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) * list_sum(list_transform({1}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
+#: Each frame that is a coarse hit has a window of two seconds around it, and asks for the vector of the row with its event's number.
+WINDOWED = f"""v AS (SELECT label AS video_id, vec_id AS frame, vec_id / 2e1 AS ts, embedding AS em FROM embeddings), w AS (SELECT frame AS window_id, video_id, frame % 7 AS event, ts - 1 AS low, ts + 1 AS high, frame AS coarse FROM v WHERE frame % 3 = 0),
+  q AS (SELECT frame AS event, em AS qe FROM v WHERE frame < 7), j AS (SELECT window_id, v.frame, {UNIT.format('em', 'qe')} AS c, em, coarse FROM w JOIN v ON v.video_id = w.video_id AND v.ts BETWEEN low AND high JOIN q USING (event)),
+  k AS (SELECT *, lag(em) OVER (PARTITION BY window_id ORDER BY frame) AS pe FROM j),
+  s AS (SELECT window_id, frame, least(1e0, greatest(0e0, (c + 1) / 2)) AS score, CASE WHEN pe IS NULL THEN 0e0 ELSE least(1e0, greatest(0e0, 1 - {UNIT.format('em', 'pe')})) END AS motion, {NAMED.format('window_id % 5')} AS boundary, coarse FROM k)"""
+
+
+def _windows(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("label").alias("video_id"), F.col("vec_id").alias("frame"), (F.col("vec_id") / 20.0).alias("ts"), "embedding")
+    k, t = F.col("frame"), F.col("ts")
+    named = F.element_at(F.array(*[F.lit(b) for b in BOUNDARIES]), (k % 5).cast("int") + 1)
+    windows = e.where(k % 3 == 0).select(k.alias("window_id"), "video_id", (k % 7).alias("event"), (t - 1).alias("low"), (t + 1).alias("high"), k.alias("coarse"), named.alias("boundary"))
+    return windows, N.local_scores(windows, e, e.where(k < 7).select(k.alias("event"), F.col("embedding").alias("query")), 2.0)
+
+
+@query(f"WITH {WINDOWED} SELECT window_id, frame, round(score, 6) AS score, round(motion, 6) AS motion FROM s")
+def local_scores(spark, sf):
+    return _windows(spark, sf)[1].select("window_id", "frame", F.round("score", 6).alias("score"), F.round("motion", 6).alias("motion"))
+
+
+@query(f"WITH {WINDOWED}, {HYPOTHESES}")
+def local_refinement(spark, sf):
+    windows, scores = _windows(spark, sf)
+    return N.local_hypotheses(scores, windows.select("window_id", "boundary", "coarse"), 5)
+
+
 def _step(k: int) -> str:
     """SQL of a step of the beam of refined paths."""
     source = "c WHERE event = 0" if k == 0 else f"s{k - 1} s JOIN c USING (path_id) WHERE c.event = {k} AND c.frame > s.frames[-1]"

@@ -187,3 +187,37 @@ def test_local_hypotheses_and_paths(spark):
     choices = spark.createDataFrame([(1, 0, 5, 1.0), (1, 0, 9, 0.2), (1, 1, 7, 0.5), (1, 1, 10, 0.1), (2, 0, 8, 1.0), (2, 1, 8, 1.0)], "path_id int, event int, frame long, confidence double")
     rows = [(r.path_id, r.frames, r.score) for r in N.refined_paths(paths, choices, 2).orderBy(F.desc("score"), "frames").collect()]
     assert rows == [(1, [5, 7], 0.5375), (1, [5, 10], 0.5075), (1, [9, 10], 0.4475)]
+
+
+def test_local_scores(spark):
+    """Windows meet just their frames, whatever bucket they fall in; scores and motion are those of numpy."""
+    from lumenframe.operators import refine as N
+
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(40, 3))
+    frames = [(f"v{i % 2}", i, i * 0.7 - 3, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    asked = rng.normal(size=(3, 3))
+    windows = [(f"w{i}", f"v{i % 2}", i % 3, (low := float(rng.uniform(-4, 26))), low + float(rng.uniform(0, 2))) for i in range(30)] + [("edge", "v0", 0, -3.0, -1.0)]
+    df = N.local_scores(spark.createDataFrame(windows, "window_id string, video_id string, event int, low double, high double"), spark.createDataFrame(frames, "video_id string, frame long, ts double, embedding array<double>"), spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asked)], "event int, query array<double>"), 2.0)
+    got = {(r.window_id, r.frame): (r.score, r.motion) for r in df.collect()}
+    want = {}
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    for w, v, e, low, high in windows:
+        last = None
+        for video, i, t, x in frames:
+            if video == v and low <= t <= high:
+                want[w, i] = (pytest.approx((cos(x, asked[e]) + 1) / 2), pytest.approx(0 if last is None else min(1, max(0, 1 - cos(x, last)))))
+                last = x
+    assert got == want
+
+
+def test_local_scores_reject(spark):
+    from lumenframe.operators import refine as N
+
+    w = lambda high: spark.createDataFrame([("w", "v", 0, 0.0, high)], "window_id string, video_id string, event int, low double, high double")
+    f = lambda e: spark.createDataFrame([("v", 1, 0.5, e)], "video_id string, frame long, ts double, embedding array<double>")
+    q = lambda e: spark.createDataFrame([(0, e)], "event int, query array<double>")
+    for args, match in (((w(9.0), f([1.0]), q([1.0])), "wider than the band"), ((w(1.0), f([0.0]), q([1.0])), "frame embedding has no direction"), ((w(1.0), f([1.0]), q([float("nan")])), "query embedding has no direction"), ((w(1.0), f([1.0]), q([1.0, 2.0])), "differ in dimension")):
+        with pytest.raises(Exception, match=match):
+            N.local_scores(*args, 2.0).collect()
+    assert N.local_scores(w(1.0).limit(0), f([1.0]), q([1.0]), 2.0).count() == 0
