@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import vector as V
 from lumenframe.operators import records as R
+from lumenframe.operators.ranks import places
 
 #: Seconds of a bucket of the interval join.
 BUCKET_SECONDS = 10
@@ -103,14 +104,8 @@ def sampled_frames(shots: DataFrame, margin: float = 0.2) -> DataFrame:
 
 
 def global_rows(rows: DataFrame, order: str = "frame_id") -> DataFrame:
-    """Append row_id: a running number from 0 over videos in order, and in each by ``order``.
-
-    Numbers run in each video; a table of one row per video adds where it begins, so rows aren't sorted in one task.
-    """
-    counts = rows.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"))
-    begins = counts.select("video_id", F.coalesce(F.sum("_n").over(Window.orderBy("video_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"))
-    inside = F.row_number().over(Window.partitionBy("video_id").orderBy(order))
-    return rows.withColumn("_at", inside).join(begins, "video_id").withColumn("row_id", F.col("_from") + F.col("_at") - 1).drop("_from", "_at")
+    """Append row_id: a running number from 0 over videos in order, and in each by ``order``; no task holds a video."""
+    return places(rows, [], "video_id", order, name="row_id").withColumn("row_id", F.col("row_id") - 1)
 
 
 def class_counts(detections: DataFrame, threshold: float) -> DataFrame:

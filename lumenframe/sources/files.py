@@ -90,14 +90,66 @@ def digest(df: DataFrame) -> str:
     return "-".join(str(v or 0) for v in got)
 
 
+class Busy(RuntimeError):
+    """Another writer has claimed the place, or has changed it meanwhile."""
+
+
+class Claim:
+    """The right to replace CURRENT below a path. ``with Claim(spark, path) as c:`` ... ``c.commit(text)``.
+
+    A mark, PUBLISHING, says who is writing; a second writer is refused while it is there, and so is a commit after the mark or
+    CURRENT changed hands. The mark goes when the block ends, also with an error; a writer that is killed leaves it, readers
+    keep to the old CURRENT, and abandon() makes way for the next.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.token = spark, path, uuid.uuid4().hex
+
+    def _text(self, name: str) -> str | None:
+        fs, p = _fs(self.spark, f"{self.path}/{name}")
+        return get(self.spark, f"{self.path}/{name}") if fs.exists(p) else None
+
+    def __enter__(self) -> Claim:
+        fs, p = _fs(self.spark, f"{self.path}/PUBLISHING")
+        if fs.exists(p):
+            raise Busy(f"{self.path}: {self._text('PUBLISHING')} is publishing")
+        out = fs.create(p, False)
+        out.write(bytearray(self.token.encode()))
+        out.close()
+        self.base = self._text("CURRENT")
+        self._hold()
+        return self
+
+    def _hold(self) -> None:
+        if self._text("PUBLISHING") != self.token or self._text("CURRENT") != self.base:
+            raise Busy(f"{self.path} was taken over by another writer")
+
+    def commit(self, text: str) -> None:
+        self._hold()
+        replace(self.spark, f"{self.path}/CURRENT", text)
+        self.base = text
+
+    def __exit__(self, *error) -> None:
+        if self._text("PUBLISHING") == self.token:
+            abandon(self.spark, self.path)
+
+
+def abandon(spark: SparkSession, path: str) -> None:
+    """Take away the mark of a writer that will not come back."""
+    fs, p = _fs(spark, f"{path}/PUBLISHING")
+    fs.delete(p, False)
+
+
 def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """Write a table as a new generation below ``path`` and then point CURRENT at it. Readers see the old one or the new one."""
+    """Write a table as a new generation below ``path`` and then point CURRENT at it. Readers see the old one or the new one; a
+    second writer meanwhile is refused."""
     spark, name = df.sparkSession, f"gen={uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{name}")
-    saved = spark.read.schema(df.schema).parquet(f"{path}/{name}")
-    manifest = {"generation": name, "rows": saved.count(), "digest": digest(saved), "columns": sorted(df.columns)}
-    replace(spark, f"{path}/CURRENT", json.dumps(manifest, sort_keys=True))
+    with Claim(spark, path) as claim:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{name}")
+        saved = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        manifest = {"generation": name, "rows": saved.count(), "digest": digest(saved), "columns": sorted(df.columns)}
+        claim.commit(json.dumps(manifest, sort_keys=True))
     return name
 
 

@@ -29,17 +29,18 @@ def publish(docs: DataFrame, path: str, add: bool = False, key: str = "frame_id"
     are sorted by stem, so that a scan skips row groups.
     """
     spark, name = docs.sparkSession, f"segment={uuid.uuid4().hex}"
-    rows = L.postings(docs, key, text).withColumn("bucket", bucket(F.col("stem")))
-    rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "stem").write.partitionBy("bucket").parquet(f"{path}/{name}/postings")
-    docs.select(key).write.parquet(f"{path}/{name}/keys")
-    keys = spark.read.parquet(f"{path}/{name}/keys")
-    segments = _segments(spark, path) if add else []
-    old = [f"{path}/{s['name']}/keys" for s in segments]
-    if not keys.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() or (old and not keys.join(spark.read.parquet(*old), key, "left_semi").isEmpty()):
-        raise ValueError(f"{path}: a key of {name} is there twice")
-    size = L.stats(docs, text).first()
-    segments.append({"name": name, "doc_count": size.doc_count, "avg_doc_len": size.avg_doc_len or 0.0, "key": key, "schema": rows.schema.json()})
-    files.replace(spark, f"{path}/CURRENT", json.dumps({"segments": segments}))
+    with files.Claim(spark, path) as claim:  # segments that another writer adds meanwhile would be lost
+        rows = L.postings(docs, key, text).withColumn("bucket", bucket(F.col("stem")))
+        rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "stem").write.partitionBy("bucket").parquet(f"{path}/{name}/postings")
+        docs.select(key).write.parquet(f"{path}/{name}/keys")
+        keys = spark.read.parquet(f"{path}/{name}/keys")
+        segments = _segments(spark, path) if add else []
+        old = [f"{path}/{s['name']}/keys" for s in segments]
+        if not keys.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() or (old and not keys.join(spark.read.parquet(*old), key, "left_semi").isEmpty()):
+            raise ValueError(f"{path}: a key of {name} is there twice")
+        size = L.stats(docs, text).first()
+        segments.append({"name": name, "doc_count": size.doc_count, "avg_doc_len": size.avg_doc_len or 0.0, "key": key, "schema": rows.schema.json()})
+        claim.commit(json.dumps({"segments": segments}))
     return name
 
 
