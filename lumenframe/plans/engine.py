@@ -15,6 +15,7 @@ from lumenframe.operators import rerank as K
 from lumenframe.operators import sequences as S
 from lumenframe.operators import vectors as Q
 from lumenframe.plans import parse
+from lumenframe.plans.deadlines import DEADLINE, Outcome
 from lumenframe.sources import textindex
 from lumenframe.sources.files import settled
 
@@ -108,16 +109,50 @@ class Engine:
         """(video_id, path_id, frames, score, rank): sequences of frames, one for each event of the query, in videos that
         have all events."""
         plan = parse.parse_sequence(query)
-        events = plan.events
-        if not events:
+        if not plan.events:
             raise ValueError("the query has no event")
-        rows = self.event_hits([e.text for e in events]).join(self.frames.select("frame_id", "video_id", "shot_id"), "frame_id")
+        ranked = self._event_ranks(plan)
+        return self._aligned(ranked, self._supporting(ranked, len(plan.events)), len(plan.events), k)
+
+    def _event_ranks(self, plan: parse.Sequence) -> DataFrame:
+        rows = self.event_hits([e.text for e in plan.events]).join(self.frames.select("frame_id", "video_id", "shot_id"), "frame_id")
         if not plan.complete:  # a slot that says nothing is supported by nothing, so no video has all events
             rows = rows.where("false")
         # read twice, by the gate and by the alignment
-        ranked = settled(S.diversified(S.normalized_rank(rows, F.desc("score"), "frame_id")))
-        videos = S.gated(ranked.withColumn("quality", F.col("normalized")), len(events), least=0.05, complete=True).select("video_id", F.col("total").alias("video_score"))
+        return settled(S.diversified(S.normalized_rank(rows, F.desc("score"), "frame_id")))
+
+    def _supporting(self, ranked: DataFrame, events: int) -> DataFrame:
+        return S.gated(ranked.withColumn("quality", F.col("normalized")), events, least=0.05, complete=True).select("video_id", F.col("total").alias("video_score"))
+
+    def _aligned(self, ranked: DataFrame, videos: DataFrame, events: int, k: int) -> DataFrame:
         frames = self.frames.select("frame_id", F.col("frame_index").cast("long").alias("frame"))
         pool = ranked.join(F.broadcast(videos), "video_id").join(frames, "frame_id")  # 30 videos
-        paths = S.kbest(pool.select("video_id", "event", "frame", F.col("normalized").alias("score"), "shot_id", "video_score"), len(events), k)
-        return K.ranked_sequences(paths.select("video_id", F.col("rank").cast("string").alias("path_id"), "frames", "score"), len(events), k)
+        paths = S.kbest(pool.select("video_id", "event", "frame", F.col("normalized").alias("score"), "shot_id", "video_score"), events, k)
+        return K.ranked_sequences(paths.select("video_id", F.col("rank").cast("string").alias("path_id"), "frames", "score"), events, k)
+
+    def sequence_search(self, query: str, k: int = DEFAULTS["trake"], deadline: float = DEADLINE) -> Outcome:
+        """sequences() in stages, each of which has ``deadline`` seconds, with how it ended: retrieval of all events, videos that
+        support them all, alignment. Nothing is returned in place of what didn't end or isn't supported."""
+        spark, out = self.frames.sparkSession, Outcome()
+        plan = parse.parse_sequence(query)
+        out.warnings += plan.warnings
+        if not plan.events:
+            out.status, out.stage = "invalid_query", "parse"
+            return out
+        ranked = out.run(spark, deadline, "retrieval", lambda: self._event_ranks(plan))
+        if ranked is None:
+            return out
+        videos = out.run(spark, deadline, "gating", lambda: settled(self._supporting(ranked, len(plan.events))))
+        if videos is None:
+            return out
+        if videos.isEmpty():
+            out.status = "insufficient_support"
+            out.warnings += ["no_video_supports_all_events", *([] if plan.complete else ["empty_event_marker"])]
+            return out
+        rows = out.run(spark, deadline, "alignment", lambda: settled(self._aligned(ranked, videos, len(plan.events), k)))
+        if rows is not None:
+            out.rows = rows
+            if rows.isEmpty():
+                out.status = "insufficient_support"
+                out.warnings.append("no_ordered_sequence")
+        return out

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import text as X
 from lumenframe.operators import lexical as L
 from lumenframe.operators import planned as P
+from lumenframe.operators.scorers import blended, model_scores
 from lumenframe.plans.registry import FT, WORDS, query
 from lumenframe.sources.corpus import table, text_frames
 from lumenframe.sources.files import settled
@@ -83,3 +85,24 @@ def planned_hybrid(spark, sf):
 def planned_skips(spark, sf):
     plan = plan_rows(spark, sf)
     return P.branches(plan.where(F.col("modality") != P.VISUAL), ["caption", "ocr", "objects"])[1]
+
+
+RANKED = f"""{FT}, rk AS (SELECT video_id AS query_id, frame_id AS candidate, ts, (frame_id * 7 % 100) / 1e2 AS score, row_number() OVER (PARTITION BY video_id ORDER BY (frame_id * 7 % 100) DESC, ts, frame_id) AS rank, length(caption) AS n FROM ft),
+  mo AS (SELECT *, CASE WHEN rank <= 20 AND n % 13 > 0 THEN (n % 101) / 1e2 END AS model FROM rk), st AS (SELECT query_id, bool_or(rank <= 20 AND model IS NULL) AS failed FROM mo GROUP BY 1)"""
+
+
+@query(f"""WITH {RANKED}, bl AS (SELECT mo.*, CASE WHEN rank <= 20 AND model IS NOT NULL THEN round(8e-1 * score + 2e-1 * model, 8) ELSE score END AS blend, CASE WHEN failed THEN 'fallback' ELSE 'passed' END AS status FROM mo JOIN st USING (query_id))
+  SELECT query_id, candidate, CAST(row_number() OVER (PARTITION BY query_id ORDER BY blend DESC, ts, candidate) AS INTEGER) AS rank, blend AS score, model, CASE WHEN rank <= 20 AND model IS NULL THEN 'ValueError: unreadable' END AS reason, status FROM bl""")
+def model_blend_each(spark, sf):
+    """A scorer that can't read some rows: the others are blended, these keep their scores."""
+    f, k = text_frames(spark, sf), F.col("frame_id")
+    order = Window.partitionBy("video_id").orderBy(F.desc(k * 7 % 100), "ts", "frame_id")
+    rows = settled(f.select(F.col("video_id").alias("query_id"), k.alias("candidate"), "ts", (k * 7 % 100 / 100.0).alias("score"), F.row_number().over(order).alias("rank"), F.length("caption").alias("n")))
+
+    def by_length(items: list[dict]) -> list[float]:
+        if any(i["n"] % 13 == 0 for i in items):
+            raise ValueError("unreadable")
+        return [min(1.0, i["n"] % 101 / 100) for i in items]
+
+    scores = model_scores(rows.where("rank <= 20"), by_length, ["n"])
+    return blended(rows.drop("n"), scores, "each").select("query_id", "candidate", "rank", "score", "model", "reason", "status")
