@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import text as X
 from lumenframe.operators import lexical as L
+from lumenframe.operators import phrases as H
 from lumenframe.operators import planned as P
 from lumenframe.operators.scorers import blended, model_scores
 from lumenframe.plans.registry import FT, WORDS, query
@@ -106,3 +107,52 @@ def model_blend_each(spark, sf):
 
     scores = model_scores(rows.where("rank <= 20"), by_length, ["n"])
     return blended(rows.drop("n"), scores, "each").select("query_id", "candidate", "rank", "score", "model", "reason", "status")
+
+
+#: A vocabulary that occurs in the items' prose, with variants that overlap within and across categories.
+VOCABULARY = {
+    "subject": {"the": ["the", "to the", "of the"], "he": ["he", "that he"], "de la": ["de la", "la"]},
+    "locations": {"in": ["in the", "in"], "on": ["on the", "on"], "en": ["en la", "en el", "en"]},
+    "objects": {"the of": ["the of", "of"], "la": ["la", "la de"], "and the": ["and the", "and", "in the of"]},
+    "actions": {"is": ["is"], "was": ["was", "it was"], "est": ["est", "que est"]},
+    "attributes": {"a": ["a", "at a"], "it": ["it", "to it"]},
+}
+ENTRIES = [(c, name, v) for c, names in VOCABULARY.items() for name, variants in names.items() for v in variants]
+VALUES = ", ".join(f"('{c}', '{n}', '{v}')" for c, n, v in ENTRIES)
+EDGE = r"[\p{L}\p{N}_]"
+
+
+def _chosen_sql(source: str) -> str:
+    """SQL of the greedy choice for each query and category of a table of candidates."""
+    return f"""SELECT item_id, category, unnest(list_reduce(list([{{'less': s - e, 's': s, 'canonical': canonical, 'e': e}}] ORDER BY s - e, s, canonical),
+    lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: k.s < x[1].e AND x[1].s < k.e)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS k FROM (SELECT DISTINCT * FROM {source}) GROUP BY item_id, category"""
+
+
+PHRASES = f"""vo(category, canonical, v) AS (VALUES {VALUES}), ch AS (SELECT item_id, lower(coalesce(text, '')) AS t, unnest(range(1, length(coalesce(text, '')) + 1)) AS i FROM benchmark),
+  ca AS (SELECT item_id, category, canonical, i - 1 AS s, i - 1 + length(v) AS e FROM ch JOIN vo ON substr(t, i, length(v)) = v WHERE NOT (i > 1 AND regexp_matches(substr(t, i - 1, 1), '{EDGE}')) AND NOT regexp_matches(substr(t, i + length(v), 1), '{EDGE}')),
+  c1 AS (SELECT * FROM ca WHERE category <> 'objects'), k1 AS ({_chosen_sql('c1')}),
+  c2 AS (SELECT * FROM ca WHERE category = 'objects' AND NOT EXISTS (SELECT 1 FROM k1 WHERE k1.item_id = ca.item_id AND k1.category IN ('locations', 'subject') AND ca.s < k1.k.e AND k1.k.s < ca.e)), k2 AS ({_chosen_sql('c2')}),
+  ks AS (SELECT item_id AS query_id, category, k.canonical AS canonical, min((k.s, k.e)) AS f FROM (SELECT * FROM k1 UNION ALL SELECT * FROM k2) GROUP BY ALL),
+  kn AS (SELECT query_id, category, canonical, f[1] AS start, f[2] AS finish, CAST(row_number() OVER (PARTITION BY query_id, category ORDER BY f) AS INTEGER) AS place FROM ks)"""
+
+
+def _known(spark, sf):
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return items, H.constraints(items, H.vocabulary(spark, VOCABULARY))
+
+
+@query(f"WITH {PHRASES} SELECT query_id, category, canonical, CAST(start AS INTEGER) AS start, CAST(finish AS INTEGER) AS finish, place FROM kn")
+def known_constraints(spark, sf):
+    return _known(spark, sf)[1].withColumnRenamed("end", "finish")
+
+
+ASKED = f"""{PHRASES}, au AS (SELECT item_id AS query_id, lower(coalesce(text, '')) AS t, length(regexp_extract(lower(coalesce(text, '')), '^\\s*(?:{'|'.join(H.AUXILIARIES)})\\b')) AS aux FROM benchmark),
+  an AS (SELECT query_id, aux, coalesce(min(CASE WHEN category = 'subject' AND start >= aux THEN (start, finish) END), min(CASE WHEN category = 'objects' AND start >= aux THEN (start, finish) END)) AS a FROM au LEFT JOIN kn USING (query_id) GROUP BY ALL),
+  hy AS (SELECT query_id, a[1] AS anchor, coalesce(min(CASE WHEN category = 'actions' AND start >= coalesce(a[2], aux) THEN start END), min(CASE WHEN category IN ('attributes', 'locations', 'objects') AND start >= coalesce(a[2], aux) AND start IS DISTINCT FROM a[1] THEN start END)) AS hypothesis FROM an LEFT JOIN kn USING (query_id) GROUP BY ALL)"""
+
+
+@query(f"WITH {ASKED} SELECT kn.query_id, category, canonical, CASE WHEN start >= hypothesis THEN 'hypothesis' ELSE 'context' END AS role FROM kn JOIN hy USING (query_id)")
+def constraint_roles(spark, sf):
+    items, known = _known(spark, sf)
+    known = settled(known)
+    return H.with_roles(known, H.hypothesis_starts(items, known)).select("query_id", "category", "canonical", "role")
