@@ -251,3 +251,73 @@ def test_pruning_is_safe_and_prunes(spark):
     assert Counter(tuple(r) for r in ranked.search(df, spark.createDataFrame(items, "item_id long, text string")).collect()) == want
     for item, rank, _, score in want:
         assert rank > 10 or score >= thresholds[item]
+
+
+def test_dealing_goes_by_cost():
+    """Each piece goes to the cheapest sequence with room for it, found by trying all of them; else the roomiest takes a part."""
+    from lumenframe.llm import packing
+
+    rng = random.Random(6)
+    for size, n in ((50, 40), (50, 1), (7, 60), (2048, 120)):
+        lengths = [rng.choice([1, 2, rng.randint(1, size - 1), rng.randint(1, size - 1)]) for _ in range(n)]
+        room, load = [size] * -(-sum(lengths) // size), [0.0] * -(-sum(lengths) // size)
+        want = [[] for _ in lengths]
+        for k in sorted(range(n), key=lambda k: -lengths[k]):  # of equal lengths the earlier first
+            start = 0
+            while start < lengths[k]:
+                left = lengths[k] - start
+                able = [s for s in range(len(room)) if room[s] >= left]
+                at = min(able, key=lambda s: (load[s], s)) if able else min(range(len(room)), key=lambda s: (-room[s], s))
+                take = min(left, room[at])
+                want[k].append((start, take, at, size - room[at]))
+                room[at] -= take
+                load[at] += packing.LINEAR * take + packing.QUADRATIC * take * take
+                start += take
+        assert packing.deal(lengths, size) == want
+
+
+def spark_hash(*parts):
+    """Spark's xxhash64 of ints, longs and strings: XXH64, each part seeded by the hash of those before."""
+    import struct
+
+    import xxhash
+
+    seed = 42
+    for kind, x in parts:
+        seed = xxhash.xxh64_intdigest(x.encode() if kind == "s" else struct.pack("<i" if kind == "i" else "<q", x), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_imatch_equals_brute_force(spark, tmp_path):
+    from lumenframe.llm import imatch
+
+    rng = random.Random(12)
+    texts = [None, "", "!!", "ÉTUDE x_y"] + [" ".join(rng.choice(["the", f"w{rng.randrange(70)}", f"É{rng.randrange(30)}", f"Σx-{rng.randrange(30)}"]) for _ in range(rng.randint(1, 60))) for _ in range(90)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[10:14])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"file://{tmp_path}/documents.parquet")
+
+    split = lambda t: list(dict.fromkeys(x for x in re.split(r"[^\w]|_", (t or "").lower()) if x))
+    df = Counter(t for r in rows for t in split(r[1]))
+    low, high = max(2, len(rows) * imatch.LOW), max(2, len(rows) * imatch.HIGH)
+    lexicon = {t: spark_hash(("s", t)) for t, n in df.items() if low <= n <= high}
+    assert len(lexicon) > 5
+    subsets = [{t for t in lexicon if spark_hash(("i", k), ("s", t)) % imatch.KEEP[k // imatch.EACH] == 0} for k in range(imatch.SUBSETS)]
+    masks = {t: sum(1 << k for k in range(imatch.SUBSETS) if t in subsets[k]) for t in lexicon}
+
+    def parts(text):
+        mine = sorted((lexicon[t], masks[t], t) for t in split(text) if t in lexicon and masks[t])
+        return [f"{spark_hash(*[('l', h) for h, _, t in mine if t in s]) % (1 << 64):016x}"[:8] if any(t in s for _, _, t in mine) else imatch.NONE for s in subsets]
+
+    def like(a, b):
+        there = [(x, y) for x, y in zip(a, b, strict=True) if x != imatch.NONE or y != imatch.NONE]
+        return sum(x == y for x, y in there) / len(there) if there else 1.0
+
+    order = sorted(rows, key=lambda r: (-r[0], r[1] or ""))
+    want = Counter()
+    for one, after in zip(order, order[1:] + order[:1], strict=True):
+        text, n = one[1] or "", len(one[1] or "")
+        own, edited, other = parts(text), parts(text[: n - n // 2] + (after[1] or "")[: n // 2]), parts(after[1])
+        want[one[0], "".join(own), "".join(edited), round(like(own, edited), 9), round(like(own, other), 9)] += 1
+    got = queries.op7_imatch(spark, f"file://{tmp_path}").collect()
+    assert Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+    assert any(r.near_edited > 0 for r in got if r.n_chars > 0)
