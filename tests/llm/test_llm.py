@@ -37,6 +37,7 @@ def tables(docs, tmp_path_factory):
     for name, df in (("full", docs.withColumns({"fp": F.lit("clash"), "shard": F.lit("clash")})), ("empty", docs.limit(0))):
         folder = tmp_path_factory.mktemp(name)
         df.write.parquet(f"file://{folder}/documents.parquet")
+        df.select(F.col("doc_id").alias("item_id"), "text").limit(0 if name == "empty" else 5).write.parquet(f"file://{folder}/benchmark.parquet")
         out[name] = f"file://{folder}"
     return out
 
