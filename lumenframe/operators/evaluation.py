@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +17,34 @@ def frame_map_report(frames: DataFrame, key: str, required: str) -> DataFrame:
     return rest.join(F.broadcast(missing)).select("n", "missing", "extra", "empty")  # one row each
 
 
+def frame_map_audit(frames: DataFrame, total: int, key: str, required: tuple[str, ...], source: str = "timestamp_source", sample: int = 20) -> DataFrame:
+    """(issue, n, sample) of a frame map held against an index of ``total`` rows: count_mismatch (how far the counts are
+    apart), missing_index, extra_index (ids outside 0 ... total - 1), repeated_index, empty_<field> for each required field, and
+    source_<name> for each source of times (not an issue, but reported). sample: the smallest ids, ``sample`` at most; issues that don't
+    occur have no row."""
+    ids = frames.select(F.col(key).cast("long").alias("id"))
+    spark, known = frames.sparkSession, ids.distinct()
+    found = [
+        spark.range(total).join(known, "id", "left_anti").select(F.lit("missing_index").alias("issue"), "id"),
+        known.where((F.col("id") < 0) | (F.col("id") >= total)).select(F.lit("extra_index").alias("issue"), "id"),
+        ids.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.lit("repeated_index").alias("issue"), "id"),
+        *[frames.where(F.col(f).isNull() | (F.col(f).cast("string") == "")).select(F.lit(f"empty_{f}").alias("issue"), F.col(key).cast("long").alias("id")) for f in required],
+        frames.select(F.concat(F.lit("source_"), F.coalesce(F.col(source), F.lit("none"))).alias("issue"), F.col(key).cast("long").alias("id")),
+    ]
+    rows = reduce(DataFrame.unionByName, found)
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("issue").orderBy("id"))).where(F.col("_r") <= sample)
+    samples = first.groupBy("issue").agg(F.array_sort(F.collect_list("id")).alias("sample"))
+    told = rows.groupBy("issue").agg(F.count(F.lit(1)).alias("n")).join(samples, "issue")
+    apart = frames.agg(F.abs(F.count(F.lit(1)) - total).alias("n")).where("n > 0").select(F.lit("count_mismatch").alias("issue"), "n", F.array().cast("array<bigint>").alias("sample"))
+    return told.select("issue", "n", "sample").unionByName(apart)
+
+
+def frame_map_fixed(frames: DataFrame, source: str = "timestamp_source", confidence: str = "timestamp_confidence") -> DataFrame:
+    """Frames with the source and confidence of their times filled in where they are missing: unknown, 0."""
+    have = {source: F.lit("unknown"), confidence: F.lit(0.0)}
+    return frames.withColumns({c: F.coalesce(F.col(c), v) if c in frames.columns else v for c, v in have.items()})
+
+
 def hit_at(hits: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """One row: share of queries with a hit among the first k, of (query_id, rank, hit)."""
     first = hits.groupBy("query_id").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
