@@ -258,6 +258,33 @@ def distinct_frames(rows: DataFrame, window: float = 12.0, bits: int = 6) -> Dat
     return blocks(flat, window).groupBy("video_id", "block").applyInPandas(one, schema)
 
 
+def vector_repeats(rows: DataFrame, window: float, least: float) -> DataFrame:
+    """(video_id, frame_id, repeat_of, similarity) of rows (video_id, frame_id, ts, embedding of unit length): each row, in order of
+    time, with the most similar kept row at most ``window`` seconds before it, if that is at least ``least`` alike; such a row isn't
+    kept (the earlier of equals). Others are kept, and have null there. Runs without a pause over the window go to tasks of their own."""
+    schema = "video_id string, frame_id long, repeat_of long, similarity double"
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "frame_id"])
+        kept: list[tuple[float, int, np.ndarray]] = []
+        told: list[tuple[int | None, float | None]] = []
+        for t, f, e in zip(pdf["ts"], pdf["frame_id"], pdf["embedding"], strict=True):
+            kept = [k for k in kept if t - k[0] <= window]
+            e = np.asarray(e, float)
+            alike = [float(np.dot(k[2], e)) for k in kept]
+            best = int(np.argmax(alike)) if alike else -1
+            if best >= 0 and alike[best] >= least:
+                told.append((kept[best][1], round(alike[best], 6)))
+            else:
+                told.append((None, None))
+                kept.append((t, int(f), e))
+        return pd.DataFrame({"video_id": pdf["video_id"].to_numpy(), "frame_id": pdf["frame_id"].to_numpy(), "repeat_of": pd.array([r for r, _ in told], dtype="Int64"), "similarity": pd.Series([s for _, s in told], dtype="float64")})
+
+    flat = rows.select(F.col("video_id").cast("string"), F.col("frame_id").cast("long"), F.col("ts").cast("double"), "embedding")
+    out = blocks(flat, window).groupBy("video_id", "block").applyInPandas(one, schema)
+    return out.withColumn("similarity", F.when(F.col("repeat_of").isNotNull(), F.col("similarity")))
+
+
 def captions_without_near_repeats(rows: DataFrame, ratio: float = 0.92) -> DataFrame:
     """(video_id, shot_id, caption, kept, seen): captions of a shot in order of time, less those similar to any kept one before."""
 

@@ -5,7 +5,7 @@ from pathlib import Path
 import compare
 import pytest
 
-from lumenframe.plans import adapting, contexts, extended, flowing, matching, planning, publishing, refining, registry, searching  # noqa: F401
+from lumenframe.plans import adapting, contexts, extended, flowing, matching, planning, publishing, refining, registry, searching, shooting  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
