@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Reasons for a candidate, in their order, and the defaults in seconds.
-REASONS = ("dense_interval", "shot_boundary_start", "shot_boundary_end", "tiny_shot_midpoint", "video_start", "video_end")
+REASONS = ("tiny_shot_midpoint", "dense_interval", "shot_boundary_start", "shot_boundary_end", "video_start", "video_end")
 INTERVAL, GUARD, TINY = 0.5, 0.2, 0.5
 
 

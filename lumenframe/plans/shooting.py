@@ -29,8 +29,8 @@ def scene_shots(spark, sf):
 
 
 @query(f"""WITH {SHOTS}, an AS (SELECT *, least(end_frame, start_frame + 5) AS a, greatest(start_frame, end_frame - 5) AS z FROM sh), ty AS (SELECT *, (end_frame - start_frame + 1) / 25e0 <= 5e-1 + 1e-12 OR a >= z AS tiny FROM an),
-  cd AS (SELECT video_id, shot_index, start_frame + (end_frame - start_frame) // 2 AS f, 3 AS r FROM ty WHERE tiny UNION ALL SELECT video_id, shot_index, a, 1 FROM ty WHERE NOT tiny UNION ALL SELECT video_id, shot_index, z, 2 FROM ty WHERE NOT tiny
-    UNION ALL SELECT video_id, shot_index, start_frame + CAST(round_even(i * 125e-1, 0) AS BIGINT), 0 FROM (SELECT *, unnest(range(0, CAST(floor((end_frame - start_frame) / 125e-1 + 1e-12) AS BIGINT) + 1)) AS i FROM ty WHERE NOT tiny)
+  cd AS (SELECT video_id, shot_index, start_frame + (end_frame - start_frame) // 2 AS f, 0 AS r FROM ty WHERE tiny UNION ALL SELECT video_id, shot_index, a, 2 FROM ty WHERE NOT tiny UNION ALL SELECT video_id, shot_index, z, 3 FROM ty WHERE NOT tiny
+    UNION ALL SELECT video_id, shot_index, start_frame + CAST(round_even(i * 125e-1, 0) AS BIGINT), 1 FROM (SELECT *, unnest(range(0, CAST(floor((end_frame - start_frame) / 125e-1 + 1e-12) AS BIGINT) + 1)) AS i FROM ty WHERE NOT tiny)
     UNION ALL SELECT video_id, shot_index, start_frame, 4 FROM ty QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY start_frame) = 1 UNION ALL SELECT video_id, shot_index, end_frame, 5 FROM ty QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY start_frame DESC) = 1)
   SELECT video_id, shot_index, 'CANDIDATE_' || video_id || '_' || lpad(f::VARCHAR, 9, '0') AS candidate_id, f AS frame_index, round(f / 25e0, 6) AS timestamp, array_to_string(list_transform(list_sort(list(DISTINCT r)), lambda k: {list(T.REASONS)}[k + 1]), ',') AS reasons FROM cd GROUP BY video_id, shot_index, f""")
 def shot_candidates(spark, sf):
