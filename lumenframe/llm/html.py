@@ -3,7 +3,7 @@
 Pages of one host are merged: elements with the same path of styles (tag, class, id) from the root form an element node of
 the host's tree, and the different sequences of child styles of a node are its presentation styles. Importance goes from
 the leaves up. A leaf is as important as its content varies: the entropy of its texts over the most that so many could
-have. An inner node's own part is the entropy of its presentation styles, likewise relative; with l styles it weighs
+have, times the share of its words that aren't links (menus differ from page to page, but link throughout). An inner node's own part is the entropy of its presentation styles, likewise relative; with l styles it weighs
 1 - DECAY ** l, and the mean importance of its children (by style, then over the styles' shares) weighs DECAY ** l. Text
 that an inner node holds beside its children is a leaf of its own. Nodes on fewer than MIN_PAGES different pages, or on
 less than SUPPORT of their host's, count as important (1), so a host's tree has at most (mean nodes a page) / SUPPORT nodes.
@@ -268,13 +268,15 @@ def _clean(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-def main_text(page: str | None, low: frozenset = frozenset(), marks: bool = True) -> str:
-    root = parse(page)
+def main_text(page: str | None, low: frozenset = frozenset(), marks: bool = True, linked: frozenset = frozenset()) -> str:
+    """Text of a page without its unimportant branches: constant ones (low) anywhere, those that are so for their links (linked)
+    outside a marked article, whose lists of links are its own."""
+    root, low_outside = parse(page), low | linked
     for level in (2, 1) if marks else ():
         found, todo = [], [root]
         while todo:
             n = todo.pop()
-            if n.noise or n.path in low:
+            if n.noise or n.path in low_outside:
                 continue
             if n.main == level:
                 found.append(n)
@@ -283,7 +285,7 @@ def main_text(page: str | None, low: frozenset = frozenset(), marks: bool = True
         text = _clean([x for n in found for x in _words(n, low)])
         if text:
             return text
-    return _clean(_words(root, low, marks))
+    return _clean(_words(root, low_outside, marks))
 
 
 OWN = "#text"
@@ -292,42 +294,49 @@ LEAF = 0
 ROOT = 0
 
 
-def style_nodes(page: str | None) -> list[tuple[int, int, int, int, int]]:
-    """(path, parent, shape, content, share) of the root and each block with text of a page, outside code, bottom up.
+def style_nodes(page: str | None) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(path, parent, shape, content, share, words, linked) of the root and each block with text of a page, outside code, bottom up.
 
     shape is LEAF for leaves, else the hash of the child styles; content is a leaf's text as a hash, and of inner nodes the
-    hash of their children's contents; share is STEPS over the number of the parent's children.
+    hash of their children's contents; share is STEPS over the number of the parent's children; words and linked count a leaf's
+    words and those within links (0 for inner nodes).
     """
     root = parse(page)
-    order, todo = [], [(root, None)]
+    order, todo = [], [(root, None, False)]
     while todo:  # parents before children
-        n, block = todo.pop()
+        n, block, linked = todo.pop()
         if n.tag in RAW:
             continue
         own = n.tag not in INLINE and n.tag not in VOID and n.tag not in ("html", "body", "head")
-        mine = {"path": n.path, "style": n.style, "parent": block, "pieces": [], "kids": []} if own else block
+        mine = {"path": n.path, "style": n.style, "parent": block, "pieces": [], "linked": 0, "kids": []} if own else block
         if own:
             order.append(mine)
+        linked = linked or n.tag == "a"
         # inline elements and strings belong to the block around them
         for c in reversed(n.children):
             if isinstance(c, Node):
-                todo.append((c, mine))
-        mine["pieces"] += [c for c in n.children if isinstance(c, str)]
+                todo.append((c, mine, linked))
+        said = [c for c in n.children if isinstance(c, str)]
+        mine["pieces"] += said
+        if linked:
+            mine["linked"] += sum(len(c.split()) for c in said)
     out = []
     for b in reversed(order):
         text = " ".join(" ".join(b["pieces"]).split())
         kids = b["kids"][::-1]
         if not kids and not text and b["parent"] is not None:
             continue
+        count = (text.count(" ") + 1 if text else 0, b["linked"])
         if kids and text:
-            kids.append((_hash(b["path"], OWN), OWN, _hash(text), LEAF))
-        content = _hash(*[c for _, _, c, _ in kids]) if kids else _hash(text)
-        shape = _hash(*[style for _, style, _, _ in kids]) if kids else LEAF
-        out += [(path, b["path"], kind, c, STEPS // len(kids)) for path, _, c, kind in kids]
+            kids.append((_hash(b["path"], OWN), OWN, _hash(text), LEAF, *count))
+        content = _hash(*[k[2] for k in kids]) if kids else _hash(text)
+        shape = _hash(*[k[1] for k in kids]) if kids else LEAF
+        count = (0, 0) if kids else count
+        out += [(path, b["path"], kind, c, STEPS // len(kids), words, linked) for path, _, c, kind, words, linked in kids]
         if b["parent"] is not None:
-            b["parent"]["kids"].append((b["path"], b["style"], content, shape))
+            b["parent"]["kids"].append((b["path"], b["style"], content, shape, *count))
         else:
-            out.append((ROOT, ROOT, shape, content, 0))
+            out.append((ROOT, ROOT, shape, content, 0, *count))
     return out
 
 
@@ -335,12 +344,12 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-NODES = T.StructType([T.StructField("host", T.StringType()), *(T.StructField(n, T.LongType(), False) for n in ("page", "path", "parent", "shape", "content", "n", "share"))])
+NODES = T.StructType([T.StructField("host", T.StringType()), *(T.StructField(n, T.LongType(), False) for n in ("page", "path", "parent", "shape", "content", "n", "share", "words", "linked"))])
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """(host, page digest, path, parent, shape, content, n, share) of (host, html): n is how many equal nodes the page has,
-    share the sum of theirs."""
+    """(host, page digest, path, parent, shape, content, n, share, words, linked) of (host, html): n is how many equal nodes the
+    page has; share, words and linked are the sums of theirs."""
 
     def run(batches):
         names = NODES.fieldNames()
@@ -349,25 +358,27 @@ def nodes(pages: DataFrame) -> DataFrame:
                 hosts, rows = [], []
                 for host, page in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
                     some = style_nodes(page)
-                    counts, shares = Counter(), Counter()
-                    for path, parent, shape, content, share in some:
-                        counts[path, parent, shape, content] += 1
-                        shares[path, parent, shape, content] += share
-                    hosts += [host] * len(counts)
-                    rows += [(some[-1][3], *x, n, shares[x]) for x, n in counts.items()]
-                cols = np.array(rows, np.int64).reshape(-1, 7).T
+                    sums: dict[tuple, list[int]] = {}
+                    for *node, share, words, linked in some:
+                        held = sums.setdefault(tuple(node), [0, 0, 0, 0])
+                        for at, more in enumerate((1, share, words, linked)):
+                            held[at] += more
+                    hosts += [host] * len(sums)
+                    rows += [(some[-1][3], *x, *held) for x, held in sums.items()]
+                cols = np.array(rows, np.int64).reshape(-1, 9).T
                 yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=names)
 
     return pages.select("host", "html").mapInArrow(run, NODES)
 
 
 def tree(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT) -> DataFrame:
-    """(host, path, parent, n, leaves, styles, shape, content, share) of the nodes with enough pages, of (host, html).
+    """(host, path, parent, n, leaves, styles, shape, content, share, words, linked) of the nodes with enough pages, of (host, html).
 
     n: elements; leaves: those without children; styles, shape: number and relative entropy of presentation styles;
-    content: relative entropy of the contents; share: sum of the parents' shares. Copies of a page count once.
+    content: relative entropy of the contents; share: sum of the parents' shares; words, linked: the leaves' words, and those
+    within links. Copies of a page count once.
     """
-    every = nodes(pages).groupBy("host", "path", "page", "shape", "content").agg(F.max("n").alias("n"), F.max("share").alias("share"), F.min("parent").alias("parent"))
+    every = nodes(pages).groupBy("host", "path", "page", "shape", "content").agg(*[F.max(c).alias(c) for c in ("n", "share", "words", "linked")], F.min("parent").alias("parent"))
     seen = written(every)
     # one row a page and node, without contents: how many different pages have a node
     on = seen.groupBy("host", "path", "page").agg(F.count(F.lit(1)).alias("k")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
@@ -375,19 +386,19 @@ def tree(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT)
     enough = join_groups(on, whole, ["host"]).where((F.col("pages") >= min_pages) & (F.col("pages") >= F.col("of") * support)).select("host", "path")
 
     def entropy(kind: str, *more: Column) -> DataFrame:
-        each = seen.groupBy("host", "path", kind).agg(F.sum("n").alias("n"), F.sum("share").alias("share"), F.min("parent").alias("parent"))
+        each = seen.groupBy("host", "path", kind).agg(*[F.sum(c).alias(c) for c in ("n", "share", "words", "linked")], F.min("parent").alias("parent"))
         sums = each.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), *more)
         # -sum p log p over the largest possible, log(all)
         part = F.greatest(F.lit(0.0), F.log("all") - F.col("nlogn") / F.col("all")) / F.log("all")
         return sums.withColumn(f"e_{kind}", F.when(F.col("all") > 1, part).otherwise(1.0)).drop("nlogn")
 
-    shape = entropy("shape", F.min("parent").alias("parent"), F.sum("share").alias("share"), F.count(F.lit(1)).alias("styles"), F.sum(F.when(F.col("shape") == LEAF, F.col("n")).otherwise(0)).alias("leaves"))
+    shape = entropy("shape", F.min("parent").alias("parent"), *[F.sum(c).alias(c) for c in ("share", "words", "linked")], F.count(F.lit(1)).alias("styles"), F.sum(F.when(F.col("shape") == LEAF, F.col("n")).otherwise(0)).alias("leaves"))
     both = enough.join(shape, ["host", "path"]).join(entropy("content").drop("all"), ["host", "path"])
-    return both.select("host", "path", "parent", F.col("all").alias("n"), "leaves", "styles", F.col("e_shape").alias("shape"), F.col("e_content").alias("content"), "share")
+    return both.select("host", "path", "parent", F.col("all").alias("n"), "leaves", "styles", F.col("e_shape").alias("shape"), F.col("e_content").alias("content"), "share", "words", "linked")
 
 
-def importances(rows: list[dict]) -> dict[int, float]:
-    """Importance of each node of one host's tree; rows as tree() gives them."""
+def importances(rows: list[dict], links: bool = True) -> dict[int, float]:
+    """Importance of each node of one host's tree; rows as tree() gives them. links: leaves count less for linked words."""
     at = {r["path"]: r for r in rows}
     below: dict[int, list[int]] = {}
     for r in rows:
@@ -405,7 +416,7 @@ def importances(rows: list[dict]) -> dict[int, float]:
             continue
         inner = r["n"] - r["leaves"]
         if not inner:
-            out[path] = r["content"]
+            out[path] = r["content"] * (1 - links * r["linked"] / max(1, r["words"]))
             continue
         # the children's mean importance over the node's styles; children too rare for the tree and leaves count 1
         known = [(at[c]["share"] / STEPS / r["n"], out[c]) for c in below.get(path, ())]
@@ -416,26 +427,28 @@ def importances(rows: list[dict]) -> dict[int, float]:
 
 
 def unimportant(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW, support: float = SUPPORT) -> DataFrame:
-    """(host, path, importance) of style nodes below the importance limit, of (host, html). A task holds one host's tree,
-    whose size support bounds; pages don't meet in a task."""
+    """(host, path, importance, constant) of style nodes below the importance limit, of (host, html); constant ones are below it
+    whatever they link to. A task holds one host's tree, whose size support bounds; pages don't meet in a task."""
 
     def one(pdf):
         import pandas as pd
 
-        got = [(p, x) for p, x in importances(pdf.to_dict("records")).items() if x < low and p != ROOT]
-        return pd.DataFrame({"host": pd.Series([pdf["host"].iloc[0]] * len(got), dtype=object), "path": pd.Series([p for p, _ in got], dtype="int64"), "importance": pd.Series([x for _, x in got], dtype="float64")})
+        rows = pdf.to_dict("records")
+        plain = importances(rows, links=False)
+        got = [(p, x) for p, x in importances(rows).items() if x < low and p != ROOT]
+        return pd.DataFrame({"host": pd.Series([pdf["host"].iloc[0]] * len(got), dtype=object), "path": pd.Series([p for p, _ in got], dtype="int64"), "importance": pd.Series([x for _, x in got], dtype="float64"), "constant": pd.Series([plain[p] < low for p, _ in got], dtype=bool)})
 
-    return tree(pages, min_pages, support).groupBy("host").applyInPandas(one, "host string, path long, importance double")
+    return tree(pages, min_pages, support).groupBy("host").applyInPandas(one, "host string, path long, importance double, constant boolean")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, low: float = LOW, marks: bool = True) -> DataFrame:
     """Append text: the main text of each page. A column of that name is replaced, others are kept; all rows stay."""
     kept = [f for f in pages.schema.fields if f.name.lower() != "text"]
-    at_host, at_low = fresh([f.name for f in kept], "_host"), fresh([f.name for f in kept], "_low")
+    at_host, at_low, at_linked = (fresh([f.name for f in kept], n) for n in ("_host", "_low", "_linked"))
     with_host = pages.select(*[quoted(f.name) for f in kept], host_of(quoted(url)).alias(at_host))
     found = unimportant(with_host.select(F.col(at_host).alias("host"), quoted(html).alias("html")), min_pages, low)
-    drop = checkpoint(found.groupBy(F.col("host").alias(at_host)).agg(F.array_sort(F.collect_set("path")).alias(at_low)))
-    rows = join_groups(with_host, drop, [at_host], "left").select(*[quoted(f.name) for f in kept], at_low)
+    drop = checkpoint(found.groupBy(F.col("host").alias(at_host)).agg(*[F.array_sort(F.collect_set(F.when(F.col("constant") == yes, F.col("path")))).alias(n) for n, yes in ((at_low, True), (at_linked, False))]))
+    rows = join_groups(with_host, drop, [at_host], "left").select(*[quoted(f.name) for f in kept], at_low, at_linked)
     schema = T.StructType([*kept, T.StructField("text", T.StringType(), False)])
     at = [f.name for f in kept].index(html)
 
@@ -443,7 +456,8 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: i
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 b = batch.slice(k, 256)
-                out = [main_text(page, frozenset(gone or ()), marks) for page, gone in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], names=schema.fieldNames())
+                gone = zip(*(b.column(b.num_columns - k).to_pylist() for k in (2, 1)), strict=True)
+                out = [main_text(page, frozenset(low or ()), marks, frozenset(linked or ())) for page, (low, linked) in zip(b.column(at).to_pylist(), gone, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.string())], names=schema.fieldNames())
 
     return numbered(rows).mapInArrow(run, schema)

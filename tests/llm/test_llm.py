@@ -317,17 +317,18 @@ def brute_importance(pages, min_pages, support):
     from lumenframe.llm.html import DECAY, INLINE, OWN, RAW, VOID, Node, parse
 
     def fold(n, path):
-        """(style children, own text) of a block; children are (style, path, subtree)."""
-        kids, text = [], []
+        """(style children, own text, linked words) of a block; children are (style, path, subtree)."""
+        kids, text, linked = [], [], []
 
-        def walk(m):
+        def walk(m, link=False):
             for c in m.children:
                 if isinstance(c, str):
                     text.append(c)
+                    linked.extend(c.split() if link else [])
                 elif c.tag in RAW:
                     continue
                 elif c.tag in INLINE or c.tag in VOID or c.tag in ("html", "body", "head"):
-                    walk(c)
+                    walk(c, link or c.tag == "a")
                 else:
                     sub = fold(c, (*path, c.path))
                     if sub[0] or sub[1]:
@@ -336,14 +337,14 @@ def brute_importance(pages, min_pages, support):
         walk(n)
         own = " ".join(" ".join(text).split())
         if kids and own:
-            kids.append((OWN, ("own", path[-1]), ([], own)))
-        return kids, own if not kids else ""
+            kids.append((OWN, ("own", path[-1]), ([], own, len(linked))))
+        return (kids, "", 0) if kids else (kids, own, len(linked))
 
     found = {}
 
     def gather(page, path, sub):
         styles = tuple(k[0] for k in sub[0])
-        found.setdefault(path, []).append((page, styles, repr(sub), [k[1] for k in sub[0]]))
+        found.setdefault(path, []).append((page, styles, repr(sub), [k[1] for k in sub[0]], len(sub[1].split()), sub[2]))
         for _, p, s in sub[0]:
             gather(page, p, s)
 
@@ -361,7 +362,7 @@ def brute_importance(pages, min_pages, support):
             return 1.0
         rows = held[path]
         if not any(r[3] for r in rows):
-            return entropy([r[2] for r in rows])
+            return entropy([r[2] for r in rows]) * (1 - sum(r[5] for r in rows) / max(1, sum(r[4] for r in rows)))
         styles = Counter(r[1] for r in rows)
         mean = np.mean([np.mean([importance(c) for c in r[3]]) if r[3] else 1.0 for r in rows])
         keep = DECAY ** len(styles)
@@ -396,6 +397,16 @@ def test_html_tree_decides_alone(spark):
     assert got == {i: " ".join(" ".join(x).split()) for i, x in enumerate(own)}
 
 
+def test_html_tree_finds_menus_that_differ(spark):
+    """Without marks: menus go on every page though no two read the same, as all their words are links; a text with a link stays."""
+    rng = random.Random(3)
+    page = "<body><ul class=top>{}</ul><div class=b><p>{} <a href=x>{}</a></p><p>{}</p></div></body>"
+    parts = [("".join(f"<li><a href=/{k}>{prose(rng, 2)} {rng.random()}</a></li>" for k in range(rng.randint(3, 5))), prose(rng, 20), prose(rng, 2), prose(rng, 9)) for _ in range(30)]
+    df = spark.createDataFrame([(i, "https://a.example/", page.format(*x)) for i, x in enumerate(parts)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df, marks=False).collect()}
+    assert got == {i: " ".join(" ".join(x[1:]).split()) for i, x in enumerate(parts)}
+
+
 def naive_components(prints):
     ids = {}
     for d, f in prints:
