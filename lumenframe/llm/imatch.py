@@ -10,23 +10,24 @@ any in all subsets, 1.
 As each lexicon term is in at least LOW of the documents, the lexicon has at most (mean distinct terms) / LOW terms,
 whatever the number of documents. It is counted, and broadcast up to LEXICON_ROWS; beyond, the join shuffles.
 
-Null text counts as empty. Rows of equal ids are ordered by text. One document is its own next document.
+Null text counts as empty. Ids may be of any type that orders; rows of equal ids are ordered by text and meet in one task, null ids come
+last. One document is its own next document; an empty table gives an empty table. Very long texts are taken whole: a text's
+terms are one array. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm._shared import checkpoint, let
+from lumenframe.llm._shared import checkpoint, let, placed
 
 LOW, HIGH = 0.002, 0.15
 KEEP = (8, 32, 128, 512)
 EACH = 8
 SUBSETS = EACH * len(KEEP)
 LEXICON_ROWS = 1_000_000
-CHUNK_ROWS, MAX_CHUNKS = 1000, 20_000
+CHUNK_ROWS = 1000
 NONE = "-" * 8
 
 
@@ -64,29 +65,33 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(any_ == 0, F.lit(1.0)).otherwise(same / any_)
 
 
+def _key() -> Column:
+    """An id as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("doc_id").cast("string")), F.lit("")).alias("_key")
+
+
 def in_chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, guest, doc_id, text): documents cut by id into chunks; each chunk also has, as guests, the rows that follow
-    its last row in descending order of ids (after the last chunk: those of the largest id)."""
-    n = docs.count()
-    chunks = max(1, min(MAX_CHUNKS, -(-n // CHUNK_ROWS)))
-    ids = docs.select(F.col("doc_id").cast("double").alias("id"))
-    cuts = sorted(set(ids.approxQuantile("id", [k / chunks for k in range(1, chunks)], max(1e-4, 0.2 / chunks)))) if chunks > 1 else []
-    # null ids come last in descending order
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)).alias("_id"))
-    rows = Bucketizer(splits=[float("-inf"), *(cuts or [0.0]), float("inf")], inputCol="_id", outputCol="_chunk").transform(rows).withColumn("chunk", F.col("_chunk").cast("int"))
-    heads = rows.groupBy("chunk").agg(F.max("_id").alias("_head"))
-    # at most MAX_CHUNKS rows: which chunk has each head as its guests
-    w = Window.orderBy(F.col("chunk"))
-    hosts = heads.withColumn("_host", F.coalesce(F.lead("chunk").over(w), F.min("chunk").over(Window.partitionBy())))
-    hosts = checkpoint(hosts.select("chunk", F.col("_head").alias("_id"), "_host"))
-    to = F.when(F.col("_host").isNull(), F.array(F.struct("chunk", F.lit(False).alias("guest")))).otherwise(F.array(F.struct("chunk", F.lit(False).alias("guest")), F.struct(F.col("_host").alias("chunk"), F.lit(True).alias("guest"))))
-    return rows.join(F.broadcast(hosts), ["chunk", "_id"], "left").select("doc_id", "text", F.explode(to).alias("to")).select("to.chunk", "to.guest", "doc_id", "text")
+    """(chunk, guest, doc_id, text): documents cut in descending order of ids (null last) into chunks of CHUNK_ROWS different ids,
+    whatever their type and number; each chunk also has, as guests, the rows of the id that follows its last one (after the
+    last chunk: those of the first id)."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = placed(rows.select("doc_id").distinct(), None, ["doc_id"])  # from the smallest
+    last = ids.agg(F.max("_pos")).first()[0]
+    if last is None:
+        return rows.select(F.lit(0).cast("long").alias("chunk"), F.lit(False).alias("guest"), "doc_id", "text")
+    at = F.lit(last) - F.col("_pos")
+    chunk = F.floor(at / CHUNK_ROWS)
+    host = F.when(at % CHUNK_ROWS == 0, F.when(chunk == 0, F.lit(last // CHUNK_ROWS)).otherwise(chunk - 1))
+    to = F.filter(F.array(F.struct(chunk.alias("chunk"), F.lit(False).alias("guest")), F.struct(host.alias("chunk"), F.lit(True).alias("guest"))), lambda x: x["chunk"].isNotNull())
+    named = ids.select(_key(), to.alias("to"))
+    return rows.select("doc_id", "text", _key()).join(named, "_key").select("doc_id", "text", F.explode("to").alias("to")).select("to.chunk", "to.guest", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """doc_id, n_chars, edited (text), parts, edited_parts, next_parts of (doc_id, text).
 
-    One shuffle of the texts, by chunk; windows, the join with the lexicon and the grouping of terms keep that partitioning.
+    Texts are shuffled by id, for their chunk, and by chunk; windows, the join with the lexicon and the grouping of terms keep
+    that partitioning.
     """
     lex = lexicon(docs, low=low, high=high)
     lex = F.broadcast(lex) if lex.count() <= LEXICON_ROWS else lex

@@ -321,3 +321,23 @@ def test_imatch_equals_brute_force(spark, tmp_path):
     got = queries.op7_imatch(spark, f"file://{tmp_path}").collect()
     assert Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
     assert any(r.near_edited > 0 for r in got if r.n_chars > 0)
+
+
+@pytest.mark.parametrize("kind", ["string", "long", "decimal(20,0)"])
+def test_imatch_takes_ids_of_any_type(spark, monkeypatch, kind):
+    from lumenframe.llm import imatch
+
+    monkeypatch.setattr(imatch, "CHUNK_ROWS", 3)
+    rows = [(i, f"text {i}") for i in range(20)] + [(None, "none"), (7, "again"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = imatch.fingerprints(df, low=0.0, high=1.0).collect()
+    order = sorted(rows, key=lambda r: r[1] or "")
+    order = sorted(order, key=lambda r: str(r[0]) if kind == "string" else r[0] or 0, reverse=True)
+    order = sorted((r for r in order if r[0] is not None), key=lambda r: str(r[0]) if kind == "string" else r[0], reverse=True) + [r for r in order if r[0] is None]
+    want = Counter()
+    for one, after in zip(order, order[1:] + order[:1], strict=True):
+        t = one[1] or ""
+        want[None if one[0] is None else str(one[0]), t[: len(t) - len(t) // 2] + (after[1] or "")[: len(t) // 2]] += 1
+    told = Counter((None if r.doc_id is None else str(r.doc_id), r.edited_sha256) for r in got)
+    assert told == Counter({(i, sha256(t.encode()).hexdigest()): n for (i, t), n in want.items()})
+    assert imatch.fingerprints(df.limit(0)).count() == 0
