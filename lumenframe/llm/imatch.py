@@ -17,8 +17,10 @@ terms are one array. Only doc_id and text are read, so other columns may have an
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from lumenframe.llm._shared import checkpoint, let, placed
 
@@ -27,7 +29,7 @@ KEEP = (8, 32, 128, 512)
 EACH = 8
 SUBSETS = EACH * len(KEEP)
 LEXICON_ROWS = 1_000_000
-CHUNK_ROWS = 1000
+CHUNK_ROWS, MAX_CHUNKS = 1000, 20_000
 NONE = "-" * 8
 
 
@@ -71,9 +73,35 @@ def _key() -> Column:
 
 
 def in_chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, guest, doc_id, text): documents cut in descending order of ids (null last) into chunks of CHUNK_ROWS different ids,
-    whatever their type and number; each chunk also has, as guests, the rows of the id that follows its last one (after the
-    last chunk: those of the first id)."""
+    """(chunk, guest, doc_id, text): documents cut by id into chunks of about CHUNK_ROWS; each chunk also has, as guests, the rows of
+    the id that follows its last one in descending order, null last (after the last chunk: those of the first id).
+
+    Numeric ids of up to MAX_CHUNKS chunks are cut at quantiles that every task knows, others at each row's rank, for which
+    texts are shuffled once more. Which it is changes the plan, not the result: that depends on the order alone.
+    """
+    n = docs.count()
+    if isinstance(docs.schema["doc_id"].dataType, NumericType) and n <= CHUNK_ROWS * MAX_CHUNKS:
+        return _by_quantile(docs, n)
+    return _by_rank(docs)
+
+
+def _by_quantile(docs: DataFrame, n: int) -> DataFrame:
+    chunks = max(1, -(-n // CHUNK_ROWS))
+    ids = docs.select(F.col("doc_id").cast("double").alias("id"))
+    cuts = sorted(set(ids.approxQuantile("id", [k / chunks for k in range(1, chunks)], max(1e-4, 0.2 / chunks)))) if chunks > 1 else []
+    # null ids come last in descending order
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)).alias("_id"))
+    rows = Bucketizer(splits=[float("-inf"), *(cuts or [0.0]), float("inf")], inputCol="_id", outputCol="_chunk").transform(rows).withColumn("chunk", F.col("_chunk").cast("int"))
+    heads = rows.groupBy("chunk").agg(F.max("_id").alias("_head"))
+    # at most MAX_CHUNKS rows: which chunk has each head as its guests
+    w = Window.orderBy(F.col("chunk"))
+    hosts = heads.withColumn("_host", F.coalesce(F.lead("chunk").over(w), F.min("chunk").over(Window.partitionBy())))
+    hosts = checkpoint(hosts.select("chunk", F.col("_head").alias("_id"), "_host"))
+    to = F.when(F.col("_host").isNull(), F.array(F.struct("chunk", F.lit(False).alias("guest")))).otherwise(F.array(F.struct("chunk", F.lit(False).alias("guest")), F.struct(F.col("_host").alias("chunk"), F.lit(True).alias("guest"))))
+    return rows.join(F.broadcast(hosts), ["chunk", "_id"], "left").select("doc_id", "text", F.explode(to).alias("to")).select("to.chunk", "to.guest", "doc_id", "text")
+
+
+def _by_rank(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = placed(rows.select("doc_id").distinct(), None, ["doc_id"])  # from the smallest
     last = ids.agg(F.max("_pos")).first()[0]
@@ -84,14 +112,13 @@ def in_chunks(docs: DataFrame) -> DataFrame:
     host = F.when(at % CHUNK_ROWS == 0, F.when(chunk == 0, F.lit(last // CHUNK_ROWS)).otherwise(chunk - 1))
     to = F.filter(F.array(F.struct(chunk.alias("chunk"), F.lit(False).alias("guest")), F.struct(host.alias("chunk"), F.lit(True).alias("guest"))), lambda x: x["chunk"].isNotNull())
     named = ids.select(_key(), to.alias("to"))
-    return rows.select("doc_id", "text", _key()).join(named, "_key").select("doc_id", "text", F.explode("to").alias("to")).select("to.chunk", "to.guest", "doc_id", "text")
+    return rows.select("doc_id", "text", _key()).join(named.hint("shuffle_hash"), "_key").select("doc_id", "text", F.explode("to").alias("to")).select("to.chunk", "to.guest", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """doc_id, n_chars, edited (text), parts, edited_parts, next_parts of (doc_id, text).
 
-    Texts are shuffled by id, for their chunk, and by chunk; windows, the join with the lexicon and the grouping of terms keep
-    that partitioning.
+    One shuffle of the texts, by chunk; windows, the join with the lexicon and the grouping of terms keep that partitioning.
     """
     lex = lexicon(docs, low=low, high=high)
     lex = F.broadcast(lex) if lex.count() <= LEXICON_ROWS else lex

@@ -323,11 +323,13 @@ def test_imatch_equals_brute_force(spark, tmp_path):
     assert any(r.near_edited > 0 for r in got if r.n_chars > 0)
 
 
-@pytest.mark.parametrize("kind", ["string", "long", "decimal(20,0)"])
-def test_imatch_takes_ids_of_any_type(spark, monkeypatch, kind):
+@pytest.mark.parametrize(("kind", "most"), [("string", 20_000), ("long", 20_000), ("long", 2), ("decimal(20,0)", 20_000), ("decimal(20,0)", 0)])
+def test_imatch_takes_ids_of_any_type(spark, monkeypatch, kind, most):
+    """Chunks by quantile and by rank give the same next documents."""
     from lumenframe.llm import imatch
 
     monkeypatch.setattr(imatch, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(imatch, "MAX_CHUNKS", most)
     rows = [(i, f"text {i}") for i in range(20)] + [(None, "none"), (7, "again"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
     got = imatch.fingerprints(df, low=0.0, high=1.0).collect()
