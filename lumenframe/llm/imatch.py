@@ -56,7 +56,12 @@ def _components(found: Column) -> Column:
         mine = F.transform(F.filter(s, lambda x: x["mask"].bitwiseAND(F.lit(1 << k)) != 0), lambda x: x["h"])
         return let(mine, lambda m: F.when(F.size(m) == 0, F.lit(NONE)).otherwise(F.substring(F.lpad(F.lower(F.hex(F.xxhash64(m))), 16, "0"), 1, 8)))
 
-    return let(F.array_sort(found), lambda s: F.array(*[one(k, s) for k in range(SUBSETS)]))
+    def level(first: int, s: Column) -> Column:
+        """The subsets of one share: the terms that none of them has are put aside once."""
+        bits = sum(1 << k for k in range(first, first + EACH))
+        return let(F.filter(s, lambda x: x["mask"].bitwiseAND(F.lit(bits)) != 0), lambda some: F.array(*[one(k, some) for k in range(first, first + EACH)]))
+
+    return let(F.array_sort(found), lambda s: F.concat(*[level(first, s) for first in range(0, SUBSETS, EACH)]))
 
 
 def likeness(a: Column, b: Column) -> Column:
