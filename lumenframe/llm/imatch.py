@@ -133,10 +133,12 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("_next", F.lit(1), half))
     rows = rows.withColumn("edited", F.coalesce(edited, F.lit("")))
     tagged = F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("e"))), F.transform(terms(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(0).alias("e"))), F.transform(terms(F.col("edited")), lambda t: F.struct(t.alias("term"), F.lit(1).alias("e"))))
-    each = rows.select("chunk", "_rn", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(tagged).alias("t"))
-    met = each.select("chunk", "_rn", "guest", "doc_id", "n_chars", "edited_sha256", "t.e", "t.term").join(lex, "term")
+    each = rows.select("chunk", "_rn", F.struct("guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256")).alias("of"), F.explode(tagged).alias("t"))
+    # the document's own columns go with the empty term alone
+    met = each.select("chunk", "_rn", F.when(F.col("t.term") == "", F.col("of")).alias("of"), "t.e", "t.term").join(lex, "term")
     pick = lambda e: F.collect_list(F.when((F.col("e") == e) & (F.col("mask") != 0), F.struct("h", "mask")))
-    own = met.groupBy("chunk", "_rn", "guest", "doc_id", "n_chars", "edited_sha256").agg(pick(0).alias("a"), pick(1).alias("b"))
+    own = met.groupBy("chunk", "_rn").agg(F.first("of", ignorenulls=True).alias("of"), pick(0).alias("a"), pick(1).alias("b"))
+    own = own.select("chunk", "_rn", "of.*", "a", "b")
     parts = own.select("chunk", "_rn", "guest", "doc_id", "n_chars", "edited_sha256", _components(F.col("a")).alias("parts"), _components(F.col("b")).alias("edited_parts"))
     after = F.lead("parts").over(Window.partitionBy("chunk").orderBy("_rn"))
     return parts.withColumn("next_parts", after).where(~F.col("guest")).drop("chunk", "_rn", "guest")
