@@ -7,22 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from lumenframe.operators.ratio import common_subsequence
 from lumenframe.sources.files import settled
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit for each character of ``a`` (Hyyrö's bit-vector recurrence)."""
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for c in b:
-        u = v & at.get(c, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
-
-
 def alike(percent: int):
     """Column function of two texts: whether 2 * common subsequence / (sum of lengths) is at least ``percent`` per cent."""
 

@@ -24,3 +24,40 @@ def test_novelty_by_parts(spark, monkeypatch):
                 most[row[i]] = max(most.get(row[i], -9e9), float(m[i] @ m[j]))
     want = sorted((row[i], round(1.0 if row[i] not in most else min(1.0, max(0.0, (1 - most[row[i]]) / 2)), 6)) for i in range(120))
     assert sorted((r.row, r.novelty) for r in Q.novelty(df, "label").collect()) == want
+
+
+def test_captions_of_long_texts():
+    """difflib needs minutes for these."""
+    from lumenframe.operators.sequences import kept_captions
+
+    g = np.random.default_rng(2)
+    words, other = ([f"w{k}" for k in g.integers(0, 977, 12_000)] for _ in range(2))
+    edited = [w if k % 400 else "other" for k, w in enumerate(words)]
+    began = time.time()
+    assert kept_captions([" ".join(words), " ".join(other), " ".join(edited)]) == [0, 1]
+    assert time.time() - began < 30
+
+
+def test_ratio_is_difflibs(monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    from lumenframe.operators import ratio as R
+
+    chance, yes = random.Random(7), 0
+    for size in (30, 100_000):
+        monkeypatch.setattr(R, "SMALL", size)
+        for _ in range(400):
+            letters = chance.choice(["ab", "abcdefghij klmno", "đàé𝒳x"])
+            a = [chance.choice(letters) for _ in range(chance.randint(0, 100))]
+            b = [c for c in a if chance.random() < 0.96]
+            for _ in range(chance.randint(0, 4)):
+                b.insert(chance.randint(0, len(b)), chance.choice(letters))
+            if len(b) > 20 and chance.random() < 0.3:
+                b[2:7], b[12:17] = b[12:17], b[2:7]
+            a, b = "".join(a), "".join(b)
+            for least in (0.97, 0.92, 0.7):
+                want = SequenceMatcher(None, a, b, autojunk=False).ratio() >= least
+                yes += want
+                assert R.reaches(R.Text(a), R.Text(b), least) == want
+    assert yes > 400
