@@ -21,6 +21,8 @@ from lumenframe.operators.sequences import kept_captions, suppressed, typed
 SLACK = 1e-12
 #: Weights of importance and novelty, and what makes two candidates duplicates.
 IMPORTANCE_SHARE, NOVELTY_SHARE, SAME_COSINE, SAME_SECONDS, EXACT_LIMIT = 0.65, 0.35, 0.92, 12.0, 18
+#: Candidates whose scores are brought up to date at once, and vectors that are multiplied at once.
+REFRESHED, VECTORS = 256, 1024
 
 
 @dataclass
@@ -116,24 +118,63 @@ class Selector:
         return True
 
     def fill(self, chosen: list[Candidate]) -> None:
-        """Add by importance and novelty up to the target."""
+        """Add by importance and novelty up to the target.
+
+        Novelty only falls as more is chosen, so scores known from before are bounds from above: the best of them are brought
+        up to date, ``REFRESHED`` at once and against what was chosen since, until the first is.
+        """
+        if len(chosen) >= self.target:
+            return
+        pool, n = self.pool, len(self.pool)
+        free = np.ones(n, bool)
+        same_id: dict[str, list[int]] = {}
+        group_of: dict[str, list[int]] = {}
+        for i, c in enumerate(pool):
+            same_id.setdefault(c.id, []).append(i)
+            if c.group is not None:
+                group_of.setdefault(c.group, []).append(i)
+        sized = next((len(c.unit) for c in [*pool, *chosen] if c.unit is not None), 0)
+        units = np.zeros((n, sized))
+        plain = np.array([c.unit is None for c in pool], bool)
+        for i, c in enumerate(pool):
+            if c.unit is not None:
+                units[i] = c.unit
+        least = IMPORTANCE_SHARE * np.array([c.importance for c in pool], float)
+        # the largest cosine so far, how many vectors it is known for, and the scores as known
+        most, seen = np.full(n, -np.inf), np.zeros(n, int)
+        vectors, count = np.zeros((max(1, len(chosen) + self.target), sized)), 0
+        bound = np.where(plain, least, least + NOVELTY_SHARE)
+
+        def add(c: Candidate) -> None:
+            nonlocal count
+            for i in same_id.get(c.id, ()):
+                free[i], bound[i] = False, -np.inf
+            for i in group_of.pop(c.group, ()):
+                plain[i], bound[i] = True, least[i] if free[i] else -np.inf
+            if c.unit is not None:
+                vectors[count], count = c.unit, count + 1
+
+        for c in chosen:
+            add(c)
         while len(chosen) < self.target:
-            have, groups = {c.id for c in chosen}, {c.group for c in chosen if c.group is not None}
-            vectors = [c.unit for c in chosen if c.unit is not None]
-            matrix = np.stack(vectors) if vectors else None
-
-            def novelty(c: Candidate) -> float:
-                if c.unit is None or c.group in groups:
-                    return 0.0
-                return 1.0 if matrix is None else float(np.clip((1.0 - (matrix @ c.unit).max()) / 2.0, 0.0, 1.0))
-
-            rest = [c for c in self.pool if c.id not in have]
-            if not rest:
+            at = int(np.argmax(bound)) if n else 0  # the first of equals: the pool is in the order that settles ties
+            if not n or bound[at] == -np.inf:
                 return
-            chosen.append(min(rest, key=lambda c: (-(IMPORTANCE_SHARE * c.importance + NOVELTY_SHARE * novelty(c)), c.ts, c.frame, c.id)))
-
-    def without_duplicates(self, chosen: list[Candidate]) -> list[Candidate]:
-        """The best of each cluster of duplicates, and one more for every event that only its cluster covers."""
+            if not plain[at] and seen[at] < count:
+                top = np.argpartition(-bound, REFRESHED)[:REFRESHED] if n > REFRESHED else np.arange(n)
+                old = np.r_[at, top[free[top] & ~plain[top] & (seen[top] < count) & (top != at)]]
+                for since in np.unique(seen[old]):  # those known for equally many go together
+                    some = old[seen[old] == since]
+                    for start in range(since, count, VECTORS):
+                        most[some] = np.maximum(most[some], (units[some] @ vectors[start : min(count, start + VECTORS)].T).max(1))
+                seen[old] = count
+                bound[old] = least[old] + NOVELTY_SHARE * np.clip((1.0 - most[old]) / 2.0, 0.0, 1.0)
+                continue
+            chosen.append(pool[at])
+            add(pool[at])
+
+    def alike(self, chosen: list[Candidate]) -> list[int]:
+        """The number of each candidate's cluster of duplicates: same group, or alike within ``SAME_SECONDS``."""
         root = list(range(len(chosen)))
 
         def find(i: int) -> int:
@@ -142,21 +183,39 @@ class Selector:
                 i = root[i]
             return i
 
-        for i, j in itertools.combinations(range(len(chosen)), 2):
-            a, b = chosen[i], chosen[j]
-            alike = a.unit is not None and b.unit is not None and abs(a.ts - b.ts) <= SAME_SECONDS and float(a.unit @ b.unit) >= SAME_COSINE
-            if alike or (a.group is not None and a.group == b.group):
-                root[find(i)] = find(j)
-        clusters: dict[int, list[Candidate]] = {}
+        first: dict[str, int] = {}
         for i, c in enumerate(chosen):
-            clusters.setdefault(find(i), []).append(c)
+            if c.group is not None:
+                root[find(i)] = find(first.setdefault(c.group, i))
+        order = sorted((i for i, c in enumerate(chosen) if c.unit is not None), key=lambda i: chosen[i].ts)
+        if order:
+            units, times = np.stack([chosen[i].unit for i in order]), np.array([chosen[i].ts for i in order])
+            start = 0
+            while start < len(order):  # a stretch of rows meets those up to SAME_SECONDS later
+                stop = min(len(order), start + VECTORS)
+                ends = np.array([bisect_right(times, SAME_SECONDS, lo=k, key=lambda t, k=k: t - times[k]) for k in range(start, stop)])
+                for other in range(start, int(ends.max()), VECTORS):
+                    later = np.arange(other, min(len(order), other + VECTORS))
+                    near = (units[start:stop] @ units[other : other + VECTORS].T >= SAME_COSINE) & (later > np.arange(start, stop)[:, None]) & (later < ends[:, None])
+                    for k, m in zip(*np.nonzero(near), strict=True):
+                        root[find(order[start + k])] = find(order[other + m])
+                start = stop
+        return [find(i) for i in range(len(chosen))]
+
+    def without_duplicates(self, chosen: list[Candidate]) -> list[Candidate]:
+        """The best of each cluster of duplicates, and one more for every event that only its cluster covers."""
+        clusters: dict[int, list[Candidate]] = {}
+        for root, c in zip(self.alike(chosen), chosen, strict=True):
+            clusters.setdefault(root, []).append(c)
+        ids = {c.id for c in chosen}
+        held = [len(e.candidates & ids) for e in self.events]
         out: list[Candidate] = []
         for members in clusters.values():
             middle = float(np.median([c.ts for c in members]))
             order = sorted(members, key=lambda c: (-len(self.covers[c.id]), -c.importance, abs(c.ts - middle), c.ts, c.frame, c.id))
-            keep, outside = [order[0]], {c.id for c in chosen} - {c.id for c in members}
-            for e in self.events:
-                if not e.candidates & outside and not any(c.id in e.candidates for c in keep):
+            keep, mine = [order[0]], {c.id for c in members}
+            for e, n in zip(self.events, held, strict=True):
+                if n == len(e.candidates & mine) and not any(c.id in e.candidates for c in keep):
                     keep += [c for c in order if c.id in e.candidates][:1]
             out += keep
         return out

@@ -61,3 +61,23 @@ def test_ratio_is_difflibs(monkeypatch):
                 yes += want
                 assert R.reaches(R.Text(a), R.Text(b), least) == want
     assert yes > 400
+
+
+def test_filling_many_candidates():
+    """Scores of all candidates against all chosen, anew for each choice, took minutes."""
+    from lumenframe.operators import selection as P
+
+    g = np.random.default_rng(5)
+    m = g.normal(size=(6000, 16))
+    pool = [P.Candidate(f"{i:05d}", i / 10, i, i % 11 / 11, f"g{i // 20}" if i % 5 == 0 else None, P._unit(m[i])) for i in range(6000)]
+    began = time.time()
+    got = P.Selector(pool, [], 600.0, 4.0, 3.0, dedupe=True)
+    chosen = []
+    got.fill(chosen)
+    assert len(chosen) == len({c.id for c in chosen}) == 1800
+    assert got.run().status == "satisfied" and time.time() - began < 30
+    # each is the best of what is left
+    for k in (1, 40, 700):
+        have, groups, units = {c.id for c in chosen[:k]}, {c.group for c in chosen[:k] if c.group}, np.stack([c.unit for c in chosen[:k]])
+        score = lambda c: P.IMPORTANCE_SHARE * c.importance + P.NOVELTY_SHARE * (0.0 if c.group in groups else max(0.0, (1 - (units @ c.unit).max()) / 2))  # noqa: B023, E731
+        assert max(score(c) for c in pool if c.id not in have) - score(chosen[k]) < 1e-12
