@@ -126,13 +126,13 @@ def nearest_clip(hits: DataFrame, dense: DataFrame) -> DataFrame:
     """For each hit (id, video_id, ts) the nearest frame in time of the same video in ``dense``, ties by the earlier id.
 
     Hits and dense frames are merged in order of time; the last dense time before a hit and the next one after it are its
-    only candidates, so no hit meets a whole video.
+    only candidates, so no hit meets a whole video. Both windows grow from their start: one that ends at a video's last row
+    would be gone through anew for each row.
     """
     marks = dense.groupBy("video_id", "ts").agg(F.min("frame_id").alias("frame"))
     kinds = marks.select("video_id", "ts", F.struct("ts", "frame").alias("mark"), F.lit(None).cast(hits.schema["id"].dataType).alias("id")).unionByName(hits.select("video_id", "ts", F.lit(None).cast(T.StructType([T.StructField("ts", marks.schema["ts"].dataType), T.StructField("frame", marks.schema["frame"].dataType)])).alias("mark"), "id"))
-    w = Window.partitionBy("video_id").orderBy("ts")
-    before = F.last("mark", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("mark", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    so_far = lambda order: F.last("mark", ignorenulls=True).over(Window.partitionBy("video_id").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    before, after = so_far(F.asc("ts")), so_far(F.desc("ts"))
     found = kinds.select("id", "ts", before.alias("b"), after.alias("a")).where("id IS NOT NULL")
     each = F.array_compact(F.transform(F.array("b", "a"), lambda m: F.when(m.isNotNull(), F.struct(F.abs(m["ts"] - F.col("ts")).alias("d"), m["frame"].alias("nearest")))))
     best = found.select("id", F.array_min(each).alias("m")).where("m IS NOT NULL")

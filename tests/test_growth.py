@@ -81,3 +81,14 @@ def test_filling_many_candidates():
         have, groups, units = {c.id for c in chosen[:k]}, {c.group for c in chosen[:k] if c.group}, np.stack([c.unit for c in chosen[:k]])
         score = lambda c: P.IMPORTANCE_SHARE * c.importance + P.NOVELTY_SHARE * (0.0 if c.group in groups else max(0.0, (1 - (units @ c.unit).max()) / 2))  # noqa: B023, E731
         assert max(score(c) for c in pool if c.id not in have) - score(chosen[k]) < 1e-12
+
+
+def test_nearest_clip_without_backward_frames(spark):
+    """A window that ends at the last row of a video is gone through anew for each row."""
+    from lumenframe.operators import timeline as T
+
+    hits = spark.createDataFrame([(i, "v", float(i)) for i in range(6)], "id long, video_id string, ts double")
+    dense = spark.createDataFrame([(1, "v", 1.0), (2, "v", 4.0), (9, "w", 0.0)], "frame_id long, video_id string, ts double")
+    found = T.nearest_clip(hits, dense)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 1, 1.0), (1, 1, 0.0), (2, 1, 1.0), (3, 2, 1.0), (4, 2, 0.0), (5, 2, 1.0)]
