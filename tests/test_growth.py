@@ -92,3 +92,21 @@ def test_nearest_clip_without_backward_frames(spark):
     found = T.nearest_clip(hits, dense)
     assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
     assert sorted(tuple(r) for r in found.collect()) == [(0, 1, 1.0), (1, 1, 0.0), (2, 1, 1.0), (3, 2, 1.0), (4, 2, 0.0), (5, 2, 1.0)]
+
+
+def test_stems_in_tasks_are_those_of_columns(spark):
+    """Each different token of a slice is stemmed once, and a text's postings don't meet others before they are whole."""
+    from pyspark.sql import functions as F
+
+    from lumenframe.functions import text as X
+    from lumenframe.operators import lexical as L
+
+    ends = ["", "s", "ss", "e", "es", "ies", "ing", "ied", "ed", "sses", "shes", "ches", "xes", "zes", "oes", "tting", "ooed", "y"]
+    words = [a + b for a in ("", "a", "st", "run", "stat", "copp", "été", "x1", "thee") for b in ends if a + b] + list(X.STEMS) + ["ß", "đi"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", X.stem("w").alias("s")).collect()
+    assert {r.w: r.s for r in got} == {w: X.stem_of(w) for w in words}
+    docs = spark.createDataFrame([(1, "Runs, running ran; runs"), (2, None), (1, "run"), (3, ""), (4, "Đi ßs runs")], "frame_id long, caption string")
+    p = L.postings(docs)
+    assert "explode" not in p._jdf.queryExecution().toString().lower()
+    assert {(r.frame_id, r.stem, r.tf) for r in p.collect()} == {(1, "run", 5), (4, "đi", 1), (4, "sss", 1), (4, "run", 1)}
+    assert p.groupBy("frame_id", "stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
