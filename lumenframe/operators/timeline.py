@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.functions import text as X
+from lumenframe.sources.files import settled
 
 
 def neighbours(frames: DataFrame, seconds: float) -> DataFrame:
@@ -79,11 +80,18 @@ def reappearing(runs: DataFrame, pause: float) -> DataFrame:
 
 
 def caption_novelty(frames: DataFrame) -> DataFrame:
-    """1 - Jaccard of a caption's distinct tokens with the previous non-empty caption of its video; first: .5."""
-    order = Window.partitionBy("video_id").orderBy("ts", "frame_id")
-    own = frames.withColumn("_w", F.array_distinct(X.tokens(F.col("caption"))))
-    last = F.last(F.when(F.size("_w") > 0, F.col("_w")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = own.withColumn("_p", last)
+    """1 - Jaccard of a caption's distinct tokens with the previous non-empty caption of its video; first: .5.
+
+    Only ids go through a video's window. Tokens are written once with an id of their row and meet by it, so that no task
+    reads the tokens of a video.
+    """
+    words = F.array_distinct(X.tokens(F.col("caption")))
+    held = settled(frames.select("video_id", "frame_id", "ts", words.alias("_w")).withColumn("_id", F.monotonically_increasing_id()))
+    order = Window.partitionBy("video_id").orderBy("ts", "frame_id", "_id")
+    last = F.last(F.when(F.col("_said"), F.col("_id")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    led = held.select("_id", "video_id", "ts", "frame_id", (F.size("_w") > 0).alias("_said")).select("_id", last.alias("_before"))
+    before = held.select(F.col("_id").alias("_before"), F.col("_w").alias("_p"))
+    rows = held.select("_id", "video_id", "frame_id", "_w").join(led, "_id").join(before, "_before", "left")
     return rows.select("video_id", "frame_id", F.round(F.when(F.col("_p").isNull(), 0.5).otherwise(1 - X.jaccard(F.col("_w"), F.col("_p"))), 6).alias("novelty"))
 
 

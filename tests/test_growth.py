@@ -110,3 +110,22 @@ def test_stems_in_tasks_are_those_of_columns(spark):
     assert "explode" not in p._jdf.queryExecution().toString().lower()
     assert {(r.frame_id, r.stem, r.tf) for r in p.collect()} == {(1, "run", 5), (4, "đi", 1), (4, "sss", 1), (4, "run", 1)}
     assert p.groupBy("frame_id", "stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def nodes(plan, kind):
+    """Names of the columns that go into each node of a kind in an optimised plan."""
+    found = []
+    below = [plan.children().apply(i) for i in range(plan.children().length())]
+    if plan.nodeName() == kind:
+        found.append([below[0].output().apply(i).name() for i in range(below[0].output().length())])
+    return found + [n for b in below for n in nodes(b, kind)]
+
+
+def test_novelty_windows_hold_no_tokens(spark):
+    from lumenframe.operators import timeline as T
+
+    rows = [("v", 1, 0.0, "a b"), ("v", 2, 1.0, ""), ("v", 3, 1.0, "b c"), ("v", 4, 2.0, None), (None, 5, 0.0, "a"), (None, 6, 0.0, "A"), ("v", 1, 0.0, "a b")]
+    found = T.caption_novelty(spark.createDataFrame(rows, "video_id string, frame_id long, ts double, caption string"))
+    windows = nodes(found._jdf.queryExecution().optimizedPlan(), "Window")
+    assert windows and not any("_w" in columns for columns in windows)
+    assert sorted((r.frame_id, r.novelty) for r in found.collect()) == [(1, 0.0), (1, 0.5), (2, 1.0), (3, 0.666667), (4, 1.0), (5, 0.5), (6, 0.0)]
