@@ -129,3 +129,20 @@ def test_novelty_windows_hold_no_tokens(spark):
     windows = nodes(found._jdf.queryExecution().optimizedPlan(), "Window")
     assert windows and not any("_w" in columns for columns in windows)
     assert sorted((r.frame_id, r.novelty) for r in found.collect()) == [(1, 0.0), (1, 0.5), (2, 1.0), (3, 0.666667), (4, 1.0), (5, 0.5), (6, 0.0)]
+
+
+def test_search_holds_few_scores(spark, monkeypatch):
+    assert Q.CELLS <= 1_000_000  # a task's doubles of one step: 8 MB for each array of them
+    monkeypatch.setattr(Q, "CELLS", 40)
+    g = np.random.default_rng(9)
+    m = g.integers(-2, 3, (90, 3)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in range(90)], "row long, embedding array<double>")
+    asked = df.where("row % 10 = 0").selectExpr("row AS query_id", "embedding AS query")
+    for metric in ("l2", "ip"):
+        got = {}
+        for r in Q.search(df, asked, 7, metric).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.row, r.score))
+        for q in range(0, 90, 10):
+            score = ((m - m[q]) ** 2).sum(1) if metric == "l2" else m @ m[q]
+            first = sorted(range(90), key=lambda i: (score[i] if metric == "l2" else -score[i], i))[:7]
+            assert got[q] == [(i, score[i]) for i in first]
