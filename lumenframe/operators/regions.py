@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lumenframe.sources.files import small_batches
+
 #: Letters that only Vietnamese has.
 VIETNAMESE = "ăâđêôơưĂÂĐÊÔƠƯ"
 
@@ -23,28 +25,54 @@ def nfd(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
 
 
+# a filter on what it gives would else evaluate it a second time
+nfc = nfc.asNondeterministic()
+
+#: ASCII is its own normal form.
+BEYOND_ASCII = r"[^\x00-\x7F]"
+
+
+def composed(text: Column) -> Column:
+    return F.coalesce(nfc(F.when(text.rlike(BEYOND_ASCII), text)), text)
+
+
 def clean(text: Column) -> Column:
     """Composed, without control characters, white space as single blanks, trimmed. Spark has no normalisation of its own,
-    so texts pass Arrow once; the rest is done in the JVM."""
-    shown = F.regexp_replace(nfc(text), r"[\p{C}&&[^\t\n\r]]", "")
+    so texts beyond ASCII pass Arrow once; the rest is done in the JVM."""
+    shown = F.regexp_replace(composed(text), r"[\p{C}&&[^\t\n\r]]", "")
     return F.regexp_replace(F.regexp_replace(shown, r"(?U)\s+", " "), "^ | $", "")
 
 
+def decomposed(text: Column) -> Column:
+    return F.coalesce(nfd(F.when(text.rlike(BEYOND_ASCII), text)), text)
+
+
 def unaccented(text: Column) -> Column:
-    return F.regexp_replace(nfd(F.translate(text, "đĐ", "dD")), r"\p{Mn}", "")
+    return _bare(decomposed(text))
+
+
+def _bare(apart: Column) -> Column:
+    return F.regexp_replace(F.translate(apart, "đĐ", "dD"), r"\p{Mn}", "")
 
 
 def language(text: Column) -> Column:
     """vi for its letters or any accent, en for other ASCII letters, else null."""
-    return F.when(text.rlike(f"[{VIETNAMESE}]") | nfd(text).rlike(r"\p{Mn}"), "vi").when(text.rlike("[A-Za-z]"), "en")
+    return _language(text, decomposed(text))
+
+
+def _language(text: Column, apart: Column) -> Column:
+    return F.when(text.rlike(f"[{VIETNAMESE}]") | apart.rlike(r"\p{Mn}"), "vi").when(text.rlike("[A-Za-z]"), "en")
 
 
 def text_regions(regions: DataFrame, threshold: float) -> DataFrame:
     """Regions (text, confidence, language, others kept) of at least ``threshold`` with some text left: raw_text, text,
     unaccented_text, and the language, guessed where it is null or empty. A null confidence counts as 0."""
+    small_batches(regions.sparkSession)
     sure = regions.where(F.coalesce("confidence", F.lit(0.0)) >= threshold)
     rows = sure.withColumnRenamed("text", "raw_text").withColumn("text", clean(F.col("raw_text"))).where("text <> ''")
-    return rows.withColumns({"unaccented_text": unaccented(F.col("text")), "language": F.coalesce(F.nullif("language", F.lit("")), language(F.col("text")))})
+    # taken apart once for both
+    apart = rows.withColumn("_apart", decomposed(F.col("text")))
+    return apart.withColumns({"unaccented_text": _bare(F.col("_apart")), "language": F.coalesce(F.nullif("language", F.lit("")), _language(F.col("text"), F.col("_apart")))}).drop("_apart")
 
 
 def within(value: Column, most: Column) -> Column:

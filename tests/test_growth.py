@@ -146,3 +146,15 @@ def test_search_holds_few_scores(spark, monkeypatch):
             score = ((m - m[q]) ** 2).sum(1) if metric == "l2" else m @ m[q]
             first = sorted(range(90), key=lambda i: (score[i] if metric == "l2" else -score[i], i))[:7]
             assert got[q] == [(i, score[i]) for i in first]
+
+
+def test_regions_meet_python_twice(spark):
+    """Once to be composed and once to be taken apart; ASCII texts aren't sent."""
+    from lumenframe.operators import regions as G
+
+    rows = [("Café \u0000x", 1.0, None), ("plain  text", 1.0, ""), ("한국", 1.0, None), ("đi", 1.0, None), ("\u0001 ", 1.0, None), ("x", 0.2, None), (None, 1.0, None), ("ñ", 1.0, "es")]
+    found = G.text_regions(spark.createDataFrame(rows, "text string, confidence double, language string"), 0.5)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert sorted((r.text, r.unaccented_text, r.language) for r in found.collect() if r.text != "한국") == [("Café x", "Cafe x", "vi"), ("plain text", "plain text", "en"), ("ñ", "n", "es"), ("đi", "di", "vi")]
+    assert [r.language for r in found.where("text = '한국'").collect()] == [None]
