@@ -6,6 +6,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -51,14 +53,28 @@ def checkpoint_groups(df: DataFrame) -> DataFrame:
     return checkpoint(df.coalesce(GROUP_FILES))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a large table: write it once as Parquet in the shared folder and read it from there."""
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """Cut the lineage of a large table: write it once as Parquet in the shared folder and read it from there. codec: of Parquet
+    (None: the session's)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go when the query that made them has run, not when the driver next happens to collect its
+    garbage. For chains of steps that are each written or checkpointed: a data frame made within isn't run twice."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def join_groups(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", bound: int | None = None) -> DataFrame:
     """Join rows with a materialised table of one row per group.
 

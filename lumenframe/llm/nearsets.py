@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm._shared import checkpoint, fresh, map_batches, numbered, quoted, shared_dir, written
+from lumenframe.llm._shared import checkpoint, fresh, map_batches, numbered, quoted, released, shared_dir, written
 from lumenframe.llm.simhash import SEED, components, with_fingerprint
 from lumenframe.llm.simhash import links as fingerprint_links
 
@@ -45,6 +45,8 @@ BITMAP = 4
 COMMON, MOST_COMMON = 8, 500_000
 #: Shingles that a task counts at once.
 COUNTED = 2_000_000
+#: Of stored texts.
+CODEC = "zstd"
 #: Word hashes that a worker keeps.
 KEPT_WORDS = 100_000
 
@@ -174,26 +176,6 @@ def index_of(texts: DataFrame, common: np.ndarray) -> DataFrame:
     return map_batches(texts, run, "key long, fp long, n int, at int")
 
 
-def sets_of(texts: DataFrame) -> DataFrame:
-    """(fp, shingles), one row for each fp of (fp, text)."""
-
-    def run(batches):
-        held = []
-
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array([f for f, _ in held], pa.int64()), pa.array([s for _, s in held], pa.list_(pa.int64()))], names=["fp", "shingles"])
-
-        for one in _each(batches):
-            held.append(one)
-            if len(held) == 128:
-                yield rows()
-                held.clear()
-        if held:
-            yield rows()
-
-    return map_batches(texts, run, "fp long, shingles array<long>")
-
-
 def _fit(m: Column, n: Column) -> Column:
     return WHOLE * F.least(m, n) >= PART * F.greatest(m, n)
 
@@ -205,12 +187,30 @@ def _reach(n: Column, i: Column, m: Column, j: Column) -> Column:
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of (fp, text) whose sets are similar enough. pairs: materialised."""
-    sets = written(sets_of(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi")))
-    one, two = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    both = pairs.join(two, "b").join(one, "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    # common / (|a| + |b| - common) >= PART / WHOLE
-    return checkpoint(both.where((PART + WHOLE) * F.col("common") >= PART * (F.size("sa") + F.size("sb"))).select("a", "b"))
+    """Those pairs (a, b) of (fp, text) whose sets are similar enough. pairs: materialised. Texts are stored and moved, not their
+    sets, which take several times the room; a pair's sets are made where its texts meet."""
+    mine = written(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi"), CODEC)
+    one, two = (mine.select(F.col("fp").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+    both = pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
+
+    def run(batches):
+        last = {}  # of each side the set made last: pairs of one text come in a row
+
+        def found(side, fp, text):
+            if side not in last or last[side][0] != fp:
+                last[side] = fp, shingles_of(text.as_py())
+            return last[side][1]
+
+        for batch in batches:
+            near = []
+            for a, b, ta, tb in zip(*(batch.column(k).to_pylist() for k in (0, 1)), batch.column(2), batch.column(3), strict=True):
+                x, y = found("a", a, ta), found("b", b, tb)
+                # common / (|a| + |b| - common) >= PART / WHOLE
+                near.append((PART + WHOLE) * len(np.intersect1d(x, y, assume_unique=True)) >= PART * (len(x) + len(y)))
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+        HASHES.clear()  # workers outlive their tasks
+
+    return checkpoint(map_batches(both, run, "a long, b long"))
 
 
 BITS = [f"bits{k}" for k in range(BITMAP)]
@@ -275,7 +275,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     flat = least.select("fp", *BITS, F.col("r.c%d" % docs.columns.index("doc_id")).alias("id"), F.col("r.c%d" % docs.columns.index("text")).alias("text"), *[F.col(f"r.c{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")])
     name = f"representatives_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    flat.write.bucketBy(buckets, "fp").sortBy("fp").option("path", f"{shared_dir(spark).rstrip('/')}/tables/{name}").saveAsTable(name)
+    flat.write.bucketBy(buckets, "fp").sortBy("fp").option("compression", CODEC).option("path", f"{shared_dir(spark).rstrip('/')}/tables/{name}").saveAsTable(name)
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # from the session's catalog; the files stay, and so does the plan that reads them
     return found
@@ -285,8 +285,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     """Documents without near-duplicates: of each component of similar sets the row of the smallest doc_id stays (of repeated
     ids one). All columns stay. Null texts count as empty; all texts without a word are one group. An empty table gives an
     empty table; the longest text is one row in memory."""
-    every = representatives(docs)
-    roots = components(links(every)).withColumnRenamed("node", "fp")
+    with released(docs.sparkSession):
+        every = representatives(docs)
+        roots = components(links(every)).withColumnRenamed("node", "fp")
     grouped = every.select("fp", "id").join(roots, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("k")).select(F.col("k.fp").alias("fp"))
     place = {"doc_id": "id", "text": "text"}

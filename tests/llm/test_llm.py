@@ -545,6 +545,40 @@ def test_near_dedup_goes_by_simhash_first(spark, monkeypatch):
     assert sorted(map(sorted, found)) == sorted(map(sorted, near + far))
 
 
+def test_near_dedup_leaves_little_on_disk(spark):
+    import gc
+    import time
+    from pathlib import Path
+
+    from lumenframe.llm._shared import shared_dir
+
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrst"
+    rows = []
+    for i in range(150):  # each text with a copy that differs in some words far apart
+        w = ["".join(rng.choice(letters[:6]) for _ in range(4)) for _ in range(1500)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join("x" if k % 150 == 0 else x for k, x in enumerate(w)))]
+    size = sum(len(t) for _, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    jvm, setting = spark.sparkContext._jvm, spark.conf.get(key)
+    shuffles = lambda: {f.getName() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    stored = lambda: {p: p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file://")).rglob("*.parquet")}
+    gc.collect()
+    files, tables = shuffles(), stored()
+    out = nearsets.dedup(df)
+    for _ in range(50):  # files go in the background
+        if not (left := shuffles() - files):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(key) == setting
+    # texts are stored once for all and once for the pairs, and their sets, which are longer, not at all
+    assert sum(n for p, n in stored().items() if p not in tables) < 2 * size
+    assert sorted(r.doc_id for r in out.select("doc_id").collect()) == list(range(0, 300, 2))
+    assert out.count() == out.count() == 150
+
+
 def test_near_dedup_keeps_columns_of_any_name(spark):
     names = ["fp", "bits0", "print", "first", "key", "root", "size", "id", "c0", "r", "a.b"]
     rows = [(i, f"one two three four five six {i // 2}", *[f"{n}{i}" for n in names]) for i in range(6)]
