@@ -18,6 +18,7 @@ once; of equally probable languages the first in order of their names is taken.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -93,8 +94,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+class Counts(NamedTuple):
+    """A text's language, and its buckets and their shares as bytes."""
+
+    lang: str
+    bucket: bytes
+    n: bytes
+
+
 def _sampled(rows: DataFrame, config: TrainConfig) -> list:
-    """Subword counts of the sampled rows, made on the executors."""
+    """Subword counts of the sampled rows, made on the executors; they come as Arrow batches, one after the other, so that the driver's
+    JVM never holds them all."""
     labelled = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("text", "lang").alias("h"))
     last = labelled.select("h").distinct().orderBy("h").limit(config.max_docs).agg(F.max("h")).first()[0]
     some = labelled.where(F.col("h") <= last).dropDuplicates(["h"]) if last is not None else labelled.limit(0)
@@ -111,7 +121,8 @@ def _sampled(rows: DataFrame, config: TrainConfig) -> list:
                     out["n"].append((n / n.sum()).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["bucket"], pa.binary()), pa.array(out["n"], pa.binary())], names=list(out))
 
-    return sorted(map_batches(some.select("text", "lang"), count, schema).collect(), key=lambda r: (r.lang, bytes(r.bucket), bytes(r.n)))
+    got = map_batches(some.select("text", "lang"), count, schema).toArrow()
+    return sorted(map(Counts, *(got.column(k).to_pylist() for k in range(3))))
 
 
 def train(rows: DataFrame, config: TrainConfig = TrainConfig()) -> Model:

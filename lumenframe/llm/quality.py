@@ -150,8 +150,9 @@ def _moments(rows: DataFrame, scale: float) -> DataFrame:
 
 
 def _core(at: DataFrame, share: float, bound: int | None = None) -> DataFrame:
-    """The rows of (group, start, features, bin _b) in each group's least bins that hold this share of them."""
-    most = checkpoint_groups(_bin_quantile(at.select(*KEY, "_b"), KEY, "_b", share).withColumnRenamed("_b", "_most"))
+    """The rows of (group, start, features, bin _b) in each group's least bins that hold this share of them. The bins aren't written
+    apart: each query leaves memory with the driver."""
+    most = _bin_quantile(at.select(*KEY, "_b"), KEY, "_b", share).withColumnRenamed("_b", "_most")
     return join_groups(at, most, KEY, bound=bound).where("_b <= _most")
 
 
@@ -196,7 +197,7 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     second = _moments(rows.withColumn("_s", F.lit(1)), 1.0)
     largest = F.greatest(*[F.pow(F.col(f) / SCALE - F.element_at("_m", k + 1), 2) * F.element_at("_i", PAIRS.index((k, k)) + 1) for k, f in enumerate(FEATURES)])
     third = _moments(_core(join_groups(rows, first, ["_g"], bound=bound).select("_g", F.lit(2).alias("_s"), *FEATURES, _bin_of_distance(largest).alias("_b")), 0.5, bound), 1.0)
-    params = checkpoint_groups(first.unionByName(second).unionByName(third))
+    params = first.unionByName(second).unionByName(third)
     for _ in range(START_STEPS):
         params = _concentrated(rows, params, bound)
     best = F.min_by(F.struct("_s", "_m", "_i", "_d"), F.struct("_d", "_s")).alias("b")

@@ -136,9 +136,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, F.col("a") == F.col("n"))
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a > b").distinct()
         small = written(small)
-        # stars: no node is both a leaf and a centre, and each leaf has one centre
-        open_ = small.select(F.col("a").alias("x")).intersect(small.select(F.col("b").alias("x"))).limit(1).count()
-        if not open_ and small.groupBy("a").count().where("count > 1").limit(1).count() == 0:
+        # stars: no node is both a leaf and a centre, and each leaf has one centre (one query for both)
+        ends = small.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("up")), F.struct(F.col("b").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        if ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 OR ups = 1 AND least = 0").isEmpty():
             return small.select(F.col("a").alias("node"), F.col("b").alias("root"))
         edges = small
     raise RuntimeError("components did not settle")
